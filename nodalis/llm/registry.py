@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from nodalis.llm import warc
+from nodalis.llm import token_counts, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_token_counts": token_counts.op2_token_counts,
+    "op3_exact_topk": topk.op3_exact_topk,
 }
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
+    "op3_exact_topk": topk.OP3_SQL,
 }

@@ -45,6 +45,8 @@ def classify(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = M
     """Add payload, payload_digest, payload_bytes, record_type and refers_to to ``pages``.
 
     Only groups with more than one member reach the join, and of those only digest and largest id.
+    They are staged first, so that both sides of the join are plain exchanges, which Spark can split
+    where one payload holds a large part of the rows.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     base = pages.select(
@@ -54,12 +56,13 @@ def classify(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = M
         F.sha1(payload).alias("payload_digest"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
     )
-    keepers = (
+    keepers = staged(
         base.where(F.col("payload_bytes") >= min_bytes)
         .groupBy("payload_digest")
         .agg(F.max("record_key").alias("keeper"), F.count(F.lit(1)).alias("members"))
         .where(F.col("members") > 1)
-        .select("payload_digest", "keeper")
+        .select("payload_digest", "keeper"),
+        "warc-keepers",
     )
     revisit = F.col("keeper").isNotNull() & ~F.col("record_key").eqNullSafe(F.col("keeper"))
     return base.join(keepers, "payload_digest", "left").select(
