@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from nodalis.llm import token_counts, topk, warc
+from nodalis.llm import mixing, syncmers, token_counts, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_topk": topk.op3_exact_topk,
+    "op4_mixing": mixing.op4_mixing,
+    "op7_syncmers": syncmers.op7_syncmers,
 }
 
 ORACLES = {
