@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nodalis.llm import mixing, syncmers, token_counts, topk, warc
+from nodalis.llm import mixing, simhash, syncmers, token_counts, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_mixing": mixing.op4_mixing,
     "op7_syncmers": syncmers.op7_syncmers,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLES = {
