@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nodalis.llm import mixing, simhash, syncmers, token_counts, topk, warc
+from nodalis.llm import mixing, pii, quality, simhash, syncmers, token_counts, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_mixing": mixing.op4_mixing,
     "op7_syncmers": syncmers.op7_syncmers,
     "op8_simhash": simhash.op8_simhash,
+    "op9_pii": pii.op9_pii,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
