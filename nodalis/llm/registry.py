@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from nodalis.llm import mixing, pii, quality, sentencepieces, simhash, syncmers, token_counts, topk, warc
+from nodalis.llm import html_text, mixing, pii, quality, sentencepieces, simhash, syncmers, token_counts, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_exact_topk": topk.op3_exact_topk,
     "op4_mixing": mixing.op4_mixing,
+    "op5_html": html_text.op5_html,
     "op6_sentencepiece": sentencepieces.op6_sentencepiece,
     "op7_syncmers": syncmers.op7_syncmers,
     "op8_simhash": simhash.op8_simhash,
