@@ -182,9 +182,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their class's; of rows that repeat such an id all stay."""
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each class: the one with the class's id.
+
+    Rows that repeat both id and text are one document and become one row. Where a class has no id at
+    all, one row of each of its texts stays, and so do texts of other rows without id.
+    """
+    own = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = staged(own.groupBy(F.col(id_col).alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), "simhash-kept")
+    same = F.col(id_col).eqNullSafe(F.col("_kept"))
+    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
+    again = docs.join(staged(kept.where("_rows > 1"), "simhash-again"), same, "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
