@@ -1,6 +1,6 @@
 """Named queries; importing the modules fills the registry."""
 
-from nodalis.plans import panels, projection  # noqa: F401
+from nodalis.plans import grading, panels, projection  # noqa: F401
 from nodalis.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
