@@ -323,12 +323,17 @@ class Field:
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE_PAGES) -> Field:
     """Fit on a bounded sample: the ``sample`` pages with the smallest hashes of their ids."""
     rows = pages.where(F.col(html_col).isNotNull()).select(F.xxhash64(id_col).alias("at"), F.col(html_col).alias("html"))
-    return Field.fit(labelled([r["html"] for r in rows.orderBy("at", F.xxhash64("html")).limit(sample).collect()]))
+    chosen = [r["at"] for r in rows.select("at").distinct().orderBy("at").limit(sample).collect()]
+    if not chosen:
+        return Field.fit(labelled([]))
+    # hashes are chosen first, so that no task sends pages that are not in the sample
+    found = rows.where(F.col("at").isin(chosen)).groupBy("at").agg(F.min("html").alias("html"))
+    return Field.fit(labelled([r["html"] for r in found.orderBy("at").collect()]))
 
 
 def extract(pages: DataFrame, model: Field, html_col: str = "html") -> DataFrame:
-    """``pages`` without the html, with its main text."""
-    kept = [c for c in pages.columns if c != html_col]
+    """``pages`` without the html, with its text as ``main_text`` (a column of that name gives way)."""
+    kept = [c for c in pages.columns if c not in (html_col, "main_text")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple, float] = {}

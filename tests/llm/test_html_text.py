@@ -62,11 +62,11 @@ def test_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (3, "u", "", "x"), (None, "u", "<p>", "x"), (4, "u", "<article>" + "<p>Long words, many of them, follow here. And more.</p>" * 20_000, "x")]
     pages = spark.createDataFrame(rows, SCHEMA)
     trained = html_text.train(pages.where("page_id < 4"))
-    got = html_text.extract(pages.drop("main_text"), trained).collect()
+    got = html_text.extract(pages, trained).collect()
     want = "A headline of some words First sentence of the text, which goes on. Second & last. Another paragraph with bold words, commas, and a link inside it."
     by_id = {r.page_id: r.main_text for r in got}
     assert len(got) == len(rows) and by_id[1] == want and by_id[2] == by_id[3] == by_id[None] == ""
     assert by_id[4] == " ".join(["Long words, many of them, follow here. And more."] * 20_000)
-    empty = pages.limit(0).drop("main_text")
+    empty = pages.limit(0)
     assert html_text.extract(empty, html_text.Field({}, ((0.0, 0.0), (0.0, 0.0)))).count() == 0
     assert html_text.train(empty).steps
