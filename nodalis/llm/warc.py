@@ -179,6 +179,14 @@ def _headers(decoded: bytes) -> dict[str, str] | None:
     return {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
 
 
+def _begins_warc(data: bytes) -> bool:
+    """Whether a damaged member (with the ten-byte gzip header) still starts like a WARC record."""
+    try:
+        return zlib.decompressobj(-15).decompress(data[10:], HEADER_LIMIT).startswith(b"WARC/1.")
+    except zlib.error:
+        return False
+
+
 def _record(source: _Range, start: int, with_payload: bool) -> tuple[dict, int] | None:
     """The record of the member at ``start`` and the offset behind it; None if no WARC member is there."""
     inflate = zlib.decompressobj(31)
@@ -196,7 +204,7 @@ def _record(source: _Range, start: int, with_payload: bool) -> tuple[dict, int]
         try:
             out = inflate.decompress(data, BLOCK)
         except zlib.error:
-            if headers is None:
+            if headers is None and not _begins_warc(source.block(start)):
                 return None
             raise
         if headers is None:
