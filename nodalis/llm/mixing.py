@@ -120,17 +120,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounded = _round(joined.where(open_), most_units, seed)
     base = F.when((F.col("source_size") > 0) & (F.col("unit.size") > 0), F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     return fixed.unionByName(rounded).select(
-        F.col("unit.id").alias(id_col), "source", "unit.size", "unit.repeats", "source_size", "target", (base + F.col("up")).cast("int").alias("copies")
+        F.col("unit.id").alias(id_col), F.col("source").alias(source_col), "unit.size", "unit.repeats", "source_size", "target", (base + F.col("up")).cast("int").alias("copies")
     )
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     id_col, text_col, source_col = (options.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    taken = mix(docs, **options).where("copies > 0").select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
+    taken = mix(docs, **options).where("copies > 0").select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), F.col("size").alias("_size"), "copies")
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    met = docs.join(taken, F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (size == F.col("_size")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("words"), F.struct(*docs.columns).alias("row"))
+    met = rows.join(taken, F.col("id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size")))
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

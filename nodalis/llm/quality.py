@@ -182,7 +182,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier accepts; rows of a repeated id stay if any of them does."""
     kept = classify(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -403,7 +403,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with the text of their ids as ``decoded``."""
+    """``rows`` with the text of their ids as ``decoded`` (a column of that name gives way)."""
+    rows = rows.drop("decoded")
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(model_path)

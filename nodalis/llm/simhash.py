@@ -189,9 +189,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     own = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
     kept = staged(own.groupBy(F.col(id_col).alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), "simhash-kept")
-    same = F.col(id_col).eqNullSafe(F.col("_kept"))
-    once = docs.join(kept.where("_rows = 1"), same, "left_semi")
-    again = docs.join(staged(kept.where("_rows > 1"), "simhash-again"), same, "left_semi")
+    single, several = kept.where("_rows = 1"), staged(kept.where("_rows > 1"), "simhash-again")
+    once = docs.join(single, docs[id_col].eqNullSafe(single["_kept"]), "left_semi")
+    again = docs.join(several, docs[id_col].eqNullSafe(several["_kept"]), "left_semi")
     return once.unionByName(again.dropDuplicates([id_col, text_col]))
 
 

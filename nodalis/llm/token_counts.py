@@ -81,10 +81,14 @@ def tokenizer_digest(path: str) -> str:
 
 def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(path).count
+        count, done = counter(path).count, set()
         for batch in batches:
-            counts = [count(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array(counts, pa.int64())], ["content_digest", "n_tokens"])
+            found = {}
+            for digest, text in zip(batch.column("content_digest").to_pylist(), batch.column("text"), strict=True):
+                if digest not in done:  # rows that repeat id and text
+                    done.add(digest)
+                    found[digest] = count(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["content_digest", "n_tokens"])
 
     return encode
 
@@ -118,6 +122,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
         "left_semi",
     )
     counted = lent.select("content_digest", "text").mapInArrow(_encoder(tokenizer_path), "content_digest string, n_tokens long")
+    counted = counted.dropDuplicates(["content_digest"])  # of such rows in two tasks
     counted.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
     stored = read_cache(spark, cache_path, version).join(lenders.select("content_digest"), "content_digest", "left_semi")
     counts = staged(stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from nodalis.llm import mixing
 
@@ -70,8 +71,9 @@ def test_repeats_empty_and_take(spark):
     assert {(r.doc_id, r.repeats) for r in got} == {(1, 3), (None, 1), (2, 1), (3, 1)}
     copies = {(r.doc_id): r.copies for r in got}
     assert copies[2] == 0
+    docs = docs.withColumns({"copies": F.lit("c"), "_copy": F.lit(1), "id": F.lit("i"), "row": F.lit("r")})
     out = mixing.take(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and {(r["copies"], r["id"], r["row"]) for r in out.collect()} == {("c", "i", "r")}
     count = {}
     for r in out.collect():
         count[r.doc_id] = count.get(r.doc_id, 0) + 1
