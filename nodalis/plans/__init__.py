@@ -1,6 +1,6 @@
 """Named queries; importing the modules fills the registry."""
 
-from nodalis.plans import grading, models, panels, projection, views  # noqa: F401
+from nodalis.plans import features, grading, models, panels, projection, views  # noqa: F401
 from nodalis.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
