@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CENTS = "decimal(18,2)"
 
@@ -48,9 +49,13 @@ def with_sql(names: str, select: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with its timestamps as instants."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*(F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes))
+    """A table with its wall-clock timestamps read as instants (the session zone is UTC).
+
+    The schema says so, rather than a cast, and filters on time reach the scan."""
+    path = f"{sf_dir}/{name}.parquet"
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType) else f.dataType, f.nullable) for f in found]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def _key(number: str):
