@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANK_SLICES = 4096
+
 
 def _average_rank(value: str, by: list[str]) -> Column:
     """Mean rank of ties."""
@@ -90,13 +92,17 @@ def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def bind_metrics(rows: DataFrame) -> DataFrame:
-    """Brier score, calibration error, AUC by ranks (null with one class), base rate and mean p."""
+    """Brier score, calibration error, AUC by ranks (null with one class), base rate and mean p.
+
+    Ranks come from slices of p: a running sum over RANK_SLICES totals, and one inside each slice."""
     bins = reliability(rows)
     ece = bins.agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"))
     sums = rows.agg(F.avg((F.col("y") - F.col("p")) ** 2).alias("brier"), F.avg(F.col("y").cast("double")).alias("base_rate"), F.avg("p").alias("mean_p"))
-    scores = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("k"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = scores.withColumn("mid", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2)
+    scores = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("k")).withColumn("slice", F.floor(F.col("p") * RANK_SLICES))
+    offsets = scores.groupBy("slice").agg(F.sum("n").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    below = Window.partitionBy("slice").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    placed = scores.withColumn("inside", F.coalesce(F.sum("n").over(below), F.lit(0))).join(F.broadcast(offsets.select("slice", "before")), "slice")
+    ranks = placed.withColumn("mid", F.col("before") + F.col("inside") + (F.col("n") + 1) / 2)
     auc = ranks.agg(F.sum(F.col("k") * F.col("mid")).alias("s"), F.sum("k").alias("k"), F.sum("n").alias("n")).select(
         F.when((F.col("k") > 0) & (F.col("k") < F.col("n")), (F.col("s") - F.col("k") * (F.col("k") + 1) / 2) / (F.col("k") * (F.col("n") - F.col("k")))).alias("auc")
     )

@@ -26,16 +26,17 @@ def _cells(low: Column, high: Column, size: float) -> Column:
 def assign_zone(points: DataFrame, zones: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
     """Each point (key, x, y) with the first zone (zone, ring) that holds it, else the one with the nearest
     vertex. Zones are laid out into the cells of their bounding boxes; only zones of a point's own cell
-    are tested. The fallback meets all vertices, for the points that no zone holds."""
+    are tested. The points that no zone holds scan the list of all vertices."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     boxed = zones.select("zone", "ring", F.explode(_cells(F.array_min(xs), F.array_max(xs), cell)).alias("cx"), F.array_min(ys).alias("lo"), F.array_max(ys).alias("hi"))
     laid = boxed.select("zone", "ring", "cx", F.explode(_cells(F.col("lo"), F.col("hi"), cell)).alias("cy"))
     placed = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     inside = placed.join(laid, ["cx", "cy"]).where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy(key).agg(F.min("zone").alias("zone"))
     rest = points.join(inside, key, "left_anti")
-    vertices = F.broadcast(zones.select("zone", F.explode("ring").alias("v")))  # polygons of a market: a few thousand vertices
-    away = (F.col("x") - F.col("v.x")) ** 2 + (F.col("y") - F.col("v.y")) ** 2
-    near = rest.join(vertices, how="cross").groupBy(key).agg(F.min(F.struct(away.alias("d"), F.col("zone").alias("zone"))).alias("m")).select(key, F.col("m.zone").alias("zone"))
+    corners = F.transform("ring", lambda v: F.struct(F.col("zone"), v["x"].alias("x"), v["y"].alias("y")))
+    vertices = F.broadcast(zones.select(F.explode(corners).alias("v")).agg(F.collect_list("v").alias("vs")))  # one row: a market's polygons
+    away = F.transform("vs", lambda v: F.struct(((F.col("x") - v["x"]) ** 2 + (F.col("y") - v["y"]) ** 2).alias("d"), v["zone"].alias("zone")))
+    near = rest.crossJoin(vertices).select(key, F.array_min(away)["zone"].alias("zone"))
     return inside.withColumn("method", F.lit("within")).unionByName(near.withColumn("method", F.lit("nearest")))
 
 
