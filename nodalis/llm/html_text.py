@@ -49,7 +49,8 @@ CLOSES |= {t: frozenset(["p"]) for t in "address article aside blockquote div dl
 HOLDERS = frozenset("ul ol dl table tbody thead body html div article section main aside nav".split())
 ARTICLE = frozenset(["article", "main"])
 AROUND = frozenset("nav aside footer header form button menu dialog".split())
-NOT_TEXT = frozenset("ad ads advert advertisement banner sponsor sponsored promo comment comments cookie notice consent menu navbar sidebar footer breadcrumb share related newsletter popup".split())
+NOT_TEXT = frozenset("ad ads advert advertisement banner sponsor sponsored promo comment comments responses replies cookie notice consent menu nav navbar navigation sidebar widget footer header masthead breadcrumb breadcrumbs share social related newsletter signup subscribe popup modal pagination pager legal copyright toolbar".split())
+TEXT = frozenset("article post content entry story main body text".split())
 
 
 @dataclass
@@ -119,10 +120,22 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
+def signal(path: tuple) -> tuple[str, bool]:
+    """What the innermost telling ancestor says - yes, no or nothing - and whether any says no."""
+    said, denied = "", False
+    for tag, names in path:
+        if tag in AROUND and not (tag == "header" and said == "yes") or NOT_TEXT.intersection(names):
+            said, denied = "no", True
+        elif tag in ARTICLE or TEXT.intersection(names):
+            said = "yes"
+    return said, denied
+
+
 def path_features(path: tuple) -> list[str]:
+    said, denied = signal(path)
     out = {f"in:{t}" for t, _ in path} | {f"name:{n}" for _, names in path for n in names}
     outer = [t for t, _ in path if t not in INLINE]
-    return sorted(out) + [f"parent:{outer[-1] if outer else ''}", "any"]
+    return sorted(out) + [f"parent:{outer[-1] if outer else ''}", f"signal:{said}:{denied}", "any"]
 
 
 def text_features(block: Block, place: int, count: int) -> list[str]:
@@ -177,7 +190,8 @@ def layout(draw: random.Random, prose: list[str]) -> list[tuple[str, bool]]:
 
     def holder(tag: str, names: str, inner: list[str], label: bool) -> list[tuple[str, bool]]:
         plain = draw.random()
-        head = f"<{tag}>" if plain < 0.35 else f'<div class="{draw.choice(names.split())}">' if plain < 0.75 else f'<{tag} class="{names}">' if plain < 0.9 else "<div>"
+        kind = draw.choice(["class", "id"])
+        head = f"<{tag}>" if plain < 0.35 else f'<div {kind}="{draw.choice(names.split())}">' if plain < 0.8 else f'<{tag} {kind}="{names}">' if plain < 0.93 else "<div>"
         ends = "</div>" if head.startswith("<div") else f"</{tag}>"
         return [(head + inner[0], label), *((x, label) for x in inner[1:]), (ends, label)]
 
@@ -194,16 +208,20 @@ def layout(draw: random.Random, prose: list[str]) -> list[tuple[str, bool]]:
     after = [
         holder("aside", "sidebar widget related", [f"<h3>{words(1, 3)}</h3><ul>{links(draw.randint(2, 7))}</ul>"], False),
         holder("form", "newsletter form signup search", [f"<p>{words(3, 9)}</p><label>{words(1, 2)}</label><input><button>{words(1, 2)}</button>"], False),
-        holder("section", "comments comment responses", [f"<h3>{words(1, 3)}</h3>"] + [f'<div class="comment"><p>{words(1, 2)}</p><p>{sentences()}</p></div>' for _ in range(draw.randint(1, 5))], False),
+        holder("section", "comments comment responses replies", [f"<p>{sentences()}</p>"] if draw.random() < 0.3 else [f"<h3>{words(1, 3)}</h3>"] + [f'<div class="comment"><p>{words(1, 2)}</p><p>{sentences()}</p></div>' for _ in range(draw.randint(1, 5))], False),
         holder("div", "ad advert promo", [f"<p>{sentences()}</p>"], False),
         holder("div", "share social", [f"<a href='#'>{words(1, 1)}</a> <a href='#'>{words(1, 1)}</a>"], False),
         holder("footer", "footer bottom copyright", [f"<p>&copy; {words(1, 4)} &middot; {words(2, 8)}.</p>"], False),
     ]
     page = [x for part in before if draw.random() < 0.6 for x in part]
-    middle = holder("article", "article post content entry main", body, True)
-    if draw.random() < 0.3 and len(middle) > 3:
-        at = draw.randint(2, len(middle) - 1)
-        middle[at:at] = holder("div", "ad advert sponsored notice", [f"<p>{sentences()}</p>"], False)
+    middle = holder("article", "article post content entry main story", body, True) if draw.random() < 0.9 else [(x, True) for x in body]
+    for _ in range(draw.choice([0, 0, 1, 2])):
+        at = draw.randint(1, len(middle) - 1) if len(middle) > 1 else 0
+        middle[at:at] = draw.choice([
+            holder("div", "ad advert sponsored notice promo", [f"<p>{sentences()}</p>" if draw.random() < 0.5 else sentences()], False),
+            holder("aside", "related sidebar", [f"<h3>{words(1, 3)}</h3><ul>{links(draw.randint(1, 4))}</ul>"], False),
+            holder("form", "newsletter signup subscribe", [f"<p>{words(3, 9)}</p><button>{words(1, 2)}</button>"], False),
+        ])
     return page + middle + [x for part in after if draw.random() < 0.6 for x in part]
 
 
