@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nodalis.operators import boards, history, metrics, panels, projection, writes
+from nodalis.operators import boards, history, metrics, projection, writes
 from nodalis.plans.registry import day_text, query, r6, stamp
 from nodalis.sources import market
 from nodalis.sources.market import with_sql
@@ -246,8 +246,7 @@ def scorecard_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("mu", DAILY + """
-, t AS (SELECT day, sum(v) AS v FROM d GROUP BY 1), r AS (SELECT day, v, 1 + count(*) FILTER (FALSE) AS x FROM t GROUP BY 1, 2),
- q AS (SELECT a.day, a.v, 1 + (SELECT count(*) FROM t AS b WHERE b.day < a.day AND b.v >= a.v) AS rank, a.v / (SELECT median(v) FROM t) AS ratio FROM t AS a)
+, t AS (SELECT day, sum(v) AS v FROM d GROUP BY 1), q AS (SELECT a.day, a.v, 1 + (SELECT count(*) FROM t AS b WHERE b.day < a.day AND b.v >= a.v) AS rank, a.v / (SELECT median(v) FROM t) AS ratio FROM t AS a)
 SELECT strftime(day, '%Y-%m-%d') AS day, round(v, 4) AS v, CAST(rank AS INTEGER) AS rank, round(ratio, 6) AS ratio,
   CASE WHEN rank = 1 THEN 'record' WHEN rank <= 3 THEN 'near_top' WHEN ratio >= 1.25 THEN 'elevated' WHEN ratio >= 1.10 THEN 'ordinary_plus' WHEN ratio >= 0.75 THEN 'ordinary' WHEN ratio >= 0.5 THEN 'ordinary_minus' ELSE 'quiet' END AS class FROM q"""))
 def magnitude_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:

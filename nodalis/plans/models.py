@@ -147,7 +147,7 @@ def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("mu sf", """
-, m AS (SELECT key, abs(hash(key)) AS x, 'G' || CAST(vec_id % 12 AS VARCHAR) AS grp, sum(abs(mu)) AS w FROM mu GROUP BY key, vec_id), s AS (SELECT key, grp, w / sum(w) OVER (PARTITION BY grp) AS share FROM m)
+, m AS (SELECT key, 'G' || CAST(vec_id % 12 AS VARCHAR) AS grp, sum(abs(mu)) AS w FROM mu GROUP BY key, vec_id), s AS (SELECT key, grp, w / sum(w) OVER (PARTITION BY grp) AS share FROM m)
 SELECT grp, sp, round(sum(sf * share) / sum(share), 6) + 0.0 AS sf FROM sf JOIN s USING (key) WHERE label < 6 GROUP BY 1, 2"""))
 def group_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
