@@ -33,7 +33,7 @@ MEMO_WORDS = 400_000
 SETTLED = regex.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f\\u2010-\\u2027]*+")
 #: The word pattern of byte-level BPE vocabularies. A fixed value.
 BYTE_LEVEL_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_CACHE = "content_digest string, n_tokens long, tokenizer_digest string"
+_CACHE = "content_digest binary, n_tokens long, tokenizer_digest string"
 
 
 class TokenCounter:
@@ -88,7 +88,7 @@ def _encoder(path: str):
                 if digest not in done:  # rows that repeat id and text
                     done.add(digest)
                     found[digest] = count(text.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["content_digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["content_digest", "n_tokens"])
 
     return encode
 
@@ -101,7 +101,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def read_cache(spark: SparkSession, cache_path: str, tokenizer: str) -> DataFrame:
     """Stored counts (content_digest, n_tokens) of one tokenizer version."""
     if not _exists(spark, cache_path):
-        return spark.createDataFrame([], "content_digest string, n_tokens long")
+        return spark.createDataFrame([], "content_digest binary, n_tokens long")
     return spark.read.schema(_CACHE).parquet(cache_path).where(F.col("tokenizer_digest") == tokenizer).drop("tokenizer_digest")
 
 
@@ -112,7 +112,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     shuffled, and by digest and id together, so copies of one text never meet in one task.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("content_digest", F.sha2("text", 256))
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
     keyed = staged(texts.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "token-digests")
     lenders = keyed.groupBy("content_digest").agg(F.min("id").alias("lender"))
     misses = staged(lenders.join(read_cache(spark, cache_path, version), "content_digest", "left_anti"), "token-misses")
@@ -121,7 +121,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
         (F.col("t.content_digest") == F.col("m.content_digest")) & F.col("t.id").eqNullSafe(F.col("m.lender")),
         "left_semi",
     )
-    counted = lent.select("content_digest", "text").mapInArrow(_encoder(tokenizer_path), "content_digest string, n_tokens long")
+    counted = lent.select("content_digest", "text").mapInArrow(_encoder(tokenizer_path), "content_digest binary, n_tokens long")
     counted = counted.dropDuplicates(["content_digest"])  # of such rows in two tasks
     counted.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
     stored = read_cache(spark, cache_path, version).join(lenders.select("content_digest"), "content_digest", "left_semi")
