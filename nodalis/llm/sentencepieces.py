@@ -39,7 +39,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SHIFT = np.uint64(44)
 LONG_WORD, FEW_WORDS, BLOCK_WORDS = 96, 4, 1 << 15
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
+ROWS = 1024  # rows that are encoded and sent on together
 NEWEST_PAIRS, MOST_PAIRS = 1 << 14, 4_000_000
 UNKNOWN_PENALTY = 10.0
 NEVER = np.int32(1 << 30)
@@ -348,7 +349,7 @@ class PieceModel:
         for i, text in enumerate(texts):
             pending.append(self.words(text))
             fresh.update(pending[-1])
-            if len(fresh) >= 4 * BLOCK_WORDS or i == len(texts) - 1:
+            if len(fresh) >= 2 * BLOCK_WORDS or i == len(texts) - 1:
                 self.learn(fresh)
                 for words in pending:
                     yield b"".join(map(self.memo.__getitem__, words))
@@ -375,7 +376,7 @@ def model(path: str) -> PieceModel:
 def _coder(path: str):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model(path)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = batch.column("text").to_pylist()
             packed = list(pieces.encode_packed(texts))
             counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from nodalis.llm.common import fresh_path, staged, table, text_or_empty
 
 OVER = 1024
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: Characters that every Unicode version puts in the same class, so that any engine splits them alike.
 SETTLED = regex.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f\\u2010-\\u2027]*+")
 #: The word pattern of byte-level BPE vocabularies. A fixed value.
