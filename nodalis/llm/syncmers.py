@@ -7,8 +7,9 @@ fingerprint lists the hashes of the chosen runs in text order, each once; the li
 fingerprints is their Jaccard similarity.
 
 Defined cases: a null text is an empty one; a text of fewer than K words has one anchor, the hash of
-all its words; a text without words has none, and two such fingerprints have likeness 1; equal texts
-have equal fingerprints. The following document is the next in descending id order, null ids last;
+all its words, and so has the fingerprint of a longer text without a chosen run (5 to 7 words with
+K = 5); a text without words has none, and two such fingerprints have likeness 1; equal texts have
+equal fingerprints. The following document is the next in descending id order, null ids last;
 documents with equal ids follow each other by a hash of their text; rows that repeat id and text
 stand in the chain once and get the same result; a lone document follows itself.
 """
@@ -24,20 +25,37 @@ K = 5
 PIECE = 32
 
 
+def _hashes(text: Column) -> Column:
+    """array<long>: hashes of the words of ``text``."""
+    pieces = F.regexp_extract_all(text, F.lit(f"{WORD[:-1]}{{1,{PIECE}}}"), F.lit(0))
+    return F.transform(pieces, lambda w: F.xxhash64(w))
+
+
+def _chosen(hashes: Column, k: int) -> Column:
+    def run(i: Column) -> Column:
+        parts = [F.get(hashes, i + j) for j in range(k)]
+        return F.when(F.least(*parts[1:-1]) >= F.least(parts[0], parts[-1]), F.xxhash64(*parts).bitwiseAND(0x7FFFFFFF).cast("int"))
+
+    several = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(hashes) - k), run)))
+    return F.when(F.size(hashes) >= k, several).otherwise(_whole(hashes))
+
+
+def _whole(hashes: Column) -> Column:
+    return F.when(F.size(hashes) > 0, F.array(F.hash(hashes))).otherwise(F.array().cast("array<int>"))
+
+
 def anchors(text: Column, k: int = K) -> Column:
     """array<int>: hashes of the chosen runs of ``text``, in order of their first occurrence."""
-    pieces = F.regexp_extract_all(text, F.lit(f"{WORD[:-1]}{{1,{PIECE}}}"), F.lit(0))
+    return F.transform(F.array(_hashes(text)), lambda hashes: _chosen(hashes, k))[0]
+
 
-    def chosen(hashes: Column) -> Column:
-        def run(i: Column) -> Column:
-            parts = [F.get(hashes, i + j) for j in range(k)]
-            return F.when(F.least(*parts[1:-1]) >= F.least(parts[0], parts[-1]), F.xxhash64(*parts).bitwiseAND(0x7FFFFFFF).cast("int"))
+def marks(text: Column, k: int = K) -> Column:
+    """array<int>: the anchors of ``text``, or the hash of all its words where no run is chosen."""
 
-        several = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(hashes) - k), run)))
-        one = F.array(F.hash(hashes))
-        return F.when(F.size(hashes) >= k, several).when(F.size(hashes) > 0, one).otherwise(F.array().cast("array<int>"))
+    def either(hashes: Column) -> Column:
+        return F.transform(F.array(_chosen(hashes, k)), lambda found: F.when(F.size(found) > 0, found).otherwise(_whole(hashes)))[0]
 
-    return F.transform(F.array(F.transform(pieces, lambda w: F.xxhash64(w))), chosen)[0]
+    return F.transform(F.array(_hashes(text)), either)[0]
 
 
 def printed(found: Column) -> Column:
@@ -73,7 +91,7 @@ def following(keys: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """(id, n_chars, fingerprint) for every row: the operator on its own."""
     text = text_or_empty(text_col)
-    return docs.select(id_col, F.char_length(text).cast("long").alias("n_chars"), printed(anchors(text, k)).alias("fingerprint"))
+    return docs.select(id_col, F.char_length(text).cast("long").alias("n_chars"), printed(marks(text, k)).alias("fingerprint"))
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,7 +112,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def send(requests: DataFrame) -> DataFrame:
         return texts.join(requests, own("own_id", "own_mark")).select(
-            "asker_id", "asker_mark", F.substring("text", F.lit(1), F.col("asked_chars")).alias("tail"), anchors(F.col("text")).alias("next_anchors")
+            "asker_id", "asker_mark", F.substring("text", F.lit(1), F.col("asked_chars")).alias("tail"), marks(F.col("text")).alias("next_anchors")
         )
 
     repeated = send(asked.where("own_rows > 1")).dropDuplicates(["asker_id", "asker_mark"])
@@ -102,7 +120,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = texts.join(sent, own("asker_id", "asker_mark"))
     n = F.char_length("text").cast("long")
     edited = met.withColumn("n_chars", n).withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("tail")))
-    marked = edited.select("id", "n_chars", "next_anchors", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("changed"))
+    marked = edited.select("id", "n_chars", "next_anchors", F.sha2("edited", 256).alias("edited_sha256"), marks(F.col("text")).alias("own"), marks(F.col("edited")).alias("changed"))
     return marked.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_anchors")).alias("near_next"),

@@ -78,3 +78,20 @@ def test_repeats_nulls_and_empty(spark):
     assert syncmers.compare_with_edits(spark.createDataFrame([], SCHEMA)).count() == 0
     lone = syncmers.compare_with_edits(spark.createDataFrame([(7, "a b c d e f", "x")], SCHEMA)).collect()
     assert lone[0].near_next == 1.0
+
+
+def test_short_texts_without_a_chosen_run(spark):
+    bare = {}
+    for i in range(400):
+        n = 5 + i % 3
+        text = " ".join(f"w{i}x{j}" for j in range(n))
+        if not brute(text) and len(bare.setdefault(n, [])) < 4:
+            bare[n].append(text)
+    assert all(len(bare[n]) == 4 for n in (5, 6, 7))
+    short = [t for n in (5, 6, 7) for t in bare[n]]
+    got = syncmers.compare_with_edits(spark.createDataFrame([(i, t, "x") for i, t in enumerate(short)], SCHEMA)).collect()
+    assert all(len(r.fingerprint.split(",")) == 1 and r.fingerprint for r in got)
+    assert len({r.fingerprint for r in got}) == len(short)
+    assert all(r.near_next == 0.0 and r.near_edited == 0.0 for r in got)
+    same = syncmers.compare_with_edits(spark.createDataFrame([(1, short[0], "x"), (2, short[0], "x"), (3, "", "x"), (4, None, "x")], SCHEMA)).collect()
+    assert {r.doc_id: r.near_next for r in same} == {1: 0.0, 2: 1.0, 3: 0.0, 4: 1.0}
