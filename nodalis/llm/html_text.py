@@ -12,7 +12,9 @@ they are, with the semantic tags hidden, and with them turned into class names.
 forms, side bars, comments, articles), filled with prose of the sample.
 
 Defined cases: null and empty pages have the empty text; markup that breaks off is read as far as it
-goes, unknown end tags are ignored; character references are decoded as in HTML, broken ones stay;
+goes, unknown end tags are ignored; scripts, styles and the like hold no text and end at their end tag
+or with the page, as in browsers; svg, which a tag of a page's text ends, is read as an element whose
+text is not the page's; character references are decoded as in HTML, broken ones stay;
 repeated rows get the same text each; a table without any text trains on the layouts alone, with
 stand-in words; an empty table gives no rows.
 """
@@ -35,20 +37,22 @@ from nodalis.llm.common import table
 SAMPLE_PAGES = 200
 LAYOUT_PAGES = 400
 SEED = 42
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|title|svg|iframe|object)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|select|title|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+EMPTY = re.compile(r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 # Fixed values of HTML.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark noscript object q s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]),
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "option": frozenset(["option"]),
 }
 CLOSES |= {t: frozenset(["p"]) for t in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
-HOLDERS = frozenset("ul ol dl table tbody thead body html div article section main aside nav".split())
+LEAVES_SVG = frozenset("b big body br center code dd dt em embed head i img li listing menu meta nobr ruby s small span strike strong sub sup tr td th tt u var".split()) | {t for t, ended in CLOSES.items() if "p" in ended}
+HOLDERS = frozenset("ul ol dl table tbody thead body html div article section main aside nav object foreignobject".split())
 ARTICLE = frozenset(["article", "main"])
-AROUND = frozenset("nav aside footer header form button menu dialog".split())
+AROUND = frozenset("nav aside footer header form button menu dialog svg".split())
 NOT_TEXT = frozenset("ad ads advert advertisement banner sponsor sponsored promo comment comments responses replies cookie notice consent menu nav navbar navigation sidebar widget footer header masthead breadcrumb breadcrumbs share social related newsletter signup subscribe popup modal pagination pager legal copyright toolbar".split())
 TEXT = frozenset("article post content entry story main body text".split())
 
@@ -68,6 +72,7 @@ def blocks(html: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     current, links = Block(), 0
+    pictures, drawn = 0, False  # open svg elements; whether the current block is text of one
 
     def close() -> None:
         nonlocal current
@@ -78,36 +83,54 @@ def blocks(html: str) -> list[Block]:
         current = Block()
 
     def say(text: str) -> None:
-        if text:
+        nonlocal drawn
+        if text and not (pictures and text.isspace()):
+            if bool(pictures) != drawn:
+                close()
+                drawn = bool(pictures)
             if not current.parts:
                 current.path = tuple(stack)
             current.parts.append(text)
             if links:
                 current.linked += len(text)
 
+    def pop(place: int) -> None:
+        nonlocal links, pictures
+        links -= sum(t == "a" for t, _ in stack[place:])
+        pictures -= sum(t == "svg" for t, _ in stack[place:])
+        del stack[place:]
+
     at = 0
-    for tag in TAG.finditer(html):
+    while tag := TAG.search(html, at):
         say(html[at : tag.start()])
         at = tag.end()
+        if tag[1] and pictures and (empty := EMPTY.match(html, tag.start())):
+            at = empty.end()
         name = tag[3]
         if name is None:
             continue
         name = name.lower()
         if tag[2]:
-            if name not in INLINE:
+            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+            if name not in INLINE and (not pictures or drawn):
                 close()
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] == name:
-                    links -= sum(t == "a" for t, _ in stack[place:])
-                    del stack[place:]
-                    break
+            if place >= 0:
+                inside = pictures
+                pop(place)
+                if inside and not pictures and name not in INLINE and name != "svg":
+                    close()
             continue
-        if name not in INLINE:
+        if pictures and name in LEAVES_SVG:
+            held = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("foreignobject", "desc")), -1)
+            place = next((i for i in range(held + 1, len(stack)) if stack[i][0] == "svg"), -1)
+            if place >= 0:
+                pop(place)
+        if name not in INLINE and name != "svg" and (not pictures or drawn):
             close()
+        if name not in INLINE:
             for place in range(len(stack) - 1, -1, -1):
                 if stack[place][0] in CLOSES.get(name, ()):
-                    links -= sum(t == "a" for t, _ in stack[place:])
-                    del stack[place:]
+                    pop(place)
                     break
                 if stack[place][0] in HOLDERS:
                     break
@@ -115,6 +138,7 @@ def blocks(html: str) -> list[Block]:
             named = tuple(sorted({n for m in NAMES.finditer(tag[4]) for n in NAME.findall((m[1] or m[2] or m[3] or "").lower())})) if tag[4] else ()
             stack.append((name, named))
             links += name == "a"
+            pictures += name == "svg"
     say(html[at:])
     close()
     return found

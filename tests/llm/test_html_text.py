@@ -70,3 +70,24 @@ def test_table(spark):
     empty = pages.limit(0)
     assert html_text.extract(empty, html_text.Field({}, ((0.0, 0.0), (0.0, 0.0)))).count() == 0
     assert html_text.train(empty).steps
+
+
+CUTS = [
+    "<svg class='i' viewBox='0 0 1 1'/>", "<svg-icon name='x'></svg-icon>", "<svg-icon name='x'>", "<object-view>", "<select-menu></select-menu>", "<template-x></template-x>", "<title-bar></title-bar>",
+    "<object data='a.swf'>", "<object data='a.swf'><param name='q' value='1'><embed src='a.swf'></object>", "<noscript>", "<noscript><img src='a.png'></noscript>",
+    "<svg><title>Logo</title><path d='M0 0'/></svg>", "<svg><style/><title/><g><path d='M0 0'/></g></svg>", "<svg><path d='M0 0'>", "<script src='a.js'></script >", "<title>x</title a>",
+]
+
+
+@pytest.mark.parametrize("cut", CUTS)
+def test_text_after_embedded_elements_stays(model, cut):
+    first, last = "Long words, many of them, stand in this paragraph. And more.", "The text goes on behind it, with many words, to its end."
+    html = f"<html><body><nav><ul><li><a href='#'>Home</a></li></ul></nav><article><p>{first}</p>{cut}<p>{last}</p><p>{last}</p></article><footer>&copy; site</footer></body></html>"
+    assert model.extract(html, {}) == f"{first} {last} {last}"
+
+
+def test_svg_inside_a_paragraph():
+    assert [b.text for b in html_text.blocks("<p>one <svg/>two <svg><g> <path/></g></svg> three</p>")] == ["one two three"]
+    found = html_text.blocks("<article><p>one <svg><text>label</text></svg> two</p><svg><foreignObject><p>inner</p></foreignObject></svg><p>three</p></article>")
+    assert [(b.text, html_text.marked(b.path)) for b in found] == [("one", True), ("label", False), ("two", True), ("inner", False), ("three", True)]
+    assert [t for t, _ in found[-1].path] == ["article", "p"]
