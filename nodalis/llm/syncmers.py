@@ -1,6 +1,10 @@
 """Document fingerprints from closed syncmers, with Spark expressions only.
 
-A text is a sequence of words (pieces of at most ``PIECE`` characters without white space). A run of
+A text is a sequence of words: stretches without white space, of which those over ``PIECE`` characters
+(Chinese, Japanese, Thai, encoded lines) are cut before two characters whose hash is less than that of
+the pair before and at most that of the ``NEAR`` pairs on each side, so that an insertion moves the cuts
+beside it only. A longer piece without such a place, as of one repeated character, is cut every
+``PIECE`` characters from its own beginning. A run of
 ``K`` words is chosen if the smallest hash among its words stands at one of its two ends: whether a
 run is chosen depends on the run alone, so an edit disturbs only the runs that touch it. The
 fingerprint lists the hashes of the chosen runs in text order, each once; the likeness of two
@@ -23,12 +27,44 @@ from nodalis.llm.common import WORD, staged, table, text_or_empty
 
 K = 5
 PIECE = 32
+NEAR = 3
 
 
 def _hashes(text: Column) -> Column:
     """array<long>: hashes of the words of ``text``."""
-    pieces = F.regexp_extract_all(text, F.lit(f"{WORD[:-1]}{{1,{PIECE}}}"), F.lit(0))
-    return F.transform(pieces, lambda w: F.xxhash64(w))
+
+    def pieces(words: Column) -> Column:
+        several = F.flatten(F.transform(words, lambda w: F.when(F.char_length(w) > PIECE, _cut(w)).otherwise(F.array(w))))
+        return F.when(F.exists(words, lambda w: F.char_length(w) > PIECE), several).otherwise(words)
+
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.transform(F.transform(F.array(words), pieces)[0], lambda w: F.xxhash64(w))
+
+
+def _cut(stretch: Column) -> Column:
+    """array<string>: the pieces of a stretch of over ``PIECE`` characters, cut by its content."""
+
+    def places(chars: Column, pairs: Column) -> Column:
+        def lowest(i: Column) -> Column:
+            own = F.get(pairs, i)
+            return (own < F.get(pairs, i - 1)) & (own <= F.least(*(F.get(pairs, i + j) for j in range(-NEAR, NEAR + 1) if j)))
+
+        ends = F.array(F.size(chars))
+        return F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(NEAR), F.size(pairs) - 1 - NEAR), lowest), ends)
+
+    def between(chars: Column, cuts: Column) -> Column:
+        def piece(j: Column) -> Column:
+            start, end = F.get(cuts, j), F.get(cuts, j + 1)
+            return F.transform(F.sequence(start, end - 1, F.lit(PIECE)), lambda at: F.array_join(F.slice(chars, at + 1, F.least(F.lit(PIECE), end - at)), ""))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), piece))
+
+    def cut(chars: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(0), F.size(chars) - 2), lambda i: F.xxhash64(F.get(chars, i), F.get(chars, i + 1)))
+        cuts = F.transform(F.array(pairs), lambda hashes: places(chars, hashes))[0]
+        return F.transform(F.array(cuts), lambda found: between(chars, found))[0]
+
+    return F.transform(F.array(F.regexp_extract_all(stretch, F.lit("(?s)."), F.lit(0))), cut)[0]
 
 
 def _chosen(hashes: Column, k: int) -> Column:

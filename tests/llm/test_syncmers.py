@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -95,3 +96,30 @@ def test_short_texts_without_a_chosen_run(spark):
     assert all(r.near_next == 0.0 and r.near_edited == 0.0 for r in got)
     same = syncmers.compare_with_edits(spark.createDataFrame([(1, short[0], "x"), (2, short[0], "x"), (3, "", "x"), (4, None, "x")], SCHEMA)).collect()
     assert {r.doc_id: r.near_next for r in same} == {1: 0.0, 2: 1.0, 3: 0.0, 4: 1.0}
+
+
+def by_content(stretch):
+    """Pieces of a long stretch: cut before the least pair of characters among seven, else every 32."""
+    pairs = [xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42)) for a, b in zip(stretch, stretch[1:], strict=False)]
+    pairs = [p - (1 << 64) if p >= 1 << 63 else p for p in pairs]
+    low = [i for i in range(3, len(pairs) - 3) if pairs[i] < pairs[i - 1] and pairs[i] == min(pairs[i - 3 : i + 4])]
+    return [stretch[a:b][i : i + 32] for a, b in zip([0, *low], [*low, len(stretch)], strict=True) for i in range(0, b - a, 32)]
+
+
+def test_unspaced_texts_are_cut_by_content(spark):
+    draw = random.Random(5)
+    alphabets = ["ACGT", "0123456789abcdef", "".join(map(chr, range(0x4E00, 0x5200))), "\U0001f600\U0001f601\u0e01\u0e02z\u0085\u2028"]
+    bases = ["".join(draw.choice(letters) for _ in range(n)) for letters in alphabets for n in (33, 120, 700)] + ["ab" * 300]
+    rows = [(i, t, "x") for i, t in enumerate(b for base in bases for b in (base, draw.choice("yq\u00e9") + base, "two words " + base))]
+    texts = spark.createDataFrame(rows, SCHEMA)
+    hashes = {r.doc_id: r.h for r in texts.select("doc_id", syncmers._hashes(F.col("text")).alias("h")).collect()}
+    for i, t, _ in rows:
+        assert hashes[i] == [long64(p.encode()) for w in t.split(" ") for p in (by_content(w) if len(w) > 32 else [w])]
+    found = {r.doc_id: set(r.a) for r in texts.select("doc_id", syncmers.marks(F.col("text")).alias("a")).collect()}
+    for k, base in enumerate(bases):
+        for other in (3 * k + 1, 3 * k + 2):
+            if len(base) > 100:
+                shared, together = len(found[3 * k] & found[other]), len(found[3 * k] | found[other])
+                assert together - shared <= 8 and shared / together > (0.8 if len(base) == 700 else 0.2), (base, shared, together)
+    long = spark.createDataFrame([(1, "\u4e00\u4e8c\u4e09" * 200_000 + "\u56db", "x")], SCHEMA)
+    assert len(long.select(syncmers._hashes(F.col("text")).alias("h")).first().h) > 100_000
