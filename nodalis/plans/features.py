@@ -114,8 +114,8 @@ def map_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oracle, persistence and null shadow prices through one map."""
     mu, sf, cong = _planted(spark, sf_dir)
-    day = cong.where("ts >= '2024-01-10' AND ts < '2024-01-12'").select("ts", "sp", F.col("c").alias("y"))
+    truth = cong.select("ts", "sp", F.col("c").alias("y"))
     before = mu.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
     nothing = mu.withColumn("mu", F.lit(0.0))
-    got = evaluation.source_scores(day, {"oracle": mu, "persistence": before, "null": nothing}, sf)
+    got = evaluation.source_scores(truth, {"oracle": mu, "persistence": before, "null": nothing}, sf)
     return got.select("source", *(r6(c).alias(c) for c in ("spearman", "topdecile", "sign_agree")), "n_hours")

@@ -17,7 +17,7 @@ def _windows(spark: SparkSession) -> DataFrame:
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    mu, sf = market.shadow_prices(spark, sf_dir).select("ts", "key", "mu"), market.shift_factors(spark, sf_dir).where("place < 24")
+    mu, sf = market.shadow_prices(spark, sf_dir).select("ts", "key", "mu"), market.shift_factors(spark, sf_dir)
     return mu, sf, projection.project(mu, sf).withColumnRenamed("point", "c")
 
 
@@ -48,15 +48,14 @@ def complete_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mst_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = projection.reach(market.shift_factors(spark, sf_dir).where("vec_id % 10 = 3"), 0.5, 0.05, 20).select("key", "sp")
+    near = projection.reach(market.shift_factors(spark, sf_dir), 0.5, 0.05, 20).select("key", "sp")
     return models.mst_edges(near.join(market.geography(spark, sf_dir), "sp"))
 
 
 @query()
 def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands of 40 draws against the realised projection of one day."""
-    mu = market.shadow_prices(spark, sf_dir).where("ts >= '2024-01-10' AND ts < '2024-01-11'")
-    sf = market.shift_factors(spark, sf_dir).where("place < 24")
+    """Bands of 40 draws for every hour and node."""
+    mu, sf = market.shadow_prices(spark, sf_dir), market.shift_factors(spark, sf_dir)
     predictions = mu.select("ts", "key", F.lit(0.8).alias("p_bind"), F.col("mu").alias("mu_gbm"))
     drawn = models.draws(predictions, sf, 40, 0.4)
     bands = drawn.groupBy("ts", "sp").agg(F.percentile("point", [0.1, 0.5, 0.9]).alias("p"))
