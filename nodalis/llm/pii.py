@@ -124,7 +124,7 @@ def proposed_spans(text: str) -> list[tuple[str, int, int]]:
         return found
     if "." in text:
         for run in DOTTED.finditer(text):
-            parts = [(m[0], run.start() + m.start(), run.start() + m.end()) for m in GROUP.finditer(run[0])] if 4 <= run[0].count(".") <= 8 else []
+            parts = [(m[0], run.start() + m.start(), run.start() + m.end()) for m in GROUP.finditer(run[0])] if run[0].count(".") > 3 else []
             found += [("ip", parts[i][1], parts[i + 3][2]) for i in range(len(parts) - 3) if all(_small(p) for p, _, _ in parts[i : i + 4])]
     for run in DIGIT_RUN.finditer(text):
         if run.end() - run.start() < 16:
@@ -132,8 +132,11 @@ def proposed_spans(text: str) -> list[tuple[str, int, int]]:
         groups = [(run.start() + m.start(), run.start() + m.end()) for m in GROUP.finditer(run[0])]
         for i, (start, _) in enumerate(groups):
             count = 0
-            for first, last in groups[i : i + 5]:
+            for j in range(i, len(groups)):
+                first, last = groups[j]
                 count += last - first
+                if count > 19:
+                    break
                 if 16 <= count <= 19 and luhn(_digits(text[start:last])):
                     found.append(("card", start, last))
     if "+" in text:

@@ -78,3 +78,15 @@ def test_estimation_prefers_agreeing_labelers():
 def test_empty(spark):
     scanned = pii.scan(spark.createDataFrame([], SCHEMA))
     assert pii.spans(scanned, pii.learn(scanned)).count() == 0
+
+
+def test_candidates_of_many_groups():
+    pairs = "45 24 13 22 64 65 28 76"
+    for card in (pairs, " ".join(pairs.replace(" ", ""))):
+        text = f"no {card} 12345 end"
+        assert ("card", 3, 3 + len(card)) in pii.proposed_spans(text)
+    text = "x 999." * 2 + "999.999.999.999.999.999.999.10.20.30.40"
+    at = text.index("10.20.30.40")
+    assert ("ip", at, at + 11) in pii.proposed_spans(text)
+    for unit in ("12 ", "7.", "1 2.", "1234 "):
+        pii.proposed_spans(unit * 100_000)
