@@ -211,7 +211,7 @@ def _record(source: _Range, start: int, with_payload: bool) -> tuple[dict, int]
             head += out
             end = head.find(b"\r\n\r\n")
             if end < 0:
-                if len(head) > HEADER_LIMIT or not head.startswith(b"WARC/1."[: len(head)]):
+                if not head.startswith(b"WARC/1."[: len(head)]):
                     return None
                 continue
             headers = _headers(head[:end])

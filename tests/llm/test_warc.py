@@ -70,3 +70,12 @@ def test_damage_and_empty(spark, tmp_path):
         list(warc.records_in_range(str(junk), len(data), 0, len(data), True))
     empty = warc.write_warc(warc.classify(pages.limit(0), "page_id", "html"), fresh_path(spark, "warc-test"))
     assert warc.read_warc(empty).count() == 0
+
+
+def test_very_long_urls(spark):
+    draw = random.Random(3)
+    urls = ["u", *("http://x/" + "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for n in (70_000, 1_500_000, 2_500_000)), "v"]
+    pages = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(warc.classify(pages, "page_id", "html"), fresh_path(spark, "long-urls"))
+    got = warc.read_warc(manifest, split_bytes=500_000).select(warc.key_of("record_id").alias("id"), "target_uri", "payload").collect()
+    assert sorted((r.id, r.target_uri, bytes(r.payload).decode()) for r in got) == [(i, u, f"page {i}") for i, u in enumerate(urls)]
