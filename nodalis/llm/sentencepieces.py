@@ -37,11 +37,12 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 SHIFT = np.uint64(44)
 LONG_WORD, FEW_WORDS, BLOCK_WORDS = 96, 4, 1 << 15
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000  # words in each of the memory's two generations
 ROWS = 1024  # rows that are encoded and sent on together
-NEWEST_PAIRS, MOST_PAIRS = 1 << 14, 4_000_000
+PAIR_BITS = 20  # 2 to this power pairs have their answers kept
 UNKNOWN_PENALTY = 10.0
 NEVER = np.int32(1 << 30)
 
@@ -124,18 +125,18 @@ class PieceModel:
         keys = self.hash[list(self.tokens.values())]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
-        self.all_keys, self.all_tokens = self.sorted_keys(list(self.tokens.values()))
-        self.keys, self.key_tokens = self.sorted_keys(usable)
+        self.all_keys, self.usable_keys = self.sorted_keys(list(self.tokens.values())), self.sorted_keys(usable)
         chosen = set(usable)
         self.usable = {p for p, i in self.tokens.items() if i in chosen}
-        self.seen = np.zeros(1 << (64 - int(SHIFT)), bool)
-        self.seen[(keys >> SHIFT).astype(np.int64)] = True
         self.sizes = self.length.tolist()
+        self.printed_length = np.array(list(map(len, self.printed)), np.int32)
+        self.printed_start = np.concatenate([[0], np.cumsum(self.printed_length, dtype=np.int64)])[:-1]
+        self.printed_bytes = np.frombuffer(b"".join(self.printed), np.uint8)
         if self.kind == BPE:
             self.merge_tables()
-        self.apart_known: dict[int, bool] = {}
-        self.pairs = [(np.zeros(1, np.int64) - 1, np.zeros(1, bool))] * 2  # all but the newest, the newest
+        self.pair_codes, self.pair_apart = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def hashed(text: str) -> int:
@@ -144,10 +145,17 @@ class PieceModel:
             value = (value * int(FACTOR) + ord(c) + 1) % (1 << 64)
         return value
 
-    def sorted_keys(self, tokens: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def sorted_keys(self, tokens: list[int]) -> tuple:
+        """Sorted keys (hashes, spread), their tokens, which values a key's first bits take, where the keys
+        of each value begin, and the most keys of one value."""
         tokens = np.array(tokens, np.int64)
-        order = np.argsort(self.hash[tokens], kind="stable")
-        return self.hash[tokens][order], tokens[order]
+        keys = self.hash[tokens] * SPREAD
+        order = np.argsort(keys, kind="stable")
+        keys, tokens = keys[order], tokens[order]
+        slots, first, members = np.unique((keys >> SHIFT).astype(np.int64), return_index=True, return_counts=True)
+        seen, starts = np.zeros(1 << (64 - int(SHIFT)), bool), np.zeros(1 << (64 - int(SHIFT)), np.int32)
+        seen[slots], starts[slots] = True, first
+        return keys, tokens, seen, starts, int(members.max(initial=0))
 
     def replay(self, piece: str) -> list[tuple[int, int, int]] | None:
         """The merges of a piece on its own as (rank, first token, last token after it); None if they
@@ -174,14 +182,19 @@ class PieceModel:
             for i, (rank, first, last) in enumerate(steps):
                 self.next_rank[token, i], self.first[token, i + 1], self.last[token, i + 1] = rank, first, last
 
-    def lookup(self, hashes: np.ndarray, keys: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """The tokens of hashes; -1 where there is none. A table of the keys' first bits spares most searches."""
+    @staticmethod
+    def lookup(hashes: np.ndarray, table: tuple) -> np.ndarray:
+        """The tokens of hashes in sorted_keys(); -1 where there is none."""
+        keys, tokens, seen, starts, most = table
         out = np.full(hashes.shape, -1, np.int64)
-        likely = np.flatnonzero(self.seen[(hashes >> SHIFT).astype(np.int64)])
-        if likely.size:
-            wanted = hashes.ravel()[likely]
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            out.ravel()[likely] = np.where(keys[at] == wanted, tokens[at], -1)
+        spread = (hashes * SPREAD).ravel()
+        likely = np.flatnonzero(seen[(spread >> SHIFT).astype(np.int64)])
+        wanted = spread[likely]
+        at = starts[(wanted >> SHIFT).astype(np.int64)]
+        for step in range(most):
+            place = np.minimum(at + step, len(keys) - 1)
+            hit = keys[place] == wanted
+            out.ravel()[likely[hit]] = tokens[place[hit]]
         return out
 
     def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -192,7 +205,7 @@ class PieceModel:
         while live.size:
             a, b = self.last[left[live], i[live]], self.first[right[live], j[live]]
             joined = self.hash[a] * powers[self.length[b]] + self.hash[b]
-            met = self.lookup(joined, self.all_keys, self.all_tokens)
+            met = self.lookup(joined, self.all_keys)
             cross = np.where((met >= 0) & (self.length[a] + self.length[b] == self.length[met]), self.rank[met], NEVER)
             ours, theirs = self.next_rank[left[live], i[live]], self.next_rank[right[live], j[live]]
             crossed = (cross < ours) & (cross <= theirs) & (cross < NEVER)
@@ -205,32 +218,22 @@ class PieceModel:
         return apart
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """stay_apart() with memory: two sorted tables of pairs, the newer one small."""
+        """stay_apart() with memory: every pair has one place in a table, which the newest pair holds."""
         codes = left * np.int64(self.inert + 1) + right
-        out, open_ = np.zeros(len(codes), bool), np.arange(len(codes))
-        for known, apart in self.pairs:
-            wanted = codes[open_]
-            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            hit = known[at] == wanted
-            out[open_[hit]] = apart[at[hit]]
-            open_ = open_[~hit]
-        if open_.size:
-            new, back = np.unique(codes[open_], return_inverse=True)
+        place = ((codes.astype(np.uint64) * FACTOR) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, known = self.pair_apart[place], self.pair_codes[place] == codes
+        if not known.all():
+            open_ = np.flatnonzero(~known)
+            new, first, back = np.unique(codes[open_], return_index=True, return_inverse=True)
             found = self.stay_apart(new // (self.inert + 1), new % (self.inert + 1))
             out[open_] = found[back]
-            self.pairs[1] = self.merged(self.pairs[1], (new, found))
-            if len(self.pairs[1][0]) > NEWEST_PAIRS:
-                if len(self.pairs[0][0]) > MOST_PAIRS:
-                    self.pairs[0] = (np.zeros(1, np.int64) - 1, np.zeros(1, bool))
-                self.pairs = [self.merged(*self.pairs), (np.zeros(1, np.int64) - 1, np.zeros(1, bool))]
+            taken = place[open_[first]]
+            self.pair_codes[taken] = new
+            self.pair_apart[taken] = found
+            own = self.pair_codes[taken] == new  # of two new pairs with one place the last code stays
+            self.pair_apart[taken[own]] = found[own]
         return out
 
-    @staticmethod
-    def merged(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        codes, apart = (np.concatenate(x) for x in zip(one, other, strict=True))
-        order = np.argsort(codes, kind="stable")
-        return codes[order], apart[order]
-
     def segment_batch(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of words of one length, all advancing together: rows filled from the right, and counts."""
         n, length = len(words), len(words[0])
@@ -245,17 +248,20 @@ class PieceModel:
             hashes[1:] = hashes[:-1] * FACTOR + point
             hashes[0] = point
             width = min(span, end)
-            tokens = self.lookup(hashes[:width], self.keys, self.key_tokens)
+            tokens = self.lookup(hashes[:width], self.usable_keys)
             tokens[0][tokens[0] < 0] = self.inert
-            scores = best[end - width : end][::-1].copy()
-            scores[tokens < 0] = -np.inf
+            before = last[end - width : end][::-1]
             if self.kind == BPE:
-                before = last[end - width : end][::-1]
-                sizes, rows = np.nonzero((scores > -np.inf) & (before >= 0))
-                apart = self.fits(before[sizes, rows], tokens[sizes, rows])
-                scores[sizes[~apart], rows[~apart]] = -np.inf
-            else:
-                scores += self.score[tokens]
+                sizes, rows = np.nonzero((tokens >= 0) & (before >= 0))
+                token = tokens[sizes, rows]
+                apart = self.fits(before[sizes, rows], token)
+                last[end, rows[apart]] = token[apart]
+                if width == end:  # a piece that begins the word has none before it
+                    whole = np.flatnonzero(tokens[width - 1] >= 0)
+                    last[end, whole] = tokens[width - 1, whole]
+                continue
+            scores = best[end - width : end][::-1] + self.score[tokens]
+            scores[tokens < 0] = -np.inf
             size = scores.argmax(axis=0)
             best[end], last[end] = scores[size, np.arange(n)], tokens[size, np.arange(n)]
         found, counts = np.zeros((n, length), "<i4"), np.zeros(n, np.int64)
@@ -268,6 +274,13 @@ class PieceModel:
             live = live[at[live] > 0]
         return found, counts
 
+    def fits_one(self, left: int, right: int) -> bool:
+        code = left * (self.inert + 1) + right
+        place = (code * int(FACTOR) % (1 << 64)) >> (64 - PAIR_BITS)
+        if self.pair_codes[place] != code:
+            self.pair_codes[place], self.pair_apart[place] = code, self.stay_apart(np.array([left]), np.array([right]))[0]
+        return bool(self.pair_apart[place])
+
     def segment_word(self, word: str) -> list[int]:
         """Tokens of one word, by the same steps."""
         n = len(word)
@@ -278,14 +291,8 @@ class PieceModel:
                 token = self.tokens[piece] if piece in self.usable else self.inert if size == 1 else -1
                 if token < 0 or best[end - size] == -np.inf:
                     continue
-                if self.kind == BPE and end > size:
-                    code = last[end - size] * (self.inert + 1) + token
-                    if code not in self.apart_known:
-                        if len(self.apart_known) > 1_000_000:
-                            self.apart_known.clear()
-                        self.apart_known[code] = bool(self.stay_apart(np.array([last[end - size]]), np.array([token]))[0])
-                    if not self.apart_known[code]:
-                        continue
+                if self.kind == BPE and end > size and not self.fits_one(last[end - size], token):
+                    continue
                 score = best[end - size] + (float(self.score[token]) if self.kind == UNIGRAM else 0.0)
                 if last[end] < 0 or score > best[end]:
                     best[end], last[end], size_at[end] = score, token, size
@@ -320,12 +327,17 @@ class PieceModel:
         return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", text) if self.whole_words else [text]
 
     def learn(self, words: set[str]) -> None:
-        """Encode words that are not in memory."""
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
+        """Encode words that are not in memory. A full generation becomes the older one, and words of the
+        older one come back when they are asked for, so frequent words are never learnt again."""
+        if len(self.memo) + len(words) > MEMO_WORDS and self.memo:
+            self.memo, self.older = {}, self.memo
         by_length: dict[int, list[str]] = {}
         for word in words:
-            if word not in self.memo:
+            if word in self.memo:
+                continue
+            if (known := self.older.get(word)) is not None:
+                self.memo[word] = known
+            else:
                 by_length.setdefault(len(word), []).append(word)
         for length, group in by_length.items():
             if length > LONG_WORD or len(group) < FEW_WORDS:
@@ -358,13 +370,28 @@ class PieceModel:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [np.frombuffer(x, "<i4").tolist() for x in self.encode_packed(texts)]
 
+    def decode_packed(self, packed: list[bytes]) -> list[bytes]:
+        """The bytes that packed ids stand for, all lists in one gather from the pieces' bytes. Control
+        pieces vanish, and with them the space put before a text."""
+        counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids = np.frombuffer(b"".join(packed), "<i4")
+        lengths = self.printed_length[ids]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        shift = self.printed_start[ids] - (ends - lengths)
+        whole = self.printed_bytes[np.repeat(shift, lengths) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        out = [whole[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+        if not self.prefix:
+            return out
+        return [x[1:] if x.startswith(b" ") and self.spaced(y) else x for x, y in zip(out, packed, strict=True)]
+
+    def spaced(self, packed: bytes) -> bool:
+        """Whether the first piece that prints begins with the space of the text's beginning."""
+        first = next((i for (i,) in struct.iter_unpack("<i", packed) if self.pieces[i][2] != CONTROL), None)
+        return first is not None and self.pieces[first][0].startswith(SPACE)
+
     def decode(self, ids: list[int]) -> str:
-        """The text of ids. Control pieces vanish, and with them the space put before the text."""
-        first = next((n for n, i in enumerate(ids) if self.pieces[i][2] != CONTROL), None)
-        out = b"".join(map(self.printed.__getitem__, ids))
-        if first is not None and self.prefix and self.pieces[ids[first]][0].startswith(SPACE):
-            out = out[1:]
-        return out.decode("utf-8", "replace")
+        return self.decode_packed([np.array(ids, "<i4").tobytes()])[0].decode("utf-8", "replace")
 
 
 @cache
@@ -381,14 +408,16 @@ def _coder(path: str):
             packed = list(pieces.encode_packed(texts))
             counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            decoded = [pieces.decode(np.frombuffer(x, "<i4").tolist()) for x in packed]
+            decoded = pieces.decode_packed(packed)
+            same = [a.encode("utf-8", "replace") == b for a, b in zip(texts, decoded, strict=True)]
+            decoded = [b if fine else b.decode("utf-8", "replace").encode() for b, fine in zip(decoded, same, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4"))),
                     pa.array(counts),
-                    pa.array([hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in decoded]),
-                    pa.array([a == b for a, b in zip(texts, decoded, strict=True)]),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
+                    pa.array(same),
                 ],
                 ["id", "ids", "n_tokens", "decoded_sha256", "round_trip"],
             )
