@@ -7,11 +7,14 @@ every vector it meets in full, and stops once the bound on all vectors not met y
 against the values at the current depth - is below the kth score found. Blocks of queries meet
 blocks of vectors; each pair yields k rows per query at most, and a ranked window merges them.
 
-Defined cases: vectors that are null, or hold null, NaN or an infinity, and rows without an id take
-no part; ties go to the smaller id; rows that share the query's id count as the query's own and are
-no candidates; rows repeated under another id are candidates each; vectors meet only vectors of the
-same length, and empty ones score 0; a query without candidates has no rows; an empty table gives
-no rows.
+Defined cases: vectors that are null, or hold null, NaN, an infinity or a value that is none once
+scaled, and rows without an id take no part; ties go to the smaller id; query rows that share an id
+are one query, that of the smallest vector in array order; all rows of the query's id count as its
+own and are no candidates; rows repeated under another id are candidates each; vectors meet only
+vectors of the same length, and empty ones score 0; scores that a long
+holds are exact, larger ones are returned as the nearest long and ranked as doubles between blocks; very long vectors make blocks larger, nothing else;
+further columns, whatever their names, are ignored; a query without candidates has no rows; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from nodalis.llm.common import staged, table
 VECTOR_BLOCK = 8192
 QUERY_BLOCK = 16384
 FIRST_DEPTH = 16
-EXACT = 2.0**53
+EXACT, LONG = 2.0**53, 2.0**62
+LARGEST = 2**1023
 
 
 def quantised(rows: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
     """(id, vector array<double> of whole numbers) of the rows that take part."""
-    sound = F.forall(vector_col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    sound = F.forall(F.col(vector_col).cast("array<double>"), lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) * scale < float("inf")), F.lit(False)))
     return rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound).select(
         F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
     ).select("id", F.lit(scale).alias("scale"), "vector")
@@ -62,12 +66,28 @@ class SortedLists:
         self.ids, self.vectors = ids, vectors
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0)
-        self.largest = float(np.abs(vectors).max(initial=0.0))
+        self.largest = np.abs(vectors).max(axis=1, initial=0.0)
 
     def score(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        if self.largest * float(np.abs(query).max(initial=0.0)) * max(1, query.size) < EXACT:
+        """Exact inner products: in doubles, longs or, where those are too small, Python's integers."""
+        most = self.largest[rows] * (float(np.abs(query).max(initial=0.0)) * max(1, query.size))
+        if (most < EXACT).all():
             return (self.vectors[rows] @ query).astype(np.int64)
-        return self.vectors[rows].astype(np.int64) @ query.astype(np.int64)
+        out = np.zeros(len(rows), object)
+        small, middle = most < EXACT, (most >= EXACT) & (most < LONG)
+        out[small] = (self.vectors[rows[small]] @ query).astype(np.int64).tolist()
+        if middle.any():
+            out[middle] = (self.vectors[rows[middle]].astype(np.int64) @ query.astype(np.int64)).tolist()
+        whole = [int(y) for y in query.tolist()]
+        for place in np.flatnonzero(~(small | middle)):
+            out[place] = sum(int(x) * y for x, y in zip(self.vectors[rows[place]].tolist(), whole, strict=True))
+        return out
+
+    @staticmethod
+    def ranked(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+        if scores.dtype == object:
+            return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+        return np.lexsort((ids, -scores))[:k]
 
     def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors but the query's own, best first."""
@@ -86,18 +106,19 @@ class SortedLists:
             met |= fresh
             scores = np.concatenate([best, self.score(rows, query)])
             ids = np.concatenate([best_ids, self.ids[rows]])
-            if scores.size > 4 * k:
+            if scores.dtype != object and scores.size > 4 * k:
                 least = np.partition(scores, scores.size - k)[scores.size - k]
                 keep = scores >= least
                 scores, ids = scores[keep], ids[keep]
-            ranked = np.lexsort((ids, -scores))[:k]
+            ranked = self.ranked(ids, scores, k)
             best_ids, best = ids[ranked], scores[ranked]
             if depth >= n:
                 return best_ids, best
-            bound = float(query[up] @ self.values[n - depth, up] + query[down] @ self.values[depth - 1, down])
-            slack = abs(bound) * 2.0**-50  # sums beyond 2**53 are rounded
-            if best.size == k and float(best[-1]) > bound + slack:
-                return best_ids, best
+            if best.size == k:
+                terms = np.concatenate([query[up] * self.values[n - depth, up], query[down] * self.values[depth - 1, down]])
+                kth, slack = float(best[-1]), float(np.abs(terms).sum()) * 2.0**-48  # sums beyond 2**53 are rounded
+                if np.isfinite(slack) and kth - abs(kth) * 2.0**-50 > float(terms.sum()) + slack:
+                    return best_ids, best
             done, depth = depth, min(n, 2 * depth)
 
 
@@ -107,7 +128,7 @@ def _unpack(ids: bytes, matrix: bytes, dims: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _searcher(k: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("size", pa.float64())])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +138,9 @@ def _searcher(k: int):
                 found = []
                 for own, query in zip(*_unpack(pair["query_ids"], pair["query_matrix"], pair["dims"]), strict=True):
                     ids, scores = lists.top(int(own), query, k)
-                    found.append((np.full(len(ids), own), ids, scores))
+                    scores = scores.tolist()
+                    longs = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in scores], np.int64)
+                    found.append((np.full(len(ids), own), ids, longs, np.array([float(min(max(x, -LARGEST), LARGEST)) for x in scores])))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=schema)
 
@@ -126,6 +149,7 @@ def _searcher(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best vectors. Both tables are quantised()."""
+    queries = queries.groupBy("id").agg(F.first("scale").alias("scale"), F.min("vector").alias("vector"))
     rows, asked = vectors.count(), queries.count()
     blocks, query_blocks = max(1, -(-rows // VECTOR_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     have = staged(_packed(vectors, blocks), "topk-vectors").withColumn("query_block", F.explode(F.expr(f"sequence(0, {query_blocks - 1})")))
@@ -134,8 +158,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         F.explode(F.expr(f"sequence(0, {blocks - 1})")).alias("block"),
     )
     pairs = have.join(want, ["block", "query_block", "dims"]).repartition(blocks * query_blocks)
-    found = pairs.select("dims", "ids", "matrix", "query_ids", "query_matrix").mapInArrow(_searcher(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.select("dims", "ids", "matrix", "query_ids", "query_matrix").mapInArrow(_searcher(k), "query_id long, vec_id long, score long, size double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("size"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -151,7 +175,7 @@ WITH v AS (
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  FROM (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id) AS q JOIN v AS c ON q.vec_id <> c.vec_id
 ), r AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
 )

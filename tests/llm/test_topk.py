@@ -35,7 +35,7 @@ def test_against_brute_force(spark, blocks, monkeypatch):
 def test_repeated_rows_and_empty(spark):
     rows = [(0, [1.0, 1.0], 0, "c"), (0, [1.0, 1.0], 0, "c"), (1, [2.0, 0.0], 0, "c"), (1, [2.0, 0.0], 0, "c"), (2, [0.0, 1.0], 0, "c")]
     vectors = topk.quantised(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding")
-    got = topk.top_k(vectors, vectors.where("id % 100 = 0").distinct(), 10).collect()
+    got = topk.top_k(vectors, vectors.where("id % 100 = 0"), 10).collect()
     assert sorted((r.vec_id, r.score) for r in got) == [(1, 2 * 1024 * 1024), (1, 2 * 1024 * 1024), (2, 1024 * 1024)]
     empty = vectors.limit(0)
     assert topk.top_k(empty, empty, 10).count() == 0
@@ -47,6 +47,17 @@ def test_large_values_stay_exact():
     assert ids.tolist() == [1, 0] and scores.tolist() == [2**60 + 2, 2**60 + 1]
 
 
+def test_differing_rows_of_one_query_and_huge_components(spark):
+    rows = [(0, [1.0, 0.0], 0, "c"), (0, [0.5, 0.0], 0, "c"), (1, [3e20, 1.0], 0, "c"), (2, [2.0, 9.0], 0, "c"), (3, [3.4e38, 0.0], 0, "c"), (4, [-3.4e38, 0.0], 0, "c")]
+    vectors = topk.quantised(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding")
+    got = topk.top_k(vectors, vectors.where("id % 100 = 0"), 10).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 1, 2, 4]
+    assert [r.score for r in got if r.vec_id == 2] == [512 * 2048] and [r.score for r in got if r.vec_id in (3, 4)] == [2**63 - 1, -(2**63)]
+    lists = topk.SortedLists(np.arange(3), np.array([[3.0e41, 1.0], [3.0e41, 2.0], [-3.0e41, 5.0]]))
+    ids, scores = lists.top(-1, np.array([3.0e41, 1.0]), 2)
+    assert ids.tolist() == [1, 0] and scores.tolist() == [int(3.0e41) ** 2 + 2, int(3.0e41) ** 2 + 1]
+
+
 def test_algorithm_stops_early():
     draw = np.random.default_rng(0)
     vectors = draw.exponential(1.0, (20_000, 2)).round(3) * 1000
