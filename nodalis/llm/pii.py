@@ -1,24 +1,30 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
 Base spans follow fixed patterns and always stay. Wider patterns propose further spans (parts of a
-run that failed as a whole, numbers without country code, addresses with unusual characters). On
-every candidate, base ones included, six labelers vote for, against or not at all: strict shape,
-check rules, gazetteers, words of context, neighbouring characters, filler digits. A candidate is
-then its kind, its votes and its shape, one of a bounded set of patterns, so that one aggregation
-over all documents gives the counts of all patterns. On those counts expectation-maximisation
-estimates each labeler's reliability, and a logistic classifier over kind, votes and shape is
-trained on the posterior. A proposed span is added if it is accepted and overlaps no span before it
+run that failed as a whole, numbers without country code, spelled-out and unusual addresses, IPv6,
+cards of 13 to 15 digits or with other separators). On every candidate, base ones included, seven
+labelers give a graded vote from 0, strongly against, over 2, none, to 4, strongly for: strict shape,
+check rules, gazetteers (classes of top domains, issuers with their lengths, country codes), words of
+context by their distance, neighbouring characters, separator style, filler digits. A candidate is then
+its kind, its votes and its shape, one of a bounded set of patterns, so that one aggregation over all
+documents gives the counts of all patterns. On those counts expectation-maximisation estimates each
+labeler's reliability, and a logistic classifier over kind, votes and shape is trained on the posterior. A proposed span is added if it is accepted and overlaps no span before it
 (base spans first, then by probability, then leftmost).
 
-All scanning is linear in the text, also over long runs of digits or letters. Offsets are code
-points, ends exclusive. Defined cases: a null text is an empty one; repeated rows get the same
-result each; a table without any candidate adds no spans; an empty table gives no rows.
+Scanning is linear in the text, also over long runs of digits or letters, and deciding is one search
+among the kept spans for each candidate. Offsets are code
+points, ends exclusive. Defined cases: a null text is an empty one; texts of any length are
+scanned whole; rows without an id and repeated rows get a result each; further columns, whatever their
+names, are ignored (and kept by ``redact``); a table without any candidate adds no spans; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +35,8 @@ from pyspark.sql import functions as F
 from nodalis.llm.common import staged, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-LABELERS = ("shape", "rule", "gazetteer", "context", "neighbours", "filler")
+LABELERS = ("shape", "rule", "gazetteer", "context", "neighbours", "separators", "filler")
+LEVELS = 5
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -40,15 +47,26 @@ GROUP = re.compile(r"[0-9]++")
 NATIONAL = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")
 PLUS_SHAPE = re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])")
 WIDE_DOMAIN = re.compile(r"@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
+SPELLED = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63} ?(?:[(\[{] ?(?:at|@) ?[)\]}]| at ) ?[\w-]{1,63}(?:(?: ?[(\[{] ?(?:dot|\.) ?[)\]}] ?| dot |\.)[\w-]{1,63})+(?![\w-])", re.I)
+SPELLED_SIGN = re.compile(r"[(\[{ ](?:at|@)[)\]} ]", re.I)
+LAST_LETTERS = re.compile(r"[^\W\d_]*\Z")
+MARKS = re.compile(r"[^0-9]+")
+BRACKET_DOTS = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\))[0-9]{1,3}){3}(?![0-9])")
+SIXES = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]{6,39}(?![0-9A-Za-z:])")
+OTHER_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:([./_]| - |  )[0-9]{4})(?:\1[0-9]{4}){2}(?![0-9])")
+SHORT_CARD = re.compile(r"(?<![0-9.+-])3[0-9]{3}([\x20-]?)[0-9]{6}\1[0-9]{4,5}(?![0-9])")
+ABROAD = re.compile(r"(?<![0-9+./-])00[1-9][0-9]{0,2}[\x20.-](?:\(0\))?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,4}(?![0-9])")
+AREA = re.compile(r"(?<![0-9+./-])(?:\(0[0-9]{1,4}\)[\x20-]?|0[0-9]{1,4}[\x20/-])[0-9]{3,8}(?:[\x20-][0-9]{2,5}){0,2}(?![0-9])")
 STRICT = {
-    "email": re.compile(r"[A-Za-z0-9][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"),
-    "ip": re.compile(r"(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}"),
-    "card": re.compile(r"[0-9]{16,19}|[0-9]{4}(?:([\x20-])[0-9]{4})(?:\1[0-9]{4}){2}"),
-    "phone": re.compile(r"(?:\+[0-9]{1,3}[\x20.-]?)?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}"),
+    "email": re.compile(r"\w[\w.%+-]*@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,24}"),
+    "ip": re.compile(r"(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}|[0-9A-Fa-f:]+"),
+    "card": re.compile(r"[0-9]{13,19}|[0-9]{4}(?:([\x20.-])[0-9]{4})(?:\1[0-9]{4}){2}|3[0-9]{3}([\x20-])[0-9]{6}\2[0-9]{4,5}"),
+    "phone": re.compile(r"(?:(?:\+|00)[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{1,5}\)|[0-9]{1,5})(?:[\x20./-]?[0-9]{2,8}){1,4}"),
 }
 # Fixed values.
-TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co us uk ca au de fr es it nl be ch at se no dk fi pl pt ie jp cn kr in br mx ru eu".split())
-ISSUERS = ("4", "51", "52", "53", "54", "55", "2221", "23", "24", "25", "26", "270", "34", "37", "6011", "62", "64", "65", "35", "36", "38")
+TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co dev app".split())
+COUNTRY_DOMAINS = frozenset("us uk ca au de fr es it nl be ch at se no dk fi pl pt ie jp cn kr in br mx ru eu nz za cz hu gr tr il ar cl".split())
+ISSUERS = {"4": (13, 16, 19), "51": (16,), "52": (16,), "53": (16,), "54": (16,), "55": (16,), "2221": (16,), "23": (16,), "24": (16,), "25": (16,), "26": (16,), "270": (16,), "34": (15,), "37": (15,), "6011": (16, 19), "62": (16, 17, 18, 19), "64": (16, 19), "65": (16, 19), "35": (16, 19), "36": (14, 19), "38": (14, 19)}
 COUNTRY_CODES = ("1", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "7", "81", "82", "84", "86", "90", "91", "92", "351", "353", "358", "420")
 FOR = {
     "email": frozenset("email e-mail mail mailto contact write address courriel correo".split()),
@@ -120,12 +138,17 @@ def proposed_spans(text: str) -> list[tuple[str, int, int]]:
             found.append(("email", start, domain.end()))
         done = at + 1
         at = text.find("@", done)
+    if SPELLED_SIGN.search(text):
+        found += [("email", m.start(), m.end()) for m in SPELLED.finditer(text)]
     if not ANY_DIGIT.search(text):
         return found
     if "." in text:
         for run in DOTTED.finditer(text):
             parts = [(m[0], run.start() + m.start(), run.start() + m.end()) for m in GROUP.finditer(run[0])] if run[0].count(".") > 3 else []
             found += [("ip", parts[i][1], parts[i + 3][2]) for i in range(len(parts) - 3) if all(_small(p) for p, _, _ in parts[i : i + 4])]
+        found += [("ip", m.start(), m.end()) for m in BRACKET_DOTS.finditer(text) if all(map(_small, GROUP.findall(m[0])))]
+    if ":" in text:
+        found += [("ip", m.start(), m.end()) for m in SIXES.finditer(text) if m[0].count(":") > 1 and _is_six(m[0])]
     for run in DIGIT_RUN.finditer(text):
         if run.end() - run.start() < 16:
             continue
@@ -139,76 +162,140 @@ def proposed_spans(text: str) -> list[tuple[str, int, int]]:
                     break
                 if 16 <= count <= 19 and luhn(_digits(text[start:last])):
                     found.append(("card", start, last))
+    found += [("card", m.start(), m.end()) for p in (OTHER_CARD, SHORT_CARD) for m in p.finditer(text) if luhn(_digits(m[0]))]
     if "+" in text:
         found += [("phone", m.start(), m.end()) for m in PLUS_SHAPE.finditer(text)]
-    found += [("phone", m.start(), m.end()) for m in NATIONAL.finditer(text)]
-    return found
+    return found + [("phone", m.start(), m.end()) for p in (NATIONAL, ABROAD, AREA) for m in p.finditer(text) if 9 <= len(_digits(m[0])) <= 17]
+
+
+def _is_six(span: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(span)) and span.strip(":") != ""
+    except ValueError:
+        return False
 
 
 def _gazetteer(kind: str, span: str, digits: str) -> int:
     if kind == "email":
-        return 1 if span.rpartition(".")[2].lower() in TOP_DOMAINS else -1
+        top = LAST_LETTERS.search(span)[0].lower()
+        return 4 if top in TOP_DOMAINS else 3 if top in COUNTRY_DOMAINS else 2 if len(top) == 2 else 1 if top else 0
     if kind == "card":
-        return 1 if digits.startswith(ISSUERS) else 0
+        lengths = [n for prefix, n in ISSUERS.items() if digits.startswith(prefix)]
+        return 4 if any(len(digits) in n for n in lengths) else 2 if lengths else 0
     if kind == "phone":
-        return (1 if digits.startswith(COUNTRY_CODES) else -1) if span.startswith("+") else 0
-    return -1 if span.startswith(("0.", "255.")) else 1 if span.startswith(("10.", "192.168.", "172.")) else 0
+        plain = digits.removeprefix("00") if span.startswith("00") else digits
+        return (4 if plain.startswith(COUNTRY_CODES) else 0) if span.startswith(("+", "00")) else 2
+    return 0 if span.startswith(("0.", "255.")) else 4 if span.startswith(("10.", "192.168.", "172.")) or ":" in span else 2
 
 
 def _rule(kind: str, span: str, digits: str) -> int:
     if kind == "email":
-        return -1 if ".." in span or ".@" in span or "-." in span else 1
+        return 0 if ".." in span or ".@" in span or "-." in span else 4
     if kind == "ip":
-        return 1 if all(p == "0" or p[0] != "0" for p in span.split(".")) else -1
+        return 4 if ":" in span or all(p == "0" or p[0] != "0" for p in GROUP.findall(span)) else 0
     if kind == "card":
-        return 1 if luhn(digits) else -1
-    return 1 if (10 if not span.startswith("+") else 8) <= len(digits) <= 15 and span.count("(") == span.count(")") else -1
+        return 4 if luhn(digits) else 0
+    return 4 if (8 if span.startswith("+") else 9) <= len(digits) <= 15 and span.count("(") == span.count(")") else 0
+
+
+def _separators(kind: str, span: str) -> int:
+    """Whether groups are set apart in one way (4 or 3), not at all (2), or in several (0, 1)."""
+    if kind == "email":
+        return 3 if span.count("@") == 1 else 4 if "(" in span or "[" in span else 1
+    marks = set(MARKS.findall(span.removeprefix("+").replace("(", "").replace(")", "-")))
+    groups = {len(g) for g in GROUP.findall(span)}
+    if kind == "ip":
+        return 3 if len(marks) == 1 else 1
+    return (2 if kind == "phone" or len(span) < 20 else 1) if not marks else 4 if len(marks) == 1 and len(groups) <= 2 else 3 if len(marks) == 1 else 2 if kind == "phone" and len(marks) == 2 else 0
+
+
+def _context(text: str, kind: str, start: int, end: int) -> int:
+    before = [w.lower() for w in WORD_BEFORE.findall(text[max(0, start - CONTEXT) : start])]
+    after = [w.lower() for w in WORD_BEFORE.findall(text[end : end + CONTEXT // 2])]
+    near, all_ = set(before[-2:]), set(before + after)
+    if near & FOR[kind]:
+        return 4
+    if near & AGAINST:
+        return 0
+    return 3 if all_ & FOR[kind] else 1 if all_ & AGAINST else 2
+
+
+def _neighbours(text: str, start: int, end: int) -> int:
+    before, after = text[start - 1 : start], text[end : end + 1]
+    touching = before.isalnum() or before in tuple("@_/.=+-") or after.isalnum() or after in tuple("@_/=") or text[end : end + 2].rstrip() in tuple(".%d" % d for d in range(10))
+    if touching and (before or after):
+        return 0
+    return 4 if before in tuple("(<[:\"'") and before else 3
+
+
+def _filler(digits: str) -> int:
+    if not digits:
+        return 2
+    steps = {(int(b) - int(a)) % 10 for a, b in zip(digits, digits[1:], strict=False)}
+    return 0 if len(set(digits)) < 3 or len(steps) == 1 else 2
 
 
 def pattern(text: str, kind: str, start: int, end: int) -> str:
-    """The candidate's pattern: kind, votes (+, -, 0) and shape bits."""
+    """The candidate's pattern: kind, graded votes and shape bits."""
     span = text[start:end]
     digits = _digits(span) if kind != "email" else ""
-    words = {w.lower() for w in WORD_BEFORE.findall(text[max(0, start - CONTEXT) : start]) + WORD_BEFORE.findall(text[end : end + CONTEXT // 2])}
-    before, after = text[start - 1 : start], text[end : end + 1]
-    touching = before.isalnum() or before in tuple("@_/.=+-") or after.isalnum() or after in tuple("@_/=") or text[end : end + 2].rstrip() in tuple(".%d" % d for d in range(10))
     votes = (
-        1 if STRICT[kind].fullmatch(span) else -1,
+        4 if STRICT[kind].fullmatch(span) else 1,
         _rule(kind, span, digits),
         _gazetteer(kind, span, digits),
-        1 if words & FOR[kind] else -1 if words & AGAINST else 0,
-        -1 if touching and (before or after) else 1,
-        -1 if digits and len(set(digits)) < 3 else 0,
+        _context(text, kind, start, end),
+        _neighbours(text, start, end),
+        _separators(kind, span),
+        _filler(digits),
     )
     bits = (len(span) > 16, any(c in span for c in " -("), span.startswith("+"), kind == "email" and any(c.isdigit() for c in span))
-    return f"{kind}|{''.join('-0+'[v + 1] for v in votes)}|{''.join('01'[b] for b in bits)}"
+    return f"{kind}|{''.join(map(str, votes))}|{''.join('01'[b] for b in bits)}"
+
+
+def _stretches(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that spans take, in order."""
+    starts, ends = [], []
+    for _, start, end in sorted(spans, key=lambda x: x[1]):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _free(starts: list[int], ends: list[int], start: int, end: int) -> int | None:
+    """The place among the stretches of one that overlaps none of them; None if it overlaps any."""
+    place = bisect_left(starts, end)  # stretches before it begin before the new one ends
+    return place if place == 0 or ends[place - 1] <= start else None
 
 
 def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
-    """(kind, start, end, base, pattern) of all candidates, base ones first."""
-    if "@" not in text and not ANY_DIGIT.search(text):
+    """(kind, start, end, base, pattern) of all candidates: base spans, then proposals that overlap none."""
+    if "@" not in text and not ANY_DIGIT.search(text) and not SPELLED_SIGN.search(text) and "::" not in text:
         return []
     base = base_spans(text)
-    known = set(base)
-    more = [s for s in dict.fromkeys(proposed_spans(text)) if s not in known]
+    starts, ends = _stretches(base)
+    more = [s for s in dict.fromkeys(proposed_spans(text)) if _free(starts, ends, s[1], s[2]) is not None]
     return [(*s, True, pattern(text, *s)) for s in base] + [(*s, False, pattern(text, *s)) for s in more]
 
 
 def estimate(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     """Each pattern's posterior under the label model, by expectation-maximisation over the counts.
 
-    A labeler has, for either truth, its own distribution over +, - and 0; each kind has its own
-    prior. Pseudo-counts that favour a labeler that is right keep the truth from swapping sides.
+    A labeler has, for either truth, its own distribution over its levels where it votes; that it does
+    not says nothing. Each kind has its own prior. Pseudo-counts that favour a labeler that is right keep the truth from swapping sides.
     """
     if not counts:
         return {}
     names = sorted(counts)
     weight = np.array([counts[p] for p in names], float)
     kind = np.array([KINDS.index(p.split("|")[0]) for p in names])
-    votes = np.array([["-0+".index(c) for c in p.split("|")[1]] for p in names])
-    posterior = 1 / (1 + np.exp(-(votes - 1).sum(axis=1)))
-    hot = np.eye(3)[votes]
-    guess = np.array([[3.0, 2.0, 1.0], [1.0, 2.0, 3.0]])
+    votes = np.array([[int(c) for c in p.split("|")[1]] for p in names])
+    posterior = 1 / (1 + np.exp(-(votes - 2).sum(axis=1) / 2.0))
+    hot = np.eye(LEVELS)[votes] * (votes != 2)[:, :, None]
+    rising = np.linspace(1.0, 3.0, LEVELS)
+    guess = np.stack([rising[::-1], rising])
     for _ in range(rounds):
         truth = np.stack([1 - posterior, posterior])
         prior = np.array([[(weight * t)[kind == k].sum() + 1 for k in range(len(KINDS))] for t in truth])
@@ -224,9 +311,10 @@ def _features(names: list[str]) -> np.ndarray:
     rows = []
     for name in names:
         kind, votes, bits = name.split("|")
-        one = [1.0] + [float(kind == k) for k in KINDS]
-        one += [float(v == s) for v in votes for s in "-+"] + [float(b) for b in bits]
-        one += [float(kind == k and v == "+") - float(kind == k and v == "-") for k in KINDS for v in votes[:3]]
+        grades = [(int(v) - 2) / 2 for v in votes]
+        one = [1.0] + [float(kind == k) for k in KINDS] + grades
+        one += [float(v == s) for v in votes for s in "04"] + [float(b) for b in bits]
+        one += [g * (kind == k) for k in KINDS for g in grades[:4]]
         rows.append(one)
     return np.array(rows)
 
@@ -252,8 +340,11 @@ def decide(found: list[tuple[str, int, int, bool, str]], model: dict[str, float]
     """Base spans and the accepted others, by kind as listed, then start."""
     kept = [(k, s, e) for k, s, e, base, _ in found if base]
     more = sorted((-model.get(p, 0.0), s, KINDS.index(k), e) for k, s, e, base, p in found if not base and model.get(p, 0.0) >= 0.5)
+    starts, ends = _stretches(kept) if more else ([], [])
     for _, start, kind, end in more:
-        if all(end <= s or e <= start for _, s, e in kept):
+        if (place := _free(starts, ends, start, end)) is not None:
+            starts.insert(place, start)
+            ends.insert(place, end)
             kept.append((KINDS[kind], start, end))
     return sorted(kept, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
@@ -276,7 +367,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def learn(scanned: DataFrame) -> dict[str, float]:
-    """The classifier from the counts of all patterns, of which there are at most 4 * 3^6 * 2^4."""
+    """The classifier from the counts of all patterns, of which there are at most 4 * 2 * 2 * 5^4 * 2 * 2^4."""
     counts = scanned.select(F.explode("found.pattern").alias("pattern")).groupBy("pattern").count().collect()
     return train({r["pattern"]: r["count"] for r in counts})
 
