@@ -9,13 +9,19 @@ It is trained on labelled pages of two kinds. ``SAMPLE_PAGES`` pages of the tabl
 smallest hashes of their ids, are labelled by their own semantic markup and used three times: as
 they are, with the semantic tags hidden, and with them turned into class names. Further
 ``LAYOUT_PAGES`` pages are laid out from parts whose labels are known (menus, notices, adverts,
-forms, side bars, comments, articles), filled with prose of the sample.
+forms, side bars, comments, articles), filled with prose of the sample. Half of all training pages
+come without the summary of their telling ancestors, so that the field learns from tags, names and
+text as well.
 
-Defined cases: null and empty pages have the empty text; markup that breaks off is read as far as it
-goes, unknown end tags are ignored; scripts, styles and the like hold no text and end at their end tag
+A page is read in one pass whose work grows with its length: a tag's end is looked for once, elements
+are nodes that point to their parents, and a node's score is its parent's and its own.
+
+Defined cases: null and empty pages have the empty text; pages of any length and depth are read whole;
+a tag that breaks off with the page is dropped, quotes that never close do not count as quotes, unknown
+end tags are ignored; scripts, styles and the like hold no text and end at their end tag
 or with the page, as in browsers; svg, which a tag of a page's text ends, is read as an element whose
 text is not the page's; character references are decoded as in HTML, broken ones stay;
-repeated rows get the same text each; a table without any text trains on the layouts alone, with
+repeated rows get the same text each; further columns are kept; a table without any text trains on the layouts alone, with
 stand-in words; an empty table gives no rows.
 """
 
@@ -23,8 +29,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -37,8 +45,10 @@ from nodalis.llm.common import table
 SAMPLE_PAGES = 200
 LAYOUT_PAGES = 400
 SEED = 42
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|select|title|iframe)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-EMPTY = re.compile(r"<(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>")
+OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)|<!--|<[!?/]")
+QUOTED_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+RAW = frozenset("script style template textarea select title iframe".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME = re.compile(r"[a-z]+")
 # Fixed values of HTML.
@@ -55,24 +65,119 @@ ARTICLE = frozenset(["article", "main"])
 AROUND = frozenset("nav aside footer header form button menu dialog svg".split())
 NOT_TEXT = frozenset("ad ads advert advertisement banner sponsor sponsored promo comment comments responses replies cookie notice consent menu nav navbar navigation sidebar widget footer header masthead breadcrumb breadcrumbs share social related newsletter signup subscribe popup modal pagination pager legal copyright toolbar".split())
 TEXT = frozenset("article post content entry story main body text".split())
+NOT_STEM = re.compile("comment|respond|disqus|repl(?:y|ies)|sidebar|colophon|advert|adsby|adsense|adslot|adunit|adbox|sponsor|promo|banner|cookie|consent|gdpr|newsletter|signup|subscri|breadcrumb|pagin|navbar|navigation|menu|masthead|footer|copyright|related|recommend|trending|popular|sharing|social|widget|popup|modal|toolbar|legal|disclaim|notice")
+PAGE = frozenset(["html", "body"])
+
+
+@lru_cache(1 << 14)
+def keys(tag: str, names: tuple[str, ...]) -> tuple[str, ...]:
+    """The features of an element on its own; names of the page's outer elements speak of the whole page."""
+    if tag in PAGE:
+        return (f"in:{tag}",)
+    stems = {m for n in names for m in NOT_STEM.findall(n)}
+    return (f"in:{tag}", *(f"name:{n}" for n in names), *(f"stem:{m}" for m in sorted(stems)))
+
+
+@lru_cache(1 << 14)
+def told(names: tuple[str, ...]) -> tuple[bool, bool]:
+    """Whether names tell of another part than the article, and whether of the article."""
+    return any(n in NOT_TEXT or NOT_STEM.search(n) for n in names), bool(TEXT.intersection(names))
+
+
+class Node:
+    """An open element: its parent, tag and names, and what its ancestors and it tell of a block inside.
+
+    ``fresh`` are the features that no ancestor has; a path's features are those of all its nodes.
+    """
+
+    __slots__ = ("parent", "tag", "names", "fresh", "outer", "said", "denied", "inside", "fenced", "score")
+
+    def __init__(self, parent: Node | None, tag: str, names: tuple[str, ...], fresh: list[str]):
+        self.parent, self.tag, self.names, self.fresh, self.score = parent, tag, names, fresh, None
+        said, self.denied, self.inside, self.fenced = (parent.said, parent.denied, parent.inside, parent.fenced) if parent else ("", False, False, False)
+        self.outer = tag if tag not in INLINE else parent.outer if parent else ""
+        against, for_ = told(names) if names and tag not in PAGE else (False, False)
+        if tag in AROUND and not (tag == "header" and said == "yes") or against and not for_:
+            said, self.denied = "no", True
+        elif tag in ARTICLE or for_ and not against:
+            said = "yes"
+        self.said = said
+        self.fenced = self.fenced or tag in AROUND and not (tag == "header" and self.inside) or against and not for_
+        self.inside = self.inside or tag in ARTICLE
 
 
 @dataclass
 class Block:
-    """A leaf block: its text, the (tag, names) of its ancestors, and the characters within links."""
+    """A leaf block: its text, the innermost element around it, and the characters within links."""
 
     parts: list[str] = field(default_factory=list)
-    path: tuple = ()
+    node: Node | None = None
     linked: int = 0
     text: str = ""
 
 
+class Stack:
+    """The open elements, with the places of every tag's, so that no search walks over the others."""
+
+    def __init__(self) -> None:
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.holders: list[int] = []
+        self.held: dict[str, int] = {}
+
+    def top(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def count(self, tag: str) -> int:
+        return len(self.places.get(tag, ()))
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        own = keys(tag, names)
+        fresh = [k for k in own if not self.held.get(k)]
+        for k in own:
+            self.held[k] = self.held.get(k, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in HOLDERS:
+            self.holders.append(len(self.nodes))
+        self.nodes.append(Node(self.top(), tag, names, fresh))
+
+    def pop_to(self, place: int) -> None:
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in HOLDERS:
+                self.holders.pop()
+            for k in keys(node.tag, node.names):
+                self.held[k] -= 1
+
+
+def tag_end(html: str, begun: re.Match, quotes: bool) -> tuple[int, str | None, bool]:
+    """Where a tag or comment ends, its attributes (None if the page ends before it does), and whether a
+    quote may still hide a tag's end: once one never closes, none is looked for again."""
+    if begun[0] == "<!--":
+        end = html.find("-->", begun.end())
+        return (end + 3 if end >= 0 else len(html)), None, quotes
+    whole = QUOTED_END.match(html, begun.end()) if quotes and begun[2] else None
+    end = whole.end() if whole else html.find(">", begun.end()) + 1
+    return end or len(html), html[begun.end() : end - 1] if end else None, quotes and bool(whole or not begun[2])
+
+
+def raw_end(html: str, name: str, at: int) -> int:
+    """Where a script or the like that begins before ``at`` has ended."""
+    end = RAW_END[name].search(html, at)
+    return (html.find(">", end.end()) + 1 if end else 0) or len(html)
+
+
 def blocks(html: str) -> list[Block]:
     """The leaf blocks of a page that hold any text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    current, links = Block(), 0
-    pictures, drawn = 0, False  # open svg elements; whether the current block is text of one
+    stack = Stack()
+    current = Block()
+    drawn = False  # whether the current block is text of an svg element
 
     def close() -> None:
         nonlocal current
@@ -84,82 +189,72 @@ def blocks(html: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal drawn
+        pictures = stack.count("svg")
         if text and not (pictures and text.isspace()):
             if bool(pictures) != drawn:
                 close()
                 drawn = bool(pictures)
             if not current.parts:
-                current.path = tuple(stack)
+                current.node = stack.top()
             current.parts.append(text)
-            if links:
+            if stack.count("a"):
                 current.linked += len(text)
 
-    def pop(place: int) -> None:
-        nonlocal links, pictures
-        links -= sum(t == "a" for t, _ in stack[place:])
-        pictures -= sum(t == "svg" for t, _ in stack[place:])
-        del stack[place:]
-
-    at = 0
-    while tag := TAG.search(html, at):
-        say(html[at : tag.start()])
-        at = tag.end()
-        if tag[1] and pictures and (empty := EMPTY.match(html, tag.start())):
-            at = empty.end()
-        name = tag[3]
-        if name is None:
+    at, quotes = 0, True
+    while begun := OPEN.search(html, at):
+        say(html[at : begun.start()])
+        name, ending = (begun[2] or "").lower(), bool(begun[1])
+        at, attributes, quotes = tag_end(html, begun, quotes)
+        if name in RAW and not ending and not (stack.count("svg") and (attributes or "").endswith("/")):
+            at = raw_end(html, name, at)
+        if not name or name in RAW or attributes is None:
             continue
-        name = name.lower()
-        if tag[2]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
+        pictures = stack.count("svg")
+        if ending:
+            place = stack.last(name)
             if name not in INLINE and (not pictures or drawn):
                 close()
             if place >= 0:
-                inside = pictures
-                pop(place)
-                if inside and not pictures and name not in INLINE and name != "svg":
+                stack.pop_to(place)
+                if pictures and not stack.count("svg") and name not in INLINE and name != "svg":
                     close()
             continue
         if pictures and name in LEAVES_SVG:
-            held = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("foreignobject", "desc")), -1)
-            place = next((i for i in range(held + 1, len(stack)) if stack[i][0] == "svg"), -1)
-            if place >= 0:
-                pop(place)
+            held = max(stack.last("foreignobject"), stack.last("desc"))
+            svgs = stack.places["svg"]
+            first = bisect_right(svgs, held)
+            if first < len(svgs):
+                stack.pop_to(svgs[first])
         if name not in INLINE and name != "svg" and (not pictures or drawn):
             close()
         if name not in INLINE:
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] in CLOSES.get(name, ()):
-                    pop(place)
-                    break
-                if stack[place][0] in HOLDERS:
-                    break
-        if name not in VOID and not tag[4].endswith("/"):
-            named = tuple(sorted({n for m in NAMES.finditer(tag[4]) for n in NAME.findall((m[1] or m[2] or m[3] or "").lower())})) if tag[4] else ()
-            stack.append((name, named))
-            links += name == "a"
-            pictures += name == "svg"
+            place = max((stack.last(t) for t in CLOSES.get(name, ())), default=-1)
+            if place >= 0 and place > (stack.holders[-1] if stack.holders else -1):
+                stack.pop_to(place)
+        if name not in VOID and not attributes.endswith("/"):
+            named = tuple(sorted({n for m in NAMES.finditer(attributes) for n in NAME.findall((m[1] or m[2] or m[3] or "").lower())})) if attributes else ()
+            stack.push(name, named)
     say(html[at:])
     close()
     return found
 
 
-def signal(path: tuple) -> tuple[str, bool]:
-    """What the innermost telling ancestor says - yes, no or nothing - and whether any says no."""
-    said, denied = "", False
-    for tag, names in path:
-        if tag in AROUND and not (tag == "header" and said == "yes") or NOT_TEXT.intersection(names):
-            said, denied = "no", True
-        elif tag in ARTICLE or TEXT.intersection(names):
-            said = "yes"
-    return said, denied
+def chain(node: Node | None) -> list[Node]:
+    """The elements around a block, outermost first."""
+    out = []
+    while node:
+        out.append(node)
+        node = node.parent
+    return out[::-1]
+
+
+def last_features(node: Node | None, signal: bool) -> list[str]:
+    told = [f"signal:{node.said}:{node.denied}" if node else "signal::False"] if signal else []
+    return [f"parent:{node.outer if node else ''}", *told, "any"]
 
 
-def path_features(path: tuple) -> list[str]:
-    said, denied = signal(path)
-    out = {f"in:{t}" for t, _ in path} | {f"name:{n}" for _, names in path for n in names}
-    outer = [t for t, _ in path if t not in INLINE]
-    return sorted(out) + [f"parent:{outer[-1] if outer else ''}", f"signal:{said}:{denied}", "any"]
+def path_features(node: Node | None, signal: bool = True) -> list[str]:
+    return [f for n in chain(node) for f in n.fresh] + last_features(node, signal)
 
 
 def text_features(block: Block, place: int, count: int) -> list[str]:
@@ -175,26 +270,24 @@ def text_features(block: Block, place: int, count: int) -> list[str]:
     ]
 
 
-def features(page: list[Block]) -> list[list[str]]:
-    return [path_features(b.path) + text_features(b, i, len(page)) for i, b in enumerate(page)]
+def features(page: list[Block], signal: bool = True) -> list[list[str]]:
+    return [path_features(b.node, signal) + text_features(b, i, len(page)) for i, b in enumerate(page)]
 
 
-def marked(path: tuple) -> bool:
+def marked(node: Node | None) -> bool:
     """The label that a page's own semantic markup gives a block."""
-    inside = False
-    for tag, names in path:
-        if tag in AROUND and not (tag == "header" and inside) or NOT_TEXT.intersection(names):
-            return False
-        inside = inside or tag in ARTICLE
-    return inside
+    return bool(node and node.inside and not node.fenced)
 
 
 SEMANTIC = {"article": "post content entry", "main": "main content", "nav": "nav menu", "aside": "sidebar widget", "footer": "footer", "header": "header masthead", "form": "form"}
 
 
-def hidden(path: tuple, names: bool) -> tuple:
+def hidden(node: Node | None, names: bool) -> Node | None:
     """A path without semantic tags and names, or with the tags as names."""
-    return tuple(("div" if t in SEMANTIC else t, tuple(SEMANTIC.get(t, "").split()) + n if names else ()) for t, n in path)
+    stack = Stack()
+    for n in chain(node):
+        stack.push("div" if n.tag in SEMANTIC else n.tag, tuple(SEMANTIC.get(n.tag, "").split()) + n.names if names else ())
+    return stack.top()
 
 
 def layout(draw: random.Random, prose: list[str]) -> list[tuple[str, bool]]:
@@ -222,6 +315,8 @@ def layout(draw: random.Random, prose: list[str]) -> list[tuple[str, bool]]:
     body = [f"<h{draw.choice('112')}>{words(3, 9)}</h1>"] if draw.random() < 0.8 else []
     for _ in range(draw.randint(1, 12)):
         body.append(draw.choice([f"<p>{sentences()}</p>"] * 6 + [f"<h2>{words(2, 6)}</h2>", f"<blockquote><p>{sentences()}</p></blockquote>", f"<ul><li>{sentences()}</li><li>{words(3, 9)}</li></ul>", f"<p>{words(1, 5)}</p>", f"<pre>{words(3, 9)}</pre>", f"<p>{words(4, 9)} <a href='#'>{words(1, 3)}</a> {sentences()}</p>"]))
+    comment = [f'<div class="{draw.choice(["comment", "comment-body", "reply", "d-flex", "item"])}"><p>{words(1, 2)}</p><p>{sentences()}</p></div>' for _ in range(draw.randint(1, 5))]
+    said = [f"<li><cite>{words(1, 2)}</cite><p>{sentences()}</p></li>" for _ in range(draw.randint(1, 5))]
     before = [
         holder("header", "header masthead top", [f"<div>{words(1, 3)}</div><p>{words(2, 6)}</p>"], False),
         holder("nav", "nav menu navbar", [f"<ul>{links(draw.randint(3, 9))}</ul>"], False),
@@ -232,21 +327,36 @@ def layout(draw: random.Random, prose: list[str]) -> list[tuple[str, bool]]:
     after = [
         holder("aside", "sidebar widget related", [f"<h3>{words(1, 3)}</h3><ul>{links(draw.randint(2, 7))}</ul>"], False),
         holder("form", "newsletter form signup search", [f"<p>{words(3, 9)}</p><label>{words(1, 2)}</label><input><button>{words(1, 2)}</button>"], False),
+        holder("ol", "commentlist comments thread discussion", said, False),
+        holder("div", "respond reply comment-respond", [f"<h3>{words(1, 3)}</h3><p>{words(3, 9)}</p>"], False),
+        holder("div", "adsbygoogle ad-slot adbox advertisement sponsored-content", [sentences()], False),
+        holder("footer", "colophon site-footer foot footer-bottom", [f"<p>&copy; 20{draw.randint(10, 25)} {words(1, 4)}</p><p>{words(2, 8)}</p>"], False),
+        [(f"<center>&copy; 20{draw.randint(10, 25)} {words(1, 4)} | {words(1, 3)}</center>", False)],
+        [(f"<center><font size='1'><a href='#'>{words(1, 2)}</a> | <a href='#'>{words(1, 2)}</a> | {words(1, 3)}</font></center>", False)],
+        holder("section", "comments comment-area discussion responses", comment, False),
         holder("section", "comments comment responses replies", [f"<p>{sentences()}</p>"] if draw.random() < 0.3 else [f"<h3>{words(1, 3)}</h3>"] + [f'<div class="comment"><p>{words(1, 2)}</p><p>{sentences()}</p></div>' for _ in range(draw.randint(1, 5))], False),
         holder("div", "ad advert promo", [f"<p>{sentences()}</p>"], False),
         holder("div", "share social", [f"<a href='#'>{words(1, 1)}</a> <a href='#'>{words(1, 1)}</a>"], False),
         holder("footer", "footer bottom copyright", [f"<p>&copy; {words(1, 4)} &middot; {words(2, 8)}.</p>"], False),
     ]
-    page = [x for part in before if draw.random() < 0.6 for x in part]
-    middle = holder("article", "article post content entry main story", body, True) if draw.random() < 0.9 else [(x, True) for x in body]
+    page = [x for part in before if draw.random() < 0.6 for x in part] if draw.random() < 0.8 else []
+    middle = holder(draw.choice(["article", "article", "main"]), "article post content entry main story", body, True) if draw.random() < 0.85 else [(x, True) for x in body]
     for _ in range(draw.choice([0, 0, 1, 2])):
         at = draw.randint(1, len(middle) - 1) if len(middle) > 1 else 0
         middle[at:at] = draw.choice([
             holder("div", "ad advert sponsored notice promo", [f"<p>{sentences()}</p>" if draw.random() < 0.5 else sentences()], False),
+            holder("aside", "note pullout sidebar", [f"<p>{sentences()}</p>"], False),
+            holder("div", "adsbygoogle ad-unit advert", [sentences()], False),
             holder("aside", "related sidebar", [f"<h3>{words(1, 3)}</h3><ul>{links(draw.randint(1, 4))}</ul>"], False),
             holder("form", "newsletter signup subscribe", [f"<p>{words(3, 9)}</p><button>{words(1, 2)}</button>"], False),
         ])
-    return page + middle + [x for part in after if draw.random() < 0.6 for x in part]
+    behind = [x for part in draw.sample(after, len(after)) if draw.random() < 0.35 for x in part] if draw.random() < 0.7 else []
+    if draw.random() < 0.2:  # columns of a table
+        page, middle, behind = [("<table><tr><td>", False), *page, ("</td>", False), ("<td>", True)], [*middle, ("</td>", True)], [("<td>", False), *behind, ("</td></tr></table>", False)]
+    elif draw.random() < 0.25:  # parts inside the element that holds the article
+        page, middle = [], [*([("<main>", True)] if draw.random() < 0.5 else [('<div id="content">', True)]), *page, *middle]
+        behind = [*behind, ("</main></div>", False)]
+    return page + middle + behind
 
 
 def labelled(pages: list[str], layouts: int = LAYOUT_PAGES, seed: int = SEED) -> list[tuple[list[list[str]], list[int]]]:
@@ -254,14 +364,14 @@ def labelled(pages: list[str], layouts: int = LAYOUT_PAGES, seed: int = SEED) ->
     out, prose, draw = [], [], random.Random(seed)
     for html in pages:
         page = blocks(html)
-        labels = [int(marked(b.path)) for b in page]
-        prose += [b.text[:2000] for b, label in zip(page, labels, strict=True) if label]
+        labels = [int(marked(b.node)) for b in page]
+        prose += [b.text for b, label in zip(page, labels, strict=True) if label]
         if not page or not any(labels):
             continue
-        out.append((features(page), labels))
+        out.append((features(page, draw.random() < 0.5), labels))
         for names in (False, True):
-            unmarked = [Block(b.parts, hidden(b.path, names), b.linked, b.text) for b in page]
-            out.append((features(unmarked), labels))
+            unmarked = [Block(b.parts, hidden(b.node, names), b.linked, b.text) for b in page]
+            out.append((features(unmarked, draw.random() < 0.5), labels))
     for _ in range(layouts):
         parts = layout(draw, prose or ["some words that stand for the prose of a page, one after another"])
         html = "".join(f"{x}\x00{int(label)}\x01" for x, label in parts)
@@ -277,7 +387,7 @@ def labelled(pages: list[str], layouts: int = LAYOUT_PAGES, seed: int = SEED) ->
         following = 0
         for i in range(len(labels) - 1, -1, -1):
             following = labels[i] = following if labels[i] is None else labels[i]
-        out.append((features(page), labels))
+        out.append((features(page, draw.random() < 0.5), labels))
     return [(f, y) for f, y in out if f]
 
 
@@ -289,7 +399,7 @@ class Field:
     steps: tuple[tuple[float, float], tuple[float, float]]
 
     @classmethod
-    def fit(cls, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 200, rate: float = 0.15, ridge: float = 0.002) -> Field:
+    def fit(cls, pages: list[tuple[list[list[str]], list[int]]], rounds: int = 200, rate: float = 0.15, ridge: float = 0.0001) -> Field:
         """Maximum penalised likelihood by Adam on the whole training set, forward-backward in log space."""
         names = sorted({f for page, _ in pages for block in page for f in block})
         index = {f: i for i, f in enumerate(names)}
@@ -346,19 +456,21 @@ class Field:
             out.append(label)
         return out[::-1]
 
-    def extract(self, html: str, memo: dict[tuple, float]) -> str:
+    def extract(self, html: str) -> str:
         """The page's article blocks, joined by one space."""
         page = blocks(html)
         if not page:
             return ""
         weigh, own = self.weights.get, []
         for i, block in enumerate(page):
-            known = memo.get(block.path)
-            if known is None:
-                if len(memo) > 100_000:
-                    memo.clear()
-                known = memo[block.path] = sum(weigh(f, 0.0) for f in path_features(block.path))
-            own.append(known + sum(weigh(f, 0.0) for f in text_features(block, i, len(page))))
+            open_, node = [], block.node
+            while node and node.score is None:
+                open_.append(node)
+                node = node.parent
+            score = node.score if node else 0.0
+            for n in reversed(open_):
+                score = n.score = score + sum(weigh(f, 0.0) for f in n.fresh)
+            own.append(score + sum(weigh(f, 0.0) for f in last_features(block.node, True) + text_features(block, i, len(page))))
         return " ".join(b.text for b, label in zip(page, self.decode(own), strict=True) if label)
 
 
@@ -378,9 +490,8 @@ def extract(pages: DataFrame, model: Field, html_col: str = "html") -> DataFrame
     kept = [c for c in pages.columns if c not in (html_col, "main_text")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple, float] = {}
         for batch in batches:
-            texts = pa.array([model.extract(x.as_py() or "", memo) for x in batch.column(html_col)], pa.string())
+            texts = pa.array([model.extract(x.as_py() or "") for x in batch.column(html_col)], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], [*kept, "main_text"])
 
     return pages.mapInArrow(read, pages.select(*kept).withColumn("main_text", F.lit("").cast("string")).schema)
