@@ -7,13 +7,19 @@ beside it only. A longer piece without such a place, as of one repeated characte
 ``PIECE`` characters from its own beginning. A run of
 ``K`` words is chosen if the smallest hash among its words stands at one of its two ends: whether a
 run is chosen depends on the run alone, so an edit disturbs only the runs that touch it. The
-fingerprint lists the hashes of the chosen runs in text order, each once; the likeness of two
-fingerprints is their Jaccard similarity.
+fingerprint lists position and hash of every chosen run in text order.
+
+Two fingerprints are matched by position without regard to where a text begins: beside the anchors
+themselves, the marks of a text are its links, one for each two anchors in a row, made of both hashes
+and the number of words between them. A shared link is a place at which both texts have the same
+anchors at the same distance; moved, repeated or scattered runs share anchors but no links. The likeness
+is the Jaccard similarity of the sets of marks.
 
 Defined cases: a null text is an empty one; a text of fewer than K words has one anchor, the hash of
-all its words, and so has the fingerprint of a longer text without a chosen run (5 to 7 words with
-K = 5); a text without words has none, and two such fingerprints have likeness 1; equal texts have
-equal fingerprints. The following document is the next in descending id order, null ids last;
+all its words, at position 0, and so has the fingerprint of a longer text without a chosen run (5 to 7
+words with K = 5); a text without words has none, and two such fingerprints have likeness 1; equal texts
+have equal fingerprints; texts of any length are taken whole; further columns, whatever their names, are
+ignored. The following document is the next in descending id order, null ids last;
 documents with equal ids follow each other by a hash of their text; rows that repeat id and text
 stand in the chain once and get the same result; a lone document follows itself.
 """
@@ -28,6 +34,8 @@ from nodalis.llm.common import WORD, staged, table, text_or_empty
 K = 5
 PIECE = 32
 NEAR = 3
+HASH = 1 << 31  # an anchor is its position times this, plus its hash
+RANGE = 1_000_000  # texts in a range of the chain
 
 
 def _hashes(text: Column) -> Column:
@@ -70,23 +78,19 @@ def _cut(stretch: Column) -> Column:
 def _chosen(hashes: Column, k: int) -> Column:
     def run(i: Column) -> Column:
         parts = [F.get(hashes, i + j) for j in range(k)]
-        return F.when(F.least(*parts[1:-1]) >= F.least(parts[0], parts[-1]), F.xxhash64(*parts).bitwiseAND(0x7FFFFFFF).cast("int"))
+        return F.when(F.least(*parts[1:-1]) >= F.least(parts[0], parts[-1]), i.cast("long") * HASH + F.xxhash64(*parts).bitwiseAND(HASH - 1))
 
-    several = F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(hashes) - k), run)))
+    several = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(hashes) - k), run))
     return F.when(F.size(hashes) >= k, several).otherwise(_whole(hashes))
 
 
 def _whole(hashes: Column) -> Column:
-    return F.when(F.size(hashes) > 0, F.array(F.hash(hashes))).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(hashes) > 0, F.array(F.xxhash64(hashes).bitwiseAND(HASH - 1))).otherwise(F.array().cast("array<long>"))
 
 
 def anchors(text: Column, k: int = K) -> Column:
-    """array<int>: hashes of the chosen runs of ``text``, in order of their first occurrence."""
-    return F.transform(F.array(_hashes(text)), lambda hashes: _chosen(hashes, k))[0]
-
-
-def marks(text: Column, k: int = K) -> Column:
-    """array<int>: the anchors of ``text``, or the hash of all its words where no run is chosen."""
+    """array<long>: position and hash of the chosen runs of ``text`` in order, or of all its words at
+    position 0 where no run is chosen."""
 
     def either(hashes: Column) -> Column:
         return F.transform(F.array(_chosen(hashes, k)), lambda found: F.when(F.size(found) > 0, found).otherwise(_whole(hashes)))[0]
@@ -94,15 +98,40 @@ def marks(text: Column, k: int = K) -> Column:
     return F.transform(F.array(_hashes(text)), either)[0]
 
 
+def _position(anchor: Column) -> Column:
+    return F.shiftright(anchor, 31)
+
+
+def _hash(anchor: Column) -> Column:
+    return anchor.bitwiseAND(HASH - 1)
+
+
+def marks(found: Column) -> Column:
+    """array<int>: the distinct hashes of anchors, and of links, which are negative."""
+    own = F.transform(found, lambda a: _hash(a).cast("int"))
+
+    def link(i: Column) -> Column:
+        a, b = F.get(found, i), F.get(found, i + 1)
+        return F.xxhash64(_hash(a), _position(b) - _position(a), _hash(b)).bitwiseOR(-HASH).cast("int")
+
+    links = F.transform(F.sequence(F.lit(0), F.size(found) - 2), link)
+    return F.array_distinct(F.when(F.size(found) > 1, F.concat(own, links)).otherwise(own))
+
+
 def printed(found: Column) -> Column:
-    return F.array_join(found.cast("array<string>"), ",")
+    return F.array_join(F.transform(found, lambda a: F.concat_ws(":", _position(a).cast("string"), _hash(a).cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two lists of distinct anchors."""
-    shared = F.size(F.array_intersect(a, b))
-    together = F.size(a) + F.size(b) - shared
-    return F.when(together > 0, shared / together).otherwise(F.lit(1.0))
+    """Jaccard similarity of the marks of two lists of anchors."""
+
+    def of(one: Column, other: Column) -> Column:
+        shared = F.size(F.array_intersect(one, other))
+        together = F.size(one) + F.size(other) - shared
+        return F.when(together > 0, shared / together).otherwise(F.lit(1.0))
+
+    both = F.array(F.struct(marks(a).alias("one"), marks(b).alias("other")))
+    return F.transform(both, lambda x: of(x["one"], x["other"]))[0]
 
 
 def following(keys: DataFrame) -> DataFrame:
@@ -112,7 +141,8 @@ def following(keys: DataFrame) -> DataFrame:
     gap to the range before; there is one such row for each partition, so that table is broadcast.
     """
     spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = staged(keys, "chain-keys")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // RANGE))
     order = [F.desc_nulls_last("id"), F.asc("mark")]
     dealt = staged(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "chain")
     inside = Window.partitionBy("part").orderBy(*order)
@@ -127,7 +157,7 @@ def following(keys: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """(id, n_chars, fingerprint) for every row: the operator on its own."""
     text = text_or_empty(text_col)
-    return docs.select(id_col, F.char_length(text).cast("long").alias("n_chars"), printed(marks(text, k)).alias("fingerprint"))
+    return docs.select(id_col, F.char_length(text).cast("long").alias("n_chars"), printed(anchors(text, k)).alias("fingerprint"))
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +178,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def send(requests: DataFrame) -> DataFrame:
         return texts.join(requests, own("own_id", "own_mark")).select(
-            "asker_id", "asker_mark", F.substring("text", F.lit(1), F.col("asked_chars")).alias("tail"), marks(F.col("text")).alias("next_anchors")
+            "asker_id", "asker_mark", F.substring("text", F.lit(1), F.col("asked_chars")).alias("tail"), anchors(F.col("text")).alias("next_anchors")
         )
 
     repeated = send(asked.where("own_rows > 1")).dropDuplicates(["asker_id", "asker_mark"])
@@ -156,7 +186,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = texts.join(sent, own("asker_id", "asker_mark"))
     n = F.char_length("text").cast("long")
     edited = met.withColumn("n_chars", n).withColumn("edited", F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 3)).cast("int")), F.col("tail")))
-    marked = edited.select("id", "n_chars", "next_anchors", F.sha2("edited", 256).alias("edited_sha256"), marks(F.col("text")).alias("own"), marks(F.col("edited")).alias("changed"))
+    marked = edited.select("id", "n_chars", "next_anchors", F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("changed"))
     return marked.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("changed")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_anchors")).alias("near_next"),
