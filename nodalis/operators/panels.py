@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from nodalis.functions import clock, fields
 
@@ -28,6 +29,15 @@ def congestion(prices: DataFrame, lam: DataFrame) -> DataFrame:
     return spp.join(lowest_flag(lam, ["ts"], "slam"), "ts").withColumn("c", F.col("price") - F.col("slam"))
 
 
+def congestion_of(sums: DataFrame, money: str, volume: str) -> DataFrame:
+    """``congestion`` from one pass: (ts, sp, dst_flag) sums of money and volume give node prices, and
+    their totals over the nodes the system price, of the lowest flag each."""
+    by_flag = sums.groupBy("ts", "dst_flag").agg(F.sum(money).cast("double").alias("m"), F.sum(volume).cast("double").alias("v"))
+    lam = by_flag.groupBy("ts").agg(F.min_by(F.col("m") / F.col("v"), "dst_flag").alias("slam"))
+    priced = sums.withColumn("price", F.col(money).cast("double") / F.col(volume).cast("double"))
+    return lowest_flag(priced, ["ts", "sp"], "price").join(lam, "ts").withColumn("c", F.col("price") - F.col("slam"))
+
+
 def realized_range(prices: DataFrame, lam: DataFrame, start: str, end: str) -> DataFrame:
     """(ts, sp, lmp, congestion) in cents for ts in [start, end]; congestion is null without a system price."""
     inside = F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
@@ -42,27 +52,38 @@ def panel_bounds(shadow: DataFrame, lam: DataFrame, prices: DataFrame) -> DataFr
     return shadow.select("ts").union(priced).distinct().agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n_ts"))
 
 
-def latest_vintage(df: DataFrame, keys: list[str], posted: str, cutoff: Column, tie: list[str] | None = None) -> DataFrame:
-    """As-of: of the rows posted by ``cutoff``, for each key the newest; ``tie`` orders equal postings."""
+def latest_vintage(df: DataFrame, keys: list[str], posted: str, cutoff: Column, tie: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """As-of: of the rows posted by ``cutoff``, for each key the newest; ``tie`` orders equal postings and
+    ``count`` names a column for their number."""
     rest = [c for c in df.columns if c not in keys]
     order = F.struct(posted, *(tie or []))
-    newest = df.where(F.col(posted) <= cutoff).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return newest.select(*keys, "_row.*")
+    newest = df.where(F.col(posted) <= cutoff).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"), F.count(F.lit(1)).alias(count or "_n"))
+    return newest.select(*keys, "_row.*", *([count] if count else []))
 
 
-def as_of(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, values: list[str], bucket: str = "year", steps: int = 1 << 16) -> DataFrame:
     """Each left row with the values of the newest right row of its key at or before its time.
 
-    Both sides go through one sort per key; the last value seen is carried forward. No pair of rows is
-    ever formed, so a key with many rows on both sides costs no more than its rows.
+    Rows are sorted within a key's stretches of time (``bucket``, a unit of date_trunc; ``steps`` where time
+    is a number), where the last value seen is carried forward; a stretch without one takes the last value of the stretches before
+    it, of which a key has few. No pair of rows is ever formed, and no task holds a key's whole history.
     """
     marks = [F.lit(None).cast(dict(right.dtypes)[v]).alias(f"_{v}") for v in values]
     probe = left.select("*", F.col(left_ts).alias("_at"), F.lit(1).alias("_side"), *marks, F.lit(None).cast("boolean").alias("_hit"))
     build = right.select(*on, F.col(right_ts).alias("_at"), F.lit(0).alias("_side"), *(F.col(v).alias(f"_{v}") for v in values), F.lit(True).alias("_hit"))
-    order = Window.partitionBy(*on).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = probe.unionByName(build, allowMissingColumns=True)
-    last = F.last(F.when(F.col("_hit"), F.struct(*(F.col(f"_{v}").alias(v) for v in values))), ignorenulls=True).over(order)
-    return both.withColumn("_last", last).where("_side = 1").select(*left.columns, "_last.*")
+    counted = isinstance(left.schema[left_ts].dataType, NumericType)
+    stretch = (F.floor(F.col("_at") / steps) if counted else F.date_trunc(bucket, "_at")).alias("_stretch")
+    value = F.struct(*(F.col(f"_{v}").alias(v) for v in values))
+    kept = build.groupBy(*on, stretch).agg(F.max_by(value, "_at").alias("_value")).unionByName(probe.select(*on, stretch).distinct().withColumn("_value", F.lit(None)), allowMissingColumns=True)
+    ends = kept.groupBy(*on, "_stretch").agg(F.first("_value", ignorenulls=True).alias("_value"))
+    earlier = Window.partitionBy(*on).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*(F.col(k).alias(f"_on_{k}") for k in on), F.col("_stretch").alias("_from"), F.last("_value", ignorenulls=True).over(earlier).alias("_carried"))
+    order = Window.partitionBy(*on, "_stretch").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = probe.unionByName(build, allowMissingColumns=True).withColumn("_stretch", stretch)
+    last = F.last(F.when(F.col("_hit"), value), ignorenulls=True).over(order)
+    inside = both.withColumn("_last", last).where("_side = 1")
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on), F.col("_stretch").eqNullSafe(F.col("_from")))
+    return inside.join(carried, same, "left").select(*left.columns, F.coalesce("_last", "_carried").alias("_last")).select(*left.columns, "_last.*")
 
 
 def expected_hours(days: DataFrame, day: str = "day") -> DataFrame:

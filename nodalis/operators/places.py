@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodalis.functions.fields import haversine_km
+from nodalis.operators.graphs import cut
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -23,33 +26,71 @@ def _cells(low: Column, high: Column, size: float) -> Column:
     return F.sequence(F.floor(low / size), F.floor(high / size))
 
 
+def ring_distance2(x: Column, y: Column, ring: Column) -> Column:
+    """Squared distance of a point from a ring's nearest edge."""
+
+    def edge(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        along = F.coalesce(((x - a["x"]) * dx + (y - a["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return (x - a["x"] - t * dx) ** 2 + (y - a["y"] - t * dy) ** 2
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), edge))
+
+
+def _laid(zones: DataFrame, reach: float, cell: float) -> DataFrame:
+    """Zones in the cells of their bounding boxes, widened by ``reach``."""
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    boxed = zones.select("zone", "ring", F.explode(_cells(F.array_min(xs) - reach, F.array_max(xs) + reach, cell)).alias("cx"), F.array_min(ys).alias("lo"), F.array_max(ys).alias("hi"))
+    return boxed.select("zone", "ring", "cx", F.explode(_cells(F.col("lo") - reach, F.col("hi") + reach, cell)).alias("cy"))
+
+
 def assign_zone(points: DataFrame, zones: DataFrame, key: str, cell: float = 1.0) -> DataFrame:
     """Each point (key, x, y) with the first zone (zone, ring) that holds it, else the one with the nearest
-    vertex. Zones are laid out into the cells of their bounding boxes; only zones of a point's own cell
-    are tested. The points that no zone holds scan the list of all vertices."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = zones.select("zone", "ring", F.explode(_cells(F.array_min(xs), F.array_max(xs), cell)).alias("cx"), F.array_min(ys).alias("lo"), F.array_max(ys).alias("hi"))
-    laid = boxed.select("zone", "ring", "cx", F.explode(_cells(F.col("lo"), F.col("hi"), cell)).alias("cy"))
-    placed = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    inside = placed.join(laid, ["cx", "cy"]).where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy(key).agg(F.min("zone").alias("zone"))
-    rest = points.join(inside, key, "left_anti")
-    corners = F.transform("ring", lambda v: F.struct(F.col("zone"), v["x"].alias("x"), v["y"].alias("y")))
-    vertices = F.broadcast(zones.select(F.explode(corners).alias("v")).agg(F.collect_list("v").alias("vs")))  # one row: a market's polygons
-    away = F.transform("vs", lambda v: F.struct(((F.col("x") - v["x"]) ** 2 + (F.col("y") - v["y"]) ** 2).alias("d"), v["zone"].alias("zone")))
-    near = rest.crossJoin(vertices).select(key, F.array_min(away)["zone"].alias("zone"))
-    return inside.withColumn("method", F.lit("within")).unionByName(near.withColumn("method", F.lit("nearest")))
+    edge, ties to the first; points without coordinates have no zone.
+
+    Zones are laid out into the cells of their bounding boxes; only zones of a point's own cell are
+    tested. For points that no zone holds the boxes are widened step by step, doubling: a zone within
+    the step's reach is found in the point's cell, so what is found nearer than that is the nearest."""
+
+    def near(rest: DataFrame, reach: float, size: float) -> DataFrame:
+        return rest.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size)).join(_laid(zones, reach, size), ["cx", "cy"])
+
+    held = near(points, 0.0, cell).where(in_ring(F.col("x"), F.col("y"), F.col("ring")))
+    inside = held.groupBy(key).agg(F.min("zone").alias("zone"))
+    found = [inside.withColumn("method", F.lit("within"))]
+    rest = cut(points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").join(inside, key, "left_anti"))
+    reach = cell
+    zones = zones.where(F.size("ring") > 0)
+    while not zones.isEmpty() and not rest.isEmpty() and reach < 1e12:
+        away = near(rest, reach, reach).withColumn("d", ring_distance2(F.col("x"), F.col("y"), F.col("ring"))).where(F.col("d") <= reach**2)
+        nearest = cut(away.groupBy(key).agg(F.min(F.struct("d", "zone"))["zone"].alias("zone")))
+        found.append(nearest.withColumn("method", F.lit("nearest")))
+        rest, reach = cut(rest.join(nearest, key, "left_anti")), 2 * reach
+    return reduce(DataFrame.unionByName, found)
 
 
 def radius_match(left: DataFrame, right: DataFrame, key: str, km: float, condition: Column | None = None, degrees: float | None = None) -> DataFrame:
     """Each left row (key, lat, lon) with its nearest right row (id, lat_r, lon_r) within ``km``, if any.
 
-    Both sides are cut into cells a little wider than the radius; a right row is sent to its own cell and
-    the eight around it."""
+    Both sides are cut into bands of latitude wider than the radius, and each band into cells that are
+    as wide on the ground at its end nearer to a pole; cells close around the globe. A right row is sent
+    to its own band and the two beside it, and there to its own cell and the two beside that."""
     size = degrees or 2 * km / 111.0
-    cells = [F.floor(F.col(c) / size) for c in ("lat", "lon")]
-    near = F.array(*(F.struct((F.floor(F.col("lat_r") / size) + i).alias("i"), (F.floor(F.col("lon_r") / size) + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+
+    def cells(band: Column) -> Column:
+        """How many cells a band has: they hold for rows of the bands beside it too."""
+        edge = F.least(F.lit(89.9), F.greatest(F.abs((band - 1) * size), F.abs((band + 2) * size)))
+        return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / size)).cast("long")
+
+    def cell(lon: Column, band: Column) -> Column:
+        return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) / 360 * cells(band)), cells(band))
+
+    band, band_r = F.floor(F.col("lat") / size), F.floor(F.col("lat_r") / size)
+    near = F.array_distinct(F.array(*(F.struct((band_r + i).alias("i"), F.pmod(cell(F.col("lon_r"), band_r + i) + j, cells(band_r + i)).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     sent = right.withColumn("cell", F.explode(near))
-    pairs = left.withColumn("_i", cells[0]).withColumn("_j", cells[1]).join(sent, (F.col("_i") == F.col("cell.i")) & (F.col("_j") == F.col("cell.j")))
+    pairs = left.withColumn("_i", band).withColumn("_j", cell(F.col("lon"), band)).join(sent, (F.col("_i") == F.col("cell.i")) & (F.col("_j") == F.col("cell.j")))
     away = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_r"), F.col("lon_r"))
     kept = pairs.withColumn("km", away).where(F.col("km") <= km)
     if condition is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,25 @@ def insert_ignore(existing: DataFrame, batch: DataFrame, keys: list[str]) -> Dat
     return once.join(existing.select(*keys), keys, "left_anti").select(batch.columns)
 
 
-def replace_scope(df: DataFrame, path: str, scope: list[str]) -> None:
-    """Overwrite just the partitions that ``df`` has rows of; a rerun leaves the same rows."""
+def replace_scope(df: DataFrame, path: str, scope: list[str], scopes: DataFrame | None = None) -> None:
+    """Overwrite the partitions that ``df`` has rows of; a rerun leaves the same rows.
+
+    ``scopes`` lists all partitions (scope columns) that this load speaks for: those without a row in
+    ``df`` are deleted, so a rerun that finds nothing for a day takes the old day away."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)
+    if scopes is not None:
+        empty = scopes.select(*scope).distinct().join(df.select(*scope).distinct(), scope, "left_anti")
+        delete_scopes(df.sparkSession, path, [r.asDict() for r in empty.collect()])  # a load's own list of scopes
+
+
+def delete_scopes(spark: SparkSession, path: str, scopes: list[dict]) -> None:
+    """Delete the partitions of a table that match a scope; one that names only the outer partition
+    columns, as a run, takes everything below them."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for one in scopes:
+        parts = [f"{k}={'__HIVE_DEFAULT_PARTITION__' if v is None else escape(str(v))}" for k, v in one.items()]
+        folder = spark._jvm.org.apache.hadoop.fs.Path("/".join([path.rstrip("/"), *parts]))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def open_windows(wanted: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:

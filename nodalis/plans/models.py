@@ -102,8 +102,7 @@ def admission_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT s_suppkey AS id, CAST((s_suppkey * 37) % 1000 AS DOUBLE) / 100 AS x, CAST((s_suppkey * 91) % 1000 AS DOUBLE) / 100 AS y FROM supplier),
 z AS (SELECT 'Z' || CAST(r_regionkey AS VARCHAR) AS zone, r_regionkey * 1.9 + 0.1 AS x0, r_regionkey * 1.9 + 1.85 AS x1, 2.05 AS y0, 7.95 AS y1 FROM region),
 i AS (SELECT id, min(zone) AS zone FROM p JOIN z ON x > x0 AND x < x1 AND y > y0 AND y < y1 GROUP BY 1),
-v AS (SELECT zone, x0 AS vx, y0 AS vy FROM z UNION ALL SELECT zone, x1, y0 FROM z UNION ALL SELECT zone, x1, y1 FROM z UNION ALL SELECT zone, x0, y1 FROM z),
-n AS (SELECT id, arg_min(zone, (power(x - vx, 2) + power(y - vy, 2), zone)) AS zone FROM p CROSS JOIN v WHERE id NOT IN (SELECT id FROM i) GROUP BY 1)
+n AS (SELECT id, arg_min(zone, (power(greatest(x0 - x, x - x1, 0), 2) + power(greatest(y0 - y, y - y1, 0), 2), zone)) AS zone FROM p CROSS JOIN z WHERE id NOT IN (SELECT id FROM i) GROUP BY 1)
 SELECT id, zone, 'within' AS method FROM i UNION ALL SELECT id, zone, 'nearest' FROM n""")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_ = F.col("s_suppkey")

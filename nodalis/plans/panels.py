@@ -17,7 +17,7 @@ SELECT sp, count(*) AS n_ts, round(avg(c), 6) AS mean_c, round(max(c), 6) AS max
        row_number() OVER (ORDER BY round(avg(c), 6) DESC, sp) AS rank
 FROM cong GROUP BY sp ORDER BY rank LIMIT 20"""))
 def realized_congestion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cong = panels.congestion(market.prices(spark, sf_dir), market.system_lambda(spark, sf_dir))
+    cong = panels.congestion_of(market.price_sums(spark, sf_dir), "money", "volume")
     by_node = cong.groupBy("sp").agg(F.count(F.lit(1)).alias("n_ts"), r6(F.avg("c")).alias("mean_c"), r6(F.max("c")).alias("max_c"), r6(F.min("c")).alias("min_c"))
     top = by_node.orderBy(F.desc("mean_c"), "sp").limit(20)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_c"), "sp")).cast("long"))
@@ -45,9 +45,8 @@ FROM vintage WHERE posted <= ts - INTERVAL 14 HOUR GROUP BY 1, 2"""))
 def vintage_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = market.vintages(spark, sf_dir)
     cutoff = F.col("ts") - F.expr("INTERVAL 14 HOURS")
-    newest = panels.latest_vintage(rows, ["ts", "zone"], "posted", cutoff, ["doc", "line", "mw"])
-    counts = rows.where(F.col("posted") <= cutoff).groupBy("ts", "zone").agg(F.count(F.lit(1)).alias("n_known"))
-    return newest.join(counts, ["ts", "zone"]).select(day_text("ts").alias("ts"), "zone", "mw", day_text("posted").alias("posted"), "n_known")
+    newest = panels.latest_vintage(rows, ["ts", "zone"], "posted", cutoff, ["doc", "line", "mw"], count="n_known")
+    return newest.select(day_text("ts").alias("ts"), "zone", "mw", day_text("posted").alias("posted"), "n_known")
 
 
 @query(with_sql("vintage", """
@@ -60,13 +59,13 @@ def asof_cutoff_least(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("vintage", """
-, probe AS (SELECT DISTINCT ts, zone FROM vintage WHERE zone IN ('Z0', 'Z1')),
+, probe AS (SELECT DISTINCT ts, zone FROM vintage),
  posts AS (SELECT posted, zone, arg_max(mw, (doc, line, mw)) AS mw FROM vintage GROUP BY 1, 2)
 SELECT strftime(p.ts, '%Y-%m-%d') AS ts, p.zone, o.mw, strftime(o.posted, '%Y-%m-%d') AS posted
 FROM probe AS p ASOF LEFT JOIN posts AS o ON p.zone = o.zone AND p.ts >= o.posted"""))
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = market.vintages(spark, sf_dir)
-    probe = rows.where(F.col("zone").isin("Z0", "Z1")).select("ts", "zone").distinct()
+    probe = rows.select("ts", "zone").distinct()
     posts = rows.groupBy("posted", "zone").agg(F.max_by("mw", F.struct("doc", "line", "mw")).alias("mw"))
     joined = panels.as_of(probe, posts.withColumn("at", F.col("posted")), ["zone"], "ts", "at", ["mw", "posted"])
     return joined.select(day_text("ts").alias("ts"), "zone", "mw", day_text("posted").alias("posted"))

@@ -79,6 +79,13 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*keys).agg((_money("l_extendedprice") / _money("l_quantity")).alias("price"))
 
 
+def price_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ts, sp, dst_flag, money, volume): the decimals from which both price relations derive."""
+    rows = table(spark, sf_dir, "lineitem")
+    keys = [F.col("l_shipdate").alias("ts"), F.concat(F.lit("SP"), F.col("l_suppkey").cast("string")).alias("sp"), (F.col("l_returnflag") == "R").alias("dst_flag")]
+    return rows.groupBy(*keys).agg(F.sum(F.col("l_extendedprice").cast(CENTS)).alias("money"), F.sum(F.col("l_quantity").cast(CENTS)).alias("volume"))
+
+
 def system_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ts, dst_flag, slam): the system price."""
     rows = table(spark, sf_dir, "lineitem")

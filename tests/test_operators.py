@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import random
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nodalis.operators import boards, history, metrics, models, places, projection, writes
+from nodalis.operators import boards, graphs, history, metrics, models, panels, places, projection, writes
 from nodalis.sources import files
 from nodalis.streaming import ingest
 
@@ -191,6 +192,84 @@ def test_writes(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p/forecast_current")).first().run_id == "r"
 
 
+def test_scopes_that_a_load_speaks_for(spark, tmp_path):
+    schema, folder = "run string, day string, v int", str(tmp_path / "scopes")
+    writes.replace_scope(spark.createDataFrame([("r", "a b", 1), ("r", "c/d", 2), ("s", "a b", 3)], schema), folder, ["run", "day"])
+    asked = spark.createDataFrame([("r", "a b"), ("r", "c/d")], "run string, day string")
+    writes.replace_scope(spark.createDataFrame([("r", "a b", 9)], schema), folder, ["run", "day"], asked)
+    assert sorted((r.run, r.day, r.v) for r in spark.read.parquet(folder).collect()) == [("r", "a b", 9), ("s", "a b", 3)]
+    writes.replace_scope(spark.createDataFrame([], schema), folder, ["run", "day"], asked)
+    assert [r.v for r in spark.read.parquet(folder).collect()] == [3]
+    writes.replace_scope(spark.createDataFrame([("s", "e", 4)], schema), folder, ["run", "day"])
+    writes.delete_scopes(spark, folder, [{"run": "s"}])
+    assert not list((tmp_path / "scopes").glob("run=s*"))
+
+
+def test_components_of_long_chains(spark):
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("x", "y"), ("z", "y"), ("x", "x")]
+    got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "n"} == {f"n{i:03d}": "n000" for i in range(61)}
+    assert {k: v for k, v in got.items() if k[0] != "n"} == {"x": "x", "y": "x", "z": "x"}
+
+
+def test_linkage_against_brute_force():
+    draw = np.random.default_rng(5)
+    for n in (1, 2, 7, 25):
+        for _ in range(20):
+            d = draw.random((n, n))
+            d = (d + d.T) / 2
+            np.fill_diagonal(d, 0)
+            clusters = [[i] for i in range(n)]
+            while len(clusters) > 1:
+                far, i, j = min((max(d[a, b] for a in x for b in y), i, j) for i, x in enumerate(clusters) for j, y in enumerate(clusters) if i < j)
+                if far > 0.5:
+                    break
+                clusters[i] += clusters.pop(j)
+            assert models.complete_linkage(d, 0.5) == sorted(sorted(c) for c in clusters)
+
+
+def test_as_of_over_stretches(spark):
+    draw = random.Random(3)
+    at = lambda: dt.datetime(2020, 1, 1) + dt.timedelta(hours=draw.randrange(24 * 900))
+    left = [(i, draw.choice("abc"), at()) for i in range(300)]
+    right = {(draw.choice("ab"), at()): i for i in range(25)}
+    got = panels.as_of(spark.createDataFrame(left, "id int, k string, ts timestamp"), spark.createDataFrame([(k, t, v) for (k, t), v in right.items()], "k string, at timestamp, v int"), ["k"], "ts", "at", ["v"], bucket="month")
+    want = {i: max(((t, v) for (k2, t), v in right.items() if k2 == k and t <= ts), default=(None, None))[1] for i, k, ts in left}
+    assert {r.id: r.v for r in got.collect()} == want
+
+
+def test_nearest_edge_is_not_nearest_vertex(spark):
+    long = [{"x": -50.0, "y": 0.0}, {"x": 50.0, "y": 0.0}, {"x": 50.0, "y": -1.0}, {"x": -50.0, "y": -1.0}]
+    small = [{"x": 0.0, "y": 5.0}, {"x": 1.0, "y": 5.0}, {"x": 1.0, "y": 6.0}, {"x": 0.0, "y": 6.0}]
+    zones = spark.createDataFrame([("long", long), ("small", small)], "zone string, ring array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(1, 0.5, 2.0), (2, 0.5, 3.5), (3, 900.0, 900.0), (4, 10.0, -0.5), (5, None, 1.0)], "id int, x double, y double")
+    got = {r.id: (r.zone, r.method) for r in places.assign_zone(points, zones, "id").collect()}
+    assert got == {1: ("long", "nearest"), 2: ("small", "nearest"), 3: ("long", "nearest"), 4: ("long", "within")}
+
+
+def test_radius_near_the_pole_and_the_date_line(spark):
+    draw = random.Random(6)
+    near = lambda: draw.choice([(draw.uniform(84, 89.9), draw.uniform(-180, 180)), (draw.uniform(-2, 2), draw.choice([-179.9, 179.9, 180.0]) + draw.uniform(-0.1, 0.1)), (draw.uniform(62, 63), draw.uniform(10, 12))])
+    left, right = [(i, *near()) for i in range(150)], [(i, *near()) for i in range(150)]
+    got = {r.k: r.id for r in places.radius_match(spark.createDataFrame(left, "k int, lat double, lon double"), spark.createDataFrame(right, "id int, lat_r double, lon_r double"), "k", 60.0).collect()}
+
+    def away(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1, math.sqrt(h)))
+
+    want = {i: min((away(a, b, c, d), j) for j, c, d in right) for i, a, b in left}
+    assert got == {i: j for i, (km, j) in want.items() if km <= 60.0} and len(got) > 60
+
+
+def test_merged_files_stay_bounded(spark, tmp_path):
+    schema, folder = "k int, posted int, v string", str(tmp_path / "buckets")
+    apply = ingest.merge_into(folder, schema, lambda stored, batch: writes.upsert(stored, batch, ["k"], "posted"), ["k"], buckets=8)
+    for i in range(10):
+        apply(spark.createDataFrame([(i % 3, i, f"v{i}")], schema), i)
+    assert sorted(map(tuple, ingest.current(spark, folder, schema).collect())) == [(0, 9, "v9"), (1, 7, "v7"), (2, 8, "v8")]
+    assert len(list((tmp_path / "buckets/data").glob("*/*/*.parquet"))) <= 4 and len(list((tmp_path / "buckets/state").iterdir())) == 2
+
+
 def test_boards(spark):
     weekly = spark.createDataFrame([("m", "2026-01-05", 1), ("m", "2026-01-12", 2)], "s string, week string, value int").withColumn("week", F.to_date("week"))
     daily = spark.createDataFrame([("m", "2026-01-14", 9)], "s string, day string, value int").withColumn("day", F.to_date("day"))
@@ -241,6 +320,6 @@ def test_streaming_merge_is_idempotent(spark, tmp_path):
         ingest.upsert_stream(stream, folder, schema, ["k"], posted="posted").awaitTermination()
     want = [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
     assert sorted(map(tuple, ingest.current(spark, folder, schema).collect())) == want
-    again = ingest.merge_into(folder, schema, lambda stored, batch: batch)
+    again = ingest.merge_into(folder, schema, lambda stored, batch: batch, ["k"])
     again(spark.createDataFrame([(9, 9, "z")], schema), 0)  # a batch that was merged before changes nothing
     assert sorted(map(tuple, ingest.current(spark, folder, schema).collect())) == want
