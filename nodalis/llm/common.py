@@ -25,8 +25,11 @@ def _own_folder() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    A temporary folder of our own is used only where the setting is absent (local tests).
+    A temporary folder of our own is used only where the setting is absent and the master local, as in
+    tests; a cluster without the setting is refused, as its executors would not see each other's files.
     """
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir", None) or _own_folder())
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
@@ -59,3 +62,47 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: Bits of a bitmap of keys: 2048 pieces of 4 KB, whatever the number of keys.
+MAP_BITS = 1 << 26
+
+
+def _bit(key: str):
+    return F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
+
+
+def bitmap(keys: DataFrame, column: str) -> DataFrame:
+    """(piece, bits): a bitmap of the hashed keys of ``column``; at most ``MAP_BITS`` bits, 8 MB, in all."""
+    at = keys.select(_bit(column).alias("at")).distinct()
+    return at.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+
+
+def with_membership(rows: DataFrame, column: str, maps: dict[str, DataFrame]) -> DataFrame:
+    """``rows`` with one boolean for each named bitmap: false only if the key of ``column`` is surely not
+    among its keys. Each map meets the rows by a broadcast, so rows stay where they are."""
+    named = rows.withColumn("_at", _bit(column))
+    place = F.bitmap_bit_position("_at")
+    for name, found in maps.items():
+        pieces = found.select(F.col("piece").alias("_piece"), F.col("bits").alias("_bits"))
+        byte = F.conv(F.hex(F.expr("substring(_bits, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        held = byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0
+        met = named.withColumn("_place", place).join(F.broadcast(pieces), F.bitmap_bucket_number("_at") == F.col("_piece"), "left")
+        named = met.withColumn(name, F.coalesce(held, F.lit(False))).drop("_piece", "_bits", "_place")
+    return named.drop("_at")
+
+
+def without_keys(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """``rows`` without those whose ``column`` (null included) is among the distinct values of the
+    one-column table ``keys``. Only rows that a bitmap of the keys cannot clear are shuffled."""
+    kept = keys.select(F.col(keys.columns[0]).alias("gone"))
+    held = with_membership(rows.select(F.col(column).alias("key"), F.struct(*rows.columns).alias("row")), "key", {"may": staged(bitmap(kept, "gone"), "bitmap")})
+    doubtful = held.where("may").join(kept, F.col("key").eqNullSafe(F.col("gone")), "left_anti")
+    return held.where("NOT may").select("row.*").unionByName(doubtful.select("row.*"))
+
+
+def only_keys(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows that ``without_keys`` leaves out, found in the same way."""
+    kept = keys.select(F.col(keys.columns[0]).alias("here"))
+    held = with_membership(rows.select(F.col(column).alias("key"), F.struct(*rows.columns).alias("row")), "key", {"may": staged(bitmap(kept, "here"), "bitmap")})
+    return held.where("may").join(kept, F.col("key").eqNullSafe(F.col("here")), "left_semi").select("row.*")

@@ -5,8 +5,9 @@ and the digest of the tokenizer's file, so neither a changed text nor a changed
 meets an old count. Only digests without a stored count are encoded, once each however often their
 text occurs, and the new counts are appended to the cache.
 
-Normalising means that a null text is an empty one; nothing that could change a count is touched.
-Defined cases: an empty text has 0 tokens; repeated rows are counted each, encoded once; an empty
+The registered query starts with an empty cache. Normalising means that a null text is an empty one; nothing that could change a count is touched.
+Defined cases: an empty text has 0 tokens; a text of any length is one text; rows without an id
+are counted like others; further columns, whatever their names, are ignored; repeated rows are counted each, encoded once; an empty
 table gives no rows and leaves the cache as it is; two jobs that append the same digest at once are
 harmless, as readers take one count per digest.
 """
@@ -25,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import fresh_path, staged, table, text_or_empty
+from nodalis.llm.common import bitmap, fresh_path, staged, table, text_or_empty, with_membership
 
 OVER = 1024
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000  # words in each of the memory's two generations
 #: Characters that every Unicode version puts in the same class, so that any engine splits them alike.
 SETTLED = regex.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u024f\\u2010-\\u2027]*+")
 #: The word pattern of byte-level BPE vocabularies. A fixed value.
@@ -56,6 +57,7 @@ class TokenCounter:
         self.added = [x["content"] for x in made.get("added_tokens", [])]
         self.by_word = not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.memo: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def count(self, text: str) -> int:
         if not self.by_word or not SETTLED.fullmatch(text) or any(x in text for x in self.added):
@@ -63,8 +65,10 @@ class TokenCounter:
         words = BYTE_LEVEL_WORDS.findall(text)
         if new := [w for w in set(words) if w not in self.memo]:
             if len(self.memo) + len(new) > MEMO_WORDS:
-                self.memo.clear()
+                self.memo, self.older = {}, self.memo
                 new = list(set(words))
+            self.memo.update((w, self.older[w]) for w in new if w in self.older)
+            new = [w for w in new if w not in self.memo]
             self.memo.update(zip(new, (len(e.ids) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
         return sum(map(self.memo.__getitem__, words))
 
@@ -108,24 +112,31 @@ def read_cache(spark: SparkSession, cache_path: str, tokenizer: str) -> DataFram
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, content_digest, n_tokens) for every row of ``docs``; new counts go to the cache.
 
-    Of each missing digest the row with the smallest id lends its text. Only those texts are
-    shuffled, and by digest and id together, so copies of one text never meet in one task.
+    Of each missing digest the row with the smallest id lends its text. Bitmaps of the stored digests, of
+    the missing ones and of those that several rows share tell most rows apart where they lie: a text
+    that is surely missing and surely alone is encoded in place, one that is surely stored goes nowhere.
+    Only texts that repeat, or whose place in a bitmap another digest holds, are shuffled, by digest and
+    id together, so copies of one text never meet in one task.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("content_digest", F.unhex(F.sha2("text", 256)))
     keyed = staged(texts.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "content_digest"), "token-digests")
-    lenders = keyed.groupBy("content_digest").agg(F.min("id").alias("lender"))
-    misses = staged(lenders.join(read_cache(spark, cache_path, version), "content_digest", "left_anti"), "token-misses")
-    lent = texts.alias("t").join(
+    stored = read_cache(spark, cache_path, version)
+    lenders = keyed.groupBy("content_digest").agg(F.min("id").alias("lender"), F.count(F.lit(1)).alias("rows"))
+    misses = staged(lenders.join(stored, "content_digest", "left_anti"), "token-misses")
+    maps = {"stored": stored, "shared": misses.where("rows > 1"), "missing": misses}
+    told = with_membership(texts, "content_digest", {name: staged(bitmap(keys, "content_digest"), f"token-{name}") for name, keys in maps.items()})
+    alone = told.where("NOT stored AND NOT shared")
+    lent = told.where("missing AND (stored OR shared)").alias("t").join(
         misses.alias("m"),
         (F.col("t.content_digest") == F.col("m.content_digest")) & F.col("t.id").eqNullSafe(F.col("m.lender")),
         "left_semi",
     )
-    counted = lent.select("content_digest", "text").mapInArrow(_encoder(tokenizer_path), "content_digest binary, n_tokens long")
+    counted = alone.select("content_digest", "text").unionByName(lent.select("content_digest", "text")).mapInArrow(_encoder(tokenizer_path), "content_digest binary, n_tokens long")
     counted = counted.dropDuplicates(["content_digest"])  # of such rows in two tasks
     counted.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
-    stored = read_cache(spark, cache_path, version).join(lenders.select("content_digest"), "content_digest", "left_semi")
-    counts = staged(stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    known = read_cache(spark, cache_path, version).join(lenders.select("content_digest"), "content_digest", "left_semi")
+    counts = staged(known.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keyed.join(counts, "content_digest").select(F.col("id").alias(id_col), "n_bytes", "content_digest", "n_tokens")
 
 

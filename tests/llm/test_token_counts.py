@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from nodalis.llm import token_counts
+from nodalis.llm import common, token_counts
 from nodalis.llm.common import fresh_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -41,6 +41,19 @@ def test_counts_and_cache(spark, name):
     assert token_counts.count_tokens(docs.limit(0), path, fresh_path(spark, "cache-test")).count() == 0
 
 
+def test_cache_that_holds_most(spark, monkeypatch):
+    """Few bits, so that places clash: results and the number of encoded texts stay the same."""
+    monkeypatch.setattr(common, "MAP_BITS", 256)
+    library = Tokenizer.from_file(PATH)
+    cache = fresh_path(spark, "cache-test")
+    old = spark.createDataFrame([(i, f"stored text {i}", "c", "c") for i in range(180)], SCHEMA)
+    token_counts.count_tokens(old, PATH, cache)
+    rows = [(i, f"stored text {i % 200}", "c", "c") for i in range(300)] + [(None, "alone", "c", "c")]
+    got = token_counts.count_tokens(spark.createDataFrame(rows, SCHEMA).repartition(5), PATH, cache).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == sorted((str(i), len(library.encode(t).ids)) for i, t, *_ in rows)
+    assert spark.read.parquet(cache).count() == 201
+
+
 def test_versions_do_not_meet(spark):
     cache = fresh_path(spark, "cache-test")
     docs = spark.createDataFrame([(1, "Hello THERE world", "c", "c")], SCHEMA)
