@@ -13,7 +13,9 @@ about record boundaries, so one archive can be read by many tasks.
 
 Defined cases: a null payload is an empty one; a null id is kept as null and never serves as a
 target of a revisit unless all ids of its group are null; rows that repeat an id and a payload are
-all responses when that id is the group's largest; an empty table gives no archives and no records;
+all responses when that id is the group's largest; payloads and urls of any length are written whole
+and read back, line breaks and unprintable characters of a url as %XX; columns other than id, payload and
+url are ignored, whatever their names; an empty table gives no archives and no records;
 a member whose body fails its checksum raises.
 """
 
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import fresh_path, staged, table
+from nodalis.llm.common import bitmap, fresh_path, staged, table, with_membership
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
@@ -44,9 +46,9 @@ _RECORDS = "warc_type string, record_id string, target_uri string, refers_to_id
 def classify(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
     """Add payload, payload_digest, payload_bytes, record_type and refers_to to ``pages``.
 
-    Only groups with more than one member reach the join, and of those only digest and largest id.
-    They are staged first, so that both sides of the join are plain exchanges, which Spark can split
-    where one payload holds a large part of the rows.
+    Groups with more than one member, of which there are digest and largest id only, are staged. A bitmap
+    of their digests clears most rows where they lie; the others meet the groups in a join of plain
+    exchanges, which Spark can split where one payload holds a large part of the rows.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     base = pages.select(
@@ -65,7 +67,9 @@ def classify(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int = M
         "warc-keepers",
     )
     revisit = F.col("keeper").isNotNull() & ~F.col("record_key").eqNullSafe(F.col("keeper"))
-    return base.join(keepers, "payload_digest", "left").select(
+    told = with_membership(base, "payload_digest", {"repeats": staged(bitmap(keepers, "payload_digest"), "warc-repeats")})
+    lone = told.where("NOT repeats").withColumn("keeper", F.lit(None).cast(keepers.schema["keeper"].dataType))
+    return lone.unionByName(told.where("repeats").join(keepers, "payload_digest", "left").select(lone.columns)).select(
         "record_key",
         "target_uri",
         F.when(~revisit, F.col("payload")).alias("payload"),
