@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nodalis.functions import clock
-from nodalis.operators import boards, evaluation, features, history, models, projection, views
+from nodalis.operators import boards, evaluation, features, history, models, projection, runs, views
 from nodalis.sources import geography
 from nodalis.streaming import ingest
 
@@ -152,3 +152,19 @@ def test_watermarked_hours(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((str(r.hour)[11:16], r.price, r.n) for r in spark.table("hours").collect()) == [("00:00", 4.0, 4), ("01:00", 4.0, 4)]
+
+
+def test_refit_grid_refuses_short_history(spark):
+    days = spark.sql("SELECT explode(sequence(date'2026-01-01', date'2026-04-01', interval 1 day)) AS day")
+    got = [str(r.refit_ts) for r in runs.refit_boundaries(days, 30, 7, score_from="2026-03-02").orderBy("day").collect()]
+    assert got == ["2026-03-02 06:00:00", "2026-03-09 05:00:00", "2026-03-16 05:00:00", "2026-03-23 05:00:00", "2026-03-30 05:00:00"]
+    assert str(runs.refit_boundaries(days, 30, 7).agg(F.min("day")).first()[0]) == "2026-01-31"
+    with pytest.raises(Exception, match="needs 90 days of history"):
+        runs.refit_boundaries(days, 90, 7, score_from="2026-03-02").collect()
+
+
+def test_sources_and_missing_metrics(spark):
+    rows = spark.createDataFrame([("Onshore Wind Turbine", "WND"), ("Conventional", " ng "), (None, None)], "t string, c string")
+    assert [r[0] for r in rows.select(runs.plant_source(F.col("t"), F.col("c"), {"NG": "gas"})).collect()] == ["wind", "gas", None]
+    windows = spark.createDataFrame([("a", None), ("a", 0.5), ("b", 1.0)], "run_id string, r2 double")
+    assert {r.run_id: r.n for r in runs.missing_metric(windows, "r2").collect()} == {"a": 1, "b": 0}
