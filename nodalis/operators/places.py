@@ -122,14 +122,17 @@ def token_set_ratio(a: Column, b: Column) -> Column:
 
 def fuzzy_match(queries: DataFrame, pool: DataFrame, cutoff: float, stop: tuple[str, ...] = ()) -> DataFrame:
     """(q, p, score): each query (q, name) with its best pool entry (p, pool_name) that shares a word and
-    reaches the cutoff; ties to the smaller p. Candidates come from an index of words."""
-    q = queries.select("q", tokens(F.col("name"), stop).alias("qt"))
-    p = pool.select("p", tokens(F.col("pool_name"), stop).alias("pt"))
-    index = p.select("p", "pt", F.explode("pt").alias("word"))
-    pairs = q.select("q", "qt", F.explode("qt").alias("word")).join(index, "word").select("q", "p", "qt", "pt").distinct()
-    scored = pairs.select("q", "p", token_set_ratio(F.col("qt"), F.col("pt")).alias("score")).where(F.col("score") >= cutoff)
-    best = scored.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "p")).alias("m"))
-    return best.select("q", F.col("m.p").alias("p"), (-F.col("m.s")).alias("score"))
+    reaches the cutoff; ties to the smaller p.
+
+    Names with the same words are one on either side, so what is compared grows with distinct names."""
+    named = queries.select("q", tokens(F.col("name"), stop).alias("qt"))
+    entries = pool.select("p", tokens(F.col("pool_name"), stop).alias("pt")).groupBy("pt").agg(F.min("p").alias("p"))
+    index = entries.select("p", "pt", F.explode("pt").alias("word"))
+    asked = named.select("qt").distinct()
+    pairs = asked.select("qt", F.explode("qt").alias("word")).join(index, "word").select("p", "qt", "pt").distinct()
+    scored = pairs.select("qt", "p", token_set_ratio(F.col("qt"), F.col("pt")).alias("score")).where(F.col("score") >= cutoff)
+    best = scored.groupBy("qt").agg(F.min(F.struct((-F.col("score")).alias("s"), "p")).alias("m"))
+    return named.join(best, "qt").select("q", F.col("m.p").alias("p"), (-F.col("m.s")).alias("score"))
 
 
 def prefix_match(stations: DataFrame, points: DataFrame, least: int = 3) -> DataFrame:

@@ -16,14 +16,14 @@ CT = "((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago')"
 
 
 @query(with_sql("mu", f"""
-, h AS (SELECT DISTINCT ts, CAST({CT} AS DATE) AS day FROM mu WHERE ts >= TIMESTAMP '2024-01-20'), k AS (SELECT DISTINCT key FROM mu WHERE vec_id < 30)
+, h AS (SELECT DISTINCT ts, CAST({CT} AS DATE) AS day FROM mu), k AS (SELECT DISTINCT key FROM mu)
 SELECT strftime(h.ts, '%Y-%m-%d %H:%M:%S') AS ts, k.key, CASE WHEN coalesce(abs(m.mu), 0) > 20 THEN 1 ELSE 0 END AS y_bind, CASE WHEN abs(m.mu) > 20 THEN m.mu END AS y_mu
 FROM h CROSS JOIN k LEFT JOIN mu AS m ON m.ts = h.ts AND m.key = k.key"""))
 def design_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mu = market.shadow_prices(spark, sf_dir)
-    hours = mu.where("ts >= '2024-01-20'").select("ts").distinct()
+    hours = mu.select("ts").distinct()
     days = hours.select(clock.delivery_date(F.col("ts")).alias("day")).distinct()
-    keys = mu.where("vec_id < 30").select("key").distinct().crossJoin(F.broadcast(days))
+    keys = mu.select("key").distinct().crossJoin(F.broadcast(days))
     system = hours.select("ts", F.hour("ts").alias("hour"))
     return features.design(hours, keys, system, mu, 20.0).select(stamp("ts").alias("ts"), "key", "y_bind", "y_mu")
 

@@ -16,8 +16,8 @@ DAILY = """
 #: Forecast of an hour: the same hour a day before; truth: the hour. Both projected to nodes.
 TRUTH = """
 , pr AS (SELECT ts + INTERVAL 1 DAY AS ts, key, mu FROM mu),
- y AS (SELECT ts, sp, -sum(mu * sf) AS y FROM mu JOIN sf USING (key) WHERE ts < TIMESTAMP '2024-01-06' GROUP BY 1, 2),
- h AS (SELECT ts, sp, -sum(mu * sf) AS y_hat FROM pr JOIN sf USING (key) WHERE ts < TIMESTAMP '2024-01-06' GROUP BY 1, 2),
+ y AS (SELECT ts, sp, -sum(mu * sf) AS y FROM mu JOIN sf USING (key) GROUP BY 1, 2),
+ h AS (SELECT ts, sp, -sum(mu * sf) AS y_hat FROM pr JOIN sf USING (key) GROUP BY 1, 2),
  g AS (SELECT ts, sp, round(y, 6) AS y, round(y_hat, 6) AS y_hat FROM y JOIN h USING (ts, sp))"""
 
 
@@ -28,8 +28,8 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     mu, sf = market.shadow_prices(spark, sf_dir).select("ts", "key", "mu"), market.shift_factors(spark, sf_dir)
     before = mu.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 DAY"))
-    y = projection.project(mu.where("ts < '2024-01-06'"), sf).withColumnRenamed("point", "y")
-    h = projection.project(before.where("ts < '2024-01-06'"), sf).withColumnRenamed("point", "y_hat")
+    y = projection.project(mu, sf).withColumnRenamed("point", "y")
+    h = projection.project(before, sf).withColumnRenamed("point", "y_hat")
     return y.join(h, ["ts", "sp"]).select("ts", "sp", r6("y").alias("y"), r6("y_hat").alias("y_hat"))
 
 

@@ -131,26 +131,26 @@ def radius_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT p_partkey AS q, upper(p_name) || ' ' || upper(p_type) AS name FROM part WHERE p_partkey % 7 = 0), p AS (SELECT p_partkey AS p, upper(p_name) AS pool_name FROM part WHERE p_partkey % 11 = 0),
-t AS (SELECT q, list_sort(list_distinct(string_split(name, ' '))) AS t FROM q), u AS (SELECT p, list_sort(list_distinct(string_split(pool_name, ' '))) AS u FROM p),
+WITH q AS (SELECT p_partkey AS q, upper(p_name) || ' ' || upper(p_type) AS name FROM part), p AS (SELECT p_partkey AS p, upper(p_name) AS pool_name FROM part),
+qt AS (SELECT q, list_sort(list_distinct(string_split(name, ' '))) AS t FROM q), t AS (SELECT DISTINCT t AS q, t FROM qt), u AS (SELECT min(p) AS p, u FROM (SELECT p, list_sort(list_distinct(string_split(pool_name, ' '))) AS u FROM p) GROUP BY u),
 j AS (SELECT q, p, t, u, list_sort(list_intersect(t, u)) AS s FROM t, u WHERE len(list_intersect(t, u)) > 0),
 k AS (SELECT q, p, array_to_string(s, ' ') AS s, trim(array_to_string(s, ' ') || ' ' || array_to_string(list_sort(list_filter(t, lambda x: NOT list_contains(u, x))), ' ')) AS a, trim(array_to_string(s, ' ') || ' ' || array_to_string(list_sort(list_filter(u, lambda x: NOT list_contains(t, x))), ' ')) AS b FROM j),
 r AS (SELECT q, p, greatest(100 * (1 - levenshtein(s, a) / greatest(length(s), length(a))), 100 * (1 - levenshtein(s, b) / greatest(length(s), length(b))), 100 * (1 - levenshtein(a, b) / greatest(length(a), length(b)))) AS score FROM k)
-SELECT q, arg_min(p, (-score, p)) AS p, round(max(score), 6) AS score FROM r WHERE score >= 60 GROUP BY q""")
+SELECT qt.q, b.p, b.score FROM qt JOIN (SELECT q, arg_min(p, (-score, p)) AS p, round(max(score), 6) AS score FROM r WHERE score >= 60 GROUP BY q) AS b ON qt.t = b.q""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = market.table(spark, sf_dir, "part")
-    queries = part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("q"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
-    pool = part.where("p_partkey % 11 = 0").select(F.col("p_partkey").alias("p"), F.col("p_name").alias("pool_name"))
+    queries = part.select(F.col("p_partkey").alias("q"), F.concat_ws(" ", "p_name", "p_type").alias("name"))
+    pool = part.select(F.col("p_partkey").alias("p"), F.col("p_name").alias("pool_name"))
     return places.fuzzy_match(queries, pool, 60.0).select("q", "p", r6("score").alias("score"))
 
 
 @query(with_sql("mu sf", """
 , m AS (SELECT key, 'G' || CAST(vec_id % 12 AS VARCHAR) AS grp, sum(abs(mu)) AS w FROM mu GROUP BY key, vec_id), s AS (SELECT key, grp, w / sum(w) OVER (PARTITION BY grp) AS share FROM m)
-SELECT grp, sp, round(sum(sf * share) / sum(share), 6) + 0.0 AS sf FROM sf JOIN s USING (key) WHERE label < 6 GROUP BY 1, 2"""))
+SELECT grp, sp, round(sum(sf * share) / sum(share), 6) + 0.0 AS sf FROM sf JOIN s USING (key) GROUP BY 1, 2"""))
 def group_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     mu = market.shadow_prices(spark, sf_dir)
     mass = mu.groupBy("key", F.concat(F.lit("G"), (F.col("vec_id") % 12).cast("string")).alias("grp")).agg(F.sum(F.abs("mu")).alias("w"))
     members = mass.select("key", "grp", (F.col("w") / F.sum("w").over(Window.partitionBy("grp"))).alias("share"))
-    return projection.group_projection(market.shift_factors(spark, sf_dir).where("label < 6"), members).select("grp", "sp", r6("sf").alias("sf"))
+    return projection.group_projection(market.shift_factors(spark, sf_dir), members).select("grp", "sp", r6("sf").alias("sf"))

@@ -115,12 +115,12 @@ def constraint_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 , d AS (SELECT DISTINCT CAST({CT} AS DATE) AS day FROM mu),
  e AS (SELECT day, unnest(generate_series(CAST(day AS TIMESTAMP), CAST(day AS TIMESTAMP) + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS c FROM d),
  x AS (SELECT day, ((c AT TIME ZONE 'America/Chicago') AT TIME ZONE 'UTC') AS ts FROM e),
- have AS (SELECT DISTINCT ts FROM mu WHERE vec_id % 50 = 7)
+ have AS (SELECT DISTINCT ts FROM mu WHERE mu > 300)
 SELECT strftime(day, '%Y-%m-%d') AS day, strftime(x.ts, '%Y-%m-%d %H:%M:%S') AS ts FROM x ANTI JOIN have USING (ts)"""))
 def missing_hours_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     mu = market.shadow_prices(spark, sf_dir)
     days = mu.select(clock.delivery_date(F.col("ts")).alias("day")).distinct()
-    gaps = panels.missing(panels.expected_hours(days), mu.where("vec_id % 50 = 7"), ["ts"])
+    gaps = panels.missing(panels.expected_hours(days), mu.where("mu > 300"), ["ts"])
     return gaps.select(day_text("day").alias("day"), stamp("ts").alias("ts"))
 
 
@@ -195,9 +195,9 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("mu", f"""
-SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(row_number() OVER (PARTITION BY CAST({CT} AS DATE), key ORDER BY ts) AS INTEGER) AS ordinal, key, mu FROM mu WHERE vec_id < 40"""))
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CAST(row_number() OVER (PARTITION BY CAST({CT} AS DATE), key ORDER BY ts) AS INTEGER) AS ordinal, key, mu FROM mu"""))
 def ordinal_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mu = market.shadow_prices(spark, sf_dir).where("vec_id < 40").withColumn("day", clock.delivery_date(F.col("ts")))
+    mu = market.shadow_prices(spark, sf_dir).withColumn("day", clock.delivery_date(F.col("ts")))
     return panels.ordinal_profile(mu, "ts", ["day", "key"]).select(stamp("ts").alias("ts"), "ordinal", "key", "mu")
 
 

@@ -37,9 +37,9 @@ def expected_mu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("mu sf", f"""
-SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, sp, mu.key, round(-mu * sf, 6) + 0.0 AS contribution FROM mu JOIN sf USING (key) WHERE {DAY} AND place < 8 AND mu * sf <> 0"""))
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, sp, mu.key, round(-mu * sf, 6) + 0.0 AS contribution FROM mu JOIN sf USING (key) WHERE {DAY} AND mu * sf <> 0"""))
 def node_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = projection.contributions(_day(market.shadow_prices(spark, sf_dir)), market.shift_factors(spark, sf_dir).where("place < 8"))
+    terms = projection.contributions(_day(market.shadow_prices(spark, sf_dir)), market.shift_factors(spark, sf_dir))
     return terms.select(stamp("ts").alias("ts"), "sp", "key", r6("contribution").alias("contribution"))
 
 
@@ -88,10 +88,10 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql("mu sf", """
 SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, round(sum(CASE WHEN k.key IS NOT NULL THEN abs(mu) ELSE 0 END) / sum(abs(mu)), 6) AS coverage, round(sum(abs(mu)), 6) AS mass
-FROM mu LEFT JOIN (SELECT DISTINCT key FROM sf WHERE label < 7) AS k ON mu.key = k.key GROUP BY 1"""))
+FROM mu LEFT JOIN (SELECT DISTINCT key FROM sf WHERE abs(sf) >= 0.25) AS k ON mu.key = k.key GROUP BY 1"""))
 def sf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     mu = market.shadow_prices(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    covered = projection.mass_coverage(mu, market.shift_factors(spark, sf_dir).where("label < 7"), ("day",))
+    covered = projection.mass_coverage(mu, market.shift_factors(spark, sf_dir).where("abs(sf) >= 0.25"), ("day",))
     return covered.select("day", r6("coverage").alias("coverage"), r6("mass").alias("mass"))
 
 
@@ -132,12 +132,12 @@ def rail_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("sf", """
-, q AS (SELECT 'N' || CAST(place % 20 AS VARCHAR) || CASE WHEN place >= 40 THEN 'b' ELSE 'a' END AS sp, key, max(CASE WHEN place % 20 < 5 THEN CAST(vec_id AS FLOAT) ELSE CAST(sf AS FLOAT) END) AS v FROM sf WHERE vec_id < 30 GROUP BY 1, 2),
+, q AS (SELECT 'N' || CAST(place % 20 AS VARCHAR) || CASE WHEN place >= 40 THEN 'b' ELSE 'a' END AS sp, key, max(CASE WHEN place % 20 < 5 THEN CAST(vec_id AS FLOAT) ELSE CAST(sf AS FLOAT) END) AS v FROM sf GROUP BY 1, 2),
  g AS (SELECT sp, list(v ORDER BY key) AS sig FROM q GROUP BY sp)
 SELECT min(sp) AS representative, count(*) AS n, string_agg(sp, ',' ORDER BY sp) AS members FROM g GROUP BY sig"""))
 def essp_signature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes with one and the same column; the first five places are given a column by key alone."""
-    sf = market.shift_factors(spark, sf_dir).where("vec_id < 30")
+    sf = market.shift_factors(spark, sf_dir)
     sp = F.concat(F.lit("N"), (F.col("place") % 20).cast("string"), F.when(F.col("place") >= 40, "b").otherwise("a"))
     value = F.when(F.col("place") % 20 < 5, F.col("vec_id").cast("double")).otherwise(F.col("sf"))
     columns = sf.groupBy(sp.alias("sp"), "key").agg(F.max(value).alias("sf"))
@@ -157,11 +157,11 @@ def zone_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("mu sf", """
-, p AS (SELECT ts, sp, -sum(mu * sf) AS v FROM mu JOIN sf USING (key) WHERE place < 6 GROUP BY 1, 2)
+, p AS (SELECT ts, sp, -sum(mu * sf) AS v FROM mu JOIN sf USING (key) GROUP BY 1, 2)
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, sp, round(sign(v) * least(greatest((abs(v) - 10) / 90, 0), 1), 6) + 0.0 AS congestion_position,
        round(CASE WHEN v <= -20 THEN 0 WHEN v < 0 THEN (v + 20) * 0.02 WHEN v < 50 THEN 0.4 + v * 0.012 ELSE 1 END, 6) + 0.0 AS lmp_position FROM p"""))
 def colour_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = projection.project(market.shadow_prices(spark, sf_dir), market.shift_factors(spark, sf_dir).where("place < 6"))
+    points = projection.project(market.shadow_prices(spark, sf_dir), market.shift_factors(spark, sf_dir))
     lmp = fields.interpolate(F.col("point"), [(-20.0, 0.0), (0.0, 0.4), (50.0, 1.0)])
     return points.select(stamp("ts").alias("ts"), "sp", r6(fields.congestion_position(F.col("point"))).alias("congestion_position"), r6(lmp).alias("lmp_position"))
 

@@ -157,16 +157,16 @@ def novelty_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_sql("sf", """
-, o AS (SELECT CAST(l_shipdate AS DATE) AS day, 'N' || CAST(l_suppkey % 64 AS VARCHAR) AS sp, sum(CAST(l_quantity AS BIGINT)) AS mw FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01' GROUP BY 1, 2)
-SELECT strftime(day, '%Y-%m-%d') AS day, key, round(sum(abs(sf) * mw), 6) AS exposure FROM o JOIN sf USING (sp) WHERE vec_id < 100 GROUP BY 1, 2"""))
+, o AS (SELECT CAST(l_shipdate AS DATE) AS day, 'N' || CAST(l_suppkey % 64 AS VARCHAR) AS sp, sum(CAST(l_quantity AS BIGINT)) AS mw FROM lineitem GROUP BY 1, 2)
+SELECT strftime(day, '%Y-%m-%d') AS day, key, round(sum(abs(sf) * mw), 6) AS exposure FROM o JOIN sf USING (sp) GROUP BY 1, 2"""))
 def outage_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = market.table(spark, sf_dir, "lineitem").where("l_shipdate < '1995-02-01'").select(F.to_date("l_shipdate").alias("day"), F.concat(F.lit("N"), (F.col("l_suppkey") % 64).cast("string")).alias("sp"), F.col("l_quantity").alias("mw"))
-    got = views.exposure(market.shift_factors(spark, sf_dir).where("vec_id < 100"), rows)
+    rows = market.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("day"), F.concat(F.lit("N"), (F.col("l_suppkey") % 64).cast("string")).alias("sp"), F.col("l_quantity").alias("mw"))
+    got = views.exposure(market.shift_factors(spark, sf_dir), rows)
     return got.select(day_text("day").alias("day"), "key", r6("exposure").alias("exposure"))
 
 
 @query(with_sql("mu sf geo", """
-, d AS (SELECT CAST(ts AS DATE) AS day, key, sum(mu) AS v FROM mu GROUP BY 1, 2), s AS (SELECT key, zone, sum(abs(sf)) AS w FROM sf JOIN geo USING (sp) WHERE label < 8 GROUP BY 1, 2), q AS (SELECT key, zone, w / sum(w) OVER (PARTITION BY key) AS share FROM s),
+, d AS (SELECT CAST(ts AS DATE) AS day, key, sum(mu) AS v FROM mu GROUP BY 1, 2), s AS (SELECT key, zone, sum(abs(sf)) AS w FROM sf JOIN geo USING (sp) WHERE abs(sf) >= 0.25 GROUP BY 1, 2), q AS (SELECT key, zone, w / sum(w) OVER (PARTITION BY key) AS share FROM s),
  t AS (SELECT day, sum(v) AS total FROM d GROUP BY 1), r AS (SELECT a.day, a.total, 1 + (SELECT count(*) FROM t AS b WHERE b.day < a.day AND b.total >= a.total) AS rank, a.total / (SELECT median(total) FROM t) AS ratio, 100.0 * (SELECT count(*) FROM t AS b WHERE b.day <= a.day AND b.total <= a.total) / (SELECT count(*) FROM t AS b WHERE b.day <= a.day) AS pct FROM t AS a),
  z AS (SELECT day, zone, sum(v * share) AS m FROM d JOIN q USING (key) GROUP BY 1, 2), l AS (SELECT day, zone, m / sum(m) OVER (PARTITION BY day) AS share, row_number() OVER (PARTITION BY day ORDER BY round(m, 6) DESC, zone) AS i FROM z),
  n AS (SELECT day, count(DISTINCT key) AS unmapped FROM d WHERE key NOT IN (SELECT key FROM q) AND v > 250 GROUP BY 1)
@@ -181,7 +181,7 @@ def daily_brief_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per day: size, regime, leading zone, constraints outside of the map."""
     daily = _daily(spark, sf_dir)
-    shares = projection.zone_shares(market.shift_factors(spark, sf_dir).where("label < 8"), market.geography(spark, sf_dir))
+    shares = projection.zone_shares(market.shift_factors(spark, sf_dir).where("abs(sf) >= 0.25"), market.geography(spark, sf_dir))
     days = daily.groupBy("day").agg(F.sum("v").alias("total"))
     prior = F.collect_list("total").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))  # a calendar of the history
     median = days.agg(F.percentile("total", 0.5).alias("median"))
