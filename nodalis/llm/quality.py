@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import staged, table, text_or_empty
+from nodalis.llm.common import staged, table, text_or_empty, without_keys
 
 STATISTICS = (
     "words", "word_length", "length_spread", "upper", "symbols", "exclaims", "bars", "digits", "variety",
@@ -180,9 +180,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts; rows of a repeated id stay if any of them does."""
-    kept = classify(docs, labels, id_col, text_col).where("predicted = 1").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of ``docs`` that the classifier accepts; rows of a repeated id stay if any of them does.
+
+    Texts of accepted rows are not shuffled: the ids that fall are taken out.
+    """
+    judged = classify(docs, labels, id_col, text_col).groupBy(F.col(id_col).alias("id")).agg(F.max("predicted").alias("accepted"))
+    return without_keys(docs, id_col, staged(judged.where("accepted = 0").select("id"), "quality-rejected"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

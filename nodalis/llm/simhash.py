@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.llm.common import staged, table, text_or_empty
+from nodalis.llm.common import only_keys, staged, table, text_or_empty, without_keys
 
 WORDS, SEED, BITS = 3, 42, 64
 BUCKET = 64
@@ -157,7 +157,9 @@ def components(edges: DataFrame) -> DataFrame:
         return staged(moved.where("a < b").distinct(), "stars")
 
     def mark(current: DataFrame):
-        return current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        one, other = F.xxhash64("a", "b"), F.xxhash64("b", "a", F.lit(1))
+        halves = [F.sum(part) for h in (one, other) for part in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+        return current.agg(F.count(F.lit(1)), *halves).first()
 
     current = staged(edges, "stars")
     before = mark(current)
@@ -182,16 +184,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class: the one with the class's id.
+    """One document of each class: the one with the class's id. Texts of other documents are shuffled, those
+    of the documents that stay are not.
 
     Rows that repeat both id and text are one document and become one row. Where a class has no id at
     all, one row of each of its texts stays, and so do texts of other rows without id.
     """
-    own = near_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = staged(own.groupBy(F.col(id_col).alias("_kept")).agg(F.count(F.lit(1)).alias("_rows")), "simhash-kept")
-    single, several = kept.where("_rows = 1"), staged(kept.where("_rows > 1"), "simhash-again")
-    once = docs.join(single, docs[id_col].eqNullSafe(single["_kept"]), "left_semi")
-    again = docs.join(several, docs[id_col].eqNullSafe(several["_kept"]), "left_semi")
+    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(id_col).eqNullSafe(F.col("component_id")).cast("long").alias("own"))
+    rows = staged(found.groupBy("id").agg(F.sum("own").alias("kept")).where("kept <> 1"), "simhash-kept")
+    once = without_keys(docs, id_col, rows.select("id"))
+    again = only_keys(docs, id_col, rows.where("kept > 1").select("id"))
     return once.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
