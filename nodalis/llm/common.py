@@ -64,8 +64,8 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-#: Bits of a bitmap of keys: 2048 pieces of 4 KB, whatever the number of keys.
-MAP_BITS = 1 << 26
+#: Bits of a bitmap of keys: 512 pieces of 4 KB, whatever the number of keys.
+MAP_BITS = 1 << 24
 
 
 def _bit(key: str):
@@ -73,7 +73,7 @@ def _bit(key: str):
 
 
 def bitmap(keys: DataFrame, column: str) -> DataFrame:
-    """(piece, bits): a bitmap of the hashed keys of ``column``; at most ``MAP_BITS`` bits, 8 MB, in all."""
+    """(piece, bits): a bitmap of the hashed keys of ``column``; at most ``MAP_BITS`` bits, 2 MB, in all."""
     at = keys.select(_bit(column).alias("at")).distinct()
     return at.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
 

@@ -39,8 +39,9 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = np.uint64(0xD6E8FEB86659FD93)
 SHIFT = np.uint64(44)
-LONG_WORD, FEW_WORDS, BLOCK_WORDS = 96, 4, 1 << 15
-MEMO_WORDS = 300_000  # words in each of the memory's two generations
+LONG_WORD, FEW_WORDS, BLOCK_WORDS = 96, 4, 1 << 14
+MEMO_WORDS = 100_000  # words in each of the memory's two generations
+DECODED_IDS = 1 << 17
 ROWS = 1024  # rows that are encoded and sent on together
 PAIR_BITS = 20  # 2 to this power pairs have their answers kept
 UNKNOWN_PENALTY = 10.0
@@ -371,8 +372,19 @@ class PieceModel:
         return [np.frombuffer(x, "<i4").tolist() for x in self.encode_packed(texts)]
 
     def decode_packed(self, packed: list[bytes]) -> list[bytes]:
-        """The bytes that packed ids stand for, all lists in one gather from the pieces' bytes. Control
-        pieces vanish, and with them the space put before a text."""
+        """The bytes that packed ids stand for. Control pieces vanish, and with them the space put before a
+        text. Lists are taken together while they are short, so that memory stays that of a long one."""
+        out, some, size = [], [], 0
+        for one in packed:
+            some.append(one)
+            size += len(one)
+            if size > 4 * DECODED_IDS:
+                out += self.gathered(some)
+                some, size = [], 0
+        return out + self.gathered(some)
+
+    def gathered(self, packed: list[bytes]) -> list[bytes]:
+        """Lists of packed ids decoded in one gather from the pieces' bytes."""
         counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
         ids = np.frombuffer(b"".join(packed), "<i4")
         lengths = self.printed_length[ids]
