@@ -109,7 +109,15 @@ def map_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(day_text("window_start").alias("window_start"), r6("r2").alias("r2"), r6("coverage").alias("coverage"))
 
 
-@query()
+@query(with_sql("mu sf", """
+, s AS (SELECT 'oracle' AS source, ts, key, mu FROM mu UNION ALL SELECT 'persistence', ts + INTERVAL 1 DAY, key, mu FROM mu UNION ALL SELECT 'null', ts, key, 0.0 FROM mu),
+ y AS (SELECT ts, sp, -sum(mu * sf) AS y FROM mu JOIN sf USING (key) GROUP BY 1, 2), h AS (SELECT source, ts, sp, -sum(mu * sf) AS y_hat FROM s JOIN sf USING (key) GROUP BY 1, 2, 3),
+ g AS (SELECT n.source, y.ts, y.sp, y, coalesce(y_hat, 0) AS y_hat FROM y CROSS JOIN (SELECT DISTINCT source FROM s) AS n LEFT JOIN h ON h.source = n.source AND h.ts = y.ts AND h.sp = y.sp),
+ r AS (SELECT source, ts, y_hat, count(*) OVER t AS n, rank() OVER (PARTITION BY source, ts ORDER BY y) + (count(*) OVER (PARTITION BY source, ts, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY source, ts ORDER BY y_hat) + (count(*) OVER (PARTITION BY source, ts, y_hat) - 1) / 2.0 AS rh,
+  row_number() OVER (PARTITION BY source, ts ORDER BY y DESC, sp) AS a, row_number() OVER (PARTITION BY source, ts ORDER BY y_hat DESC, sp) AS b FROM g WINDOW t AS (PARTITION BY source, ts)),
+ hours AS (SELECT source, ts, CASE WHEN max(n) >= 10 THEN corr(ry, rh) END AS spearman, CASE WHEN max(n) >= 20 THEN count(*) FILTER (a <= greatest(1, n // 10) AND b <= greatest(1, n // 10)) / CAST(greatest(1, max(n) // 10) AS DOUBLE) END AS hit FROM r GROUP BY 1, 2 HAVING max(y_hat) > min(y_hat) AND max(ry) > min(ry)),
+ signs AS (SELECT source, avg(CASE WHEN sign(y) = sign(y_hat) THEN 1.0 ELSE 0.0 END) AS sign_agree FROM g WHERE abs(y) > 1 GROUP BY 1)
+SELECT signs.source, round(avg(spearman), 6) AS spearman, round(avg(hit), 6) AS topdecile, round(max(sign_agree), 6) AS sign_agree, count(ts) AS n_hours FROM signs LEFT JOIN hours ON hours.source = signs.source GROUP BY 1"""))
 def source_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oracle, persistence and null shadow prices through one map."""
     mu, sf, cong = _planted(spark, sf_dir)

@@ -165,15 +165,20 @@ def outage_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(day_text("day").alias("day"), "key", r6("exposure").alias("exposure"))
 
 
-@query(with_sql("mu sf geo", """
+SLOTS = """
 , d AS (SELECT CAST(ts AS DATE) AS day, key, sum(mu) AS v FROM mu GROUP BY 1, 2), s AS (SELECT key, zone, sum(abs(sf)) AS w FROM sf JOIN geo USING (sp) WHERE abs(sf) >= 0.25 GROUP BY 1, 2), q AS (SELECT key, zone, w / sum(w) OVER (PARTITION BY key) AS share FROM s),
  t AS (SELECT day, sum(v) AS total FROM d GROUP BY 1), r AS (SELECT a.day, a.total, 1 + (SELECT count(*) FROM t AS b WHERE b.day < a.day AND b.total >= a.total) AS rank, a.total / (SELECT median(total) FROM t) AS ratio, 100.0 * (SELECT count(*) FROM t AS b WHERE b.day <= a.day AND b.total <= a.total) / (SELECT count(*) FROM t AS b WHERE b.day <= a.day) AS pct FROM t AS a),
  z AS (SELECT day, zone, sum(v * share) AS m FROM d JOIN q USING (key) GROUP BY 1, 2), l AS (SELECT day, zone, m / sum(m) OVER (PARTITION BY day) AS share, row_number() OVER (PARTITION BY day ORDER BY round(m, 6) DESC, zone) AS i FROM z),
- n AS (SELECT day, count(DISTINCT key) AS unmapped FROM d WHERE key NOT IN (SELECT key FROM q) AND v > 250 GROUP BY 1)
+ n AS (SELECT day, count(DISTINCT key) AS unmapped FROM d WHERE key NOT IN (SELECT key FROM q) AND v > 250 GROUP BY 1),
+ slots AS (
 SELECT strftime(r.day, '%Y-%m-%d') AS day, CASE WHEN rank = 1 THEN 'record' WHEN rank <= 3 THEN 'near_top' WHEN ratio >= 1.25 THEN 'elevated' WHEN ratio >= 1.10 THEN 'ordinary_plus' WHEN ratio >= 0.75 THEN 'ordinary' WHEN ratio >= 0.5 THEN 'ordinary_minus' ELSE 'quiet' END AS size,
   CASE WHEN pct >= 100 THEN 'record' WHEN pct >= 95 THEN 'extreme' WHEN pct <= 5 THEN 'calm' ELSE 'typical' END AS regime, l.zone, round(l.share, 6) AS share, CASE WHEN l.share >= 0.55 THEN 'concentrated' WHEN l.share >= 0.45 THEN 'leaning' ELSE 'spread' END AS where_class,
   coalesce(n.unmapped, 0) AS unmapped, CASE WHEN coalesce(n.unmapped, 0) = 0 THEN 'none' WHEN n.unmapped <= 2 THEN 'few' ELSE 'many' END AS exceptions
-FROM r JOIN l ON l.day = r.day AND i = 1 LEFT JOIN n ON n.day = r.day"""))
+FROM r JOIN l ON l.day = r.day AND i = 1 LEFT JOIN n ON n.day = r.day)"""
+
+
+@query(with_sql("mu sf geo", SLOTS + """
+SELECT * FROM slots"""))
 def daily_brief_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _slots(spark, sf_dir).select("day", "size", "regime", "zone", r6("share").alias("share"), views.where_class(F.col("share")).alias("where_class"), "unmapped", views.exceptions(F.col("unmapped")).alias("exceptions"))
 
@@ -194,7 +199,12 @@ def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(day_text("day").alias("day"), size.alias("size"), views.regime(history.trailing_percentile(F.col("total"), F.col("prior"))).alias("regime"), "zone", "share", F.coalesce("unmapped", F.lit(0)).cast("long").alias("unmapped"))
 
 
-@query()
+@query(with_sql("mu sf geo", SLOTS + """
+, g AS (SELECT *, list_position(['quiet', 'ordinary_minus', 'ordinary', 'ordinary_plus', 'elevated', 'near_top', 'record'], size) AS rung FROM slots),
+ b AS (SELECT *, abs(rung - lag(rung) OVER (ORDER BY day)) AS gap FROM g)
+SELECT day, day || ': ' || CASE WHEN size = 'record' THEN 'Heaviest congestion on record' WHEN size IN ('near_top', 'elevated') THEN 'Heavy congestion' WHEN size = 'quiet' THEN 'Light congestion' ELSE 'Ordinary congestion' END || ', ' || zone || ' leads with '
+  || CAST(CAST(round(share * 100) AS INTEGER) AS VARCHAR) || '%; ' || CASE unmapped WHEN 0 THEN 'no unmapped constraints' WHEN 1 THEN 'one unmapped constraint' ELSE CAST(unmapped AS VARCHAR) || ' unmapped constraints' END AS headline,
+  CASE gap WHEN 0 THEN 'held' WHEN 1 THEN 'close' ELSE 'missed' END AS verdict FROM b"""))
 def daily_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's headline, and how the day before had it."""
     slots = _slots(spark, sf_dir)
