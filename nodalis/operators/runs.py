@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nodalis.functions import clock
-from nodalis.operators import panels
+from nodalis.operators import metrics, panels
 
 
 def absent_reason(asked: DataFrame, points: DataFrame) -> DataFrame:
@@ -137,6 +137,33 @@ def persistence_share(outages: DataFrame, by: list[str], days: int) -> DataFrame
     return got.withColumn("share", F.col("still") / F.nullif("total", F.lit(0)))
 
 
+def outage_signal(exposure: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(day, n, spearman): how a day's exposures (day, key, exposure) order what bound (day, key, size).
+
+    A key without a size did not bind and counts as zero; days without any spread are left out."""
+    both = exposure.join(sizes, ["day", "key"], "left").withColumn("size", F.coalesce("size", F.lit(0.0)))
+    return metrics.spearman(both, ["day"], "exposure", "size")
+
+
+def weekly_rows(scores: DataFrame, sources: DataFrame, counts: tuple[str, ...], run_id: str) -> DataFrame:
+    """Scores (source, ...) as rows to store: the source's id from ``sources`` (source, source_id), counts as
+    integers, NaN as null. A source without an id is an error, not a lost row."""
+    joined = scores.join(sources.select("source", "source_id"), "source", "left")
+    kept = F.when(F.col("source_id").isNull(), F.raise_error(F.concat(F.lit("no id for source "), F.coalesce("source", F.lit("null"))))).otherwise(F.col("source_id"))
+    fields = [F.nanvl(c, F.lit(None).cast("double")).alias(c) if t in ("double", "float") and c not in counts else F.col(c).cast("long").alias(c) if c in counts else F.col(c) for c, t in scores.dtypes if c != "source"]
+    return joined.select(F.lit(run_id).alias("run_id"), kept.alias("source_id"), *fields)
+
+
+def pending_days(asked: DataFrame, stored: DataFrame, by: list[str]) -> DataFrame:
+    """The asked rows that no stored artifact answers yet."""
+    return asked.join(stored.select(*by).distinct(), by, "left_anti")
+
+
+def newest_days(stored: DataFrame, until: str, count: int) -> DataFrame:
+    """(day): the newest ``count`` days up to ``until``, oldest first."""
+    return stored.where(F.col("day") <= F.to_date(F.lit(until))).select("day").distinct().orderBy(F.desc("day")).limit(count).orderBy("day")
+
+
 def arm_deltas(weekly: DataFrame, arm: str, metric: str, baseline: str) -> DataFrame:
     """(arm, mean, delta): each arm's mean and its distance from the baseline arm's."""
     means = weekly.groupBy(arm).agg(F.avg(metric).alias("mean"))

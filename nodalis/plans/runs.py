@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.operators import runs
+from nodalis.operators import runs, views
 from nodalis.plans.registry import day_text, query, r6, stamp
 from nodalis.sources import market
 from nodalis.sources.market import with_sql
@@ -106,3 +106,31 @@ def arm_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = market.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("arm"), F.col("o_totalprice").cast("double").alias("v"))
     got = runs.arm_deltas(rows, "arm", "v", "3-MEDIUM")
     return got.select("arm", F.round("mean", 4).alias("mean"), (F.round("delta", 4) + 0.0).alias("delta"))
+
+
+@query(with_sql("mu sf", """
+, o AS (SELECT DATE '2024-01-01' + CAST(day(l_shipdate) - 1 AS INTEGER) AS day, 'N' || CAST(l_suppkey % 64 AS VARCHAR) AS sp, sum(CAST(l_quantity AS BIGINT)) AS mw FROM lineitem GROUP BY 1, 2),
+ e AS (SELECT day, key, round(sum(abs(sf) * mw), 4) AS exposure FROM o JOIN sf USING (sp) GROUP BY 1, 2), d AS (SELECT CAST(ts AS DATE) AS day, key, round(sum(abs(mu)), 4) AS size FROM mu GROUP BY 1, 2),
+ j AS (SELECT e.day, exposure, coalesce(size, 0) AS size FROM e LEFT JOIN d ON e.day = d.day AND e.key = d.key),
+ r AS (SELECT day, rank() OVER (PARTITION BY day ORDER BY exposure) + (count(*) OVER (PARTITION BY day, exposure) - 1) / 2.0 AS a, rank() OVER (PARTITION BY day ORDER BY size) + (count(*) OVER (PARTITION BY day, size) - 1) / 2.0 AS b FROM j)
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, round(corr(a, b), 6) AS spearman FROM r GROUP BY day HAVING count(*) >= 10 AND max(a) > min(a) AND max(b) > min(b)"""))
+def outage_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outages stand on the panel's days by their day of the month."""
+    day = F.date_add(F.to_date(F.lit("2024-01-01")), F.dayofmonth("l_shipdate") - 1)
+    outages = market.table(spark, sf_dir, "lineitem").select(day.alias("day"), F.concat(F.lit("N"), (F.col("l_suppkey") % 64).cast("string")).alias("sp"), F.col("l_quantity").alias("mw"))
+    exposed = views.exposure(market.shift_factors(spark, sf_dir), outages).withColumn("exposure", F.round("exposure", 4))
+    sizes = market.shadow_prices(spark, sf_dir).groupBy(F.to_date("ts").alias("day"), "key").agg(F.round(F.sum(F.abs("mu")), 4).alias("size"))
+    return runs.outage_signal(exposed, sizes).select(day_text("day").alias("day"), "n", r6("spearman").alias("spearman"))
+
+
+@query("""
+WITH s AS (SELECT o_orderpriority AS source, sum(CASE WHEN o_orderstatus = 'F' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS won, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS k FROM orders GROUP BY 1)
+SELECT 'weekly' AS run_id, CAST(substr(source, 1, 1) AS BIGINT) AS source_id, CASE WHEN k > 0 AND source <> '5-LOW' THEN round(CAST(won AS DOUBLE) / k, 4) END AS score, n FROM s""")
+def weekly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = market.table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "source")
+    closed = F.col("o_orderstatus") == "F"
+    won, k = F.sum(F.when(closed, F.col("o_totalprice").cast(market.CENTS))).cast("double"), F.count_if(closed)
+    score = F.when((k > 0) & (F.col("source") != "5-LOW"), F.round(won / k, 4)).otherwise(F.lit(float("nan")))
+    scores = orders.groupBy("source").agg(score.alias("score"), F.count(F.lit(1)).cast("double").alias("n"))
+    ids = orders.select("source", F.substring("source", 1, 1).cast("long").alias("source_id")).distinct()
+    return runs.weekly_rows(scores, ids, ("n",), "weekly")

@@ -323,3 +323,30 @@ def test_streaming_merge_is_idempotent(spark, tmp_path):
     again = ingest.merge_into(folder, schema, lambda stored, batch: batch, ["k"])
     again(spark.createDataFrame([(9, 9, "z")], schema), 0)  # a batch that was merged before changes nothing
     assert sorted(map(tuple, ingest.current(spark, folder, schema).collect())) == want
+
+
+def test_stored_rows_have_ids_and_nulls_and_asked_days_are_listed(spark):
+    import datetime
+
+    import pytest
+
+    from nodalis.operators import runs
+
+    scores = spark.createDataFrame([("a", float("nan"), 3.0), ("b", 0.5, 4.0)], "source string, r double, n double")
+    ids = spark.createDataFrame([("a", 1), ("b", 2)], "source string, source_id int")
+    assert sorted(map(tuple, runs.weekly_rows(scores, ids, ("n",), "w").collect())) == [("w", 1, None, 3), ("w", 2, 0.5, 4)]
+    with pytest.raises(Exception, match="no id for source b"):
+        runs.weekly_rows(scores, ids.where("source = 'a'"), ("n",), "w").collect()
+    days = spark.range(5).selectExpr("date_add(date'2024-01-01', cast(id AS int)) AS day")
+    stored = days.where("day < '2024-01-04'")
+    assert [r.day.day for r in runs.pending_days(days, stored.union(stored), ["day"]).orderBy("day").collect()] == [4, 5]
+    assert [r.day for r in runs.newest_days(stored.union(stored), "2024-01-03", 2).collect()] == [datetime.date(2024, 1, 2), datetime.date(2024, 1, 3)]
+
+
+def test_outage_signal_counts_unbound_keys_as_zero_and_skips_flat_days(spark):
+    from nodalis.operators import runs
+
+    exposed = spark.range(20).selectExpr("date_add(date'2024-01-01', cast(id div 10 AS int)) AS day", "string(id % 10) AS key", "double(id) AS exposure")
+    sizes = exposed.where("exposure BETWEEN 5 AND 9").selectExpr("day", "key", "exposure AS size")
+    got = runs.outage_signal(exposed, sizes).collect()
+    assert len(got) == 1 and got[0].n == 10 and 0.8 < got[0].spearman < 1
