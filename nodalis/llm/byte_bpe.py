@@ -259,7 +259,7 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(read_ranks(path))
 
 
-def _portions(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values hold about ``most`` bytes or entries together, or one row."""
     values = batch.column(column)
     sizes = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
@@ -284,7 +284,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vocabulary(ranks_path)
-        for batch in (part for whole in batches for part in _portions(whole, "text", POINTS)):
+        for batch in (part for whole in batches for part in portions(whole, "text", POINTS)):
             packed = held.encode_packed(batch.column("text").to_pylist())
             ids = np.frombuffer(b"".join(packed), "<u4").astype(np.int32)
             stops = np.cumsum([len(x) // 4 for x in packed])
@@ -304,7 +304,7 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", ends_col: str
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vocabulary(ranks_path)
-        for batch in (part for whole in batches for part in _portions(whole, ids_col, POINTS)):
+        for batch in (part for whole in batches for part in portions(whole, ids_col, POINTS)):
             ids, ends = batch.column(ids_col), batch.column(ends_col) if ends_col else [None] * batch.num_rows
             texts = [held.decode(np.asarray(x.values), None if y is None or not y.is_valid else np.asarray(y.values)) if x.is_valid else None for x, y in zip(ids, ends, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "decoded"])
