@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nodalis.llm import alignment, byte_bpe, html_text, mixing, pii, quality, sentencepieces, simhash, syncmers, token_counts, topk, warc
+from nodalis.llm import alignment, byte_bpe, collocations, html_text, mixing, pii, quality, sentencepieces, simhash, syncmers, token_counts, topk, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_pii": pii.op9_pii,
     "op10_quality": quality.op10_quality,
+    "op11_collocations": collocations.op11_collocations,
     "op12_alignment": alignment.op12_alignment,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
@@ -22,4 +23,5 @@ QUERIES = {
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op3_exact_topk": topk.OP3_SQL,
+    "op11_collocations": collocations.OP11_SQL,
 }
