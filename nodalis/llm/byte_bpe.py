@@ -5,8 +5,9 @@ space and apostrophes are told apart further by what follows them. Each such sym
 the state before it to the state after it (the kind of word that is open), and functions compose
 associatively: the few that composition can ever yield are numbered once, so that a block scan of
 table look-ups gives the state at every position, and with it where words begin. No regular
-expression sees the texts. The slices between those places are merged by rank, with a memory of words
-in two generations; token ends are kept as byte offsets, from which decoding gathers all bytes at once.
+expression sees the texts. The slices between those places are merged by rank, new words of like length
+together, with a memory of words in two generations; token ends are kept as byte offsets, from which
+decoding gathers all bytes at once.
 
 The classes come from the engine that the reference library itself splits with, asked once for every
 code point, so that both follow the same version of Unicode. The pattern must be PATTERN.
@@ -51,6 +52,8 @@ BLOCK = 64
 POINTS = 1 << 20  # code points that are scanned together, unless one text is longer
 MEMO_WORDS = 100_000  # words in each of the memory's two generations
 LONG_WORD = 48  # bytes from which merging uses a heap
+FEW_WORDS, BATCH_WORDS = 16, 1 << 13  # new words of like length that are merged one by one, or together
+NEVER = np.int32(np.iinfo(np.int32).max)
 
 
 def transitions() -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +77,8 @@ class Scanner:
 
     def __init__(self, classes: np.ndarray):
         self.classes = classes
-        after, self.begins = transitions()
+        after, begins = transitions()
+        self.begins = begins.ravel()
         known = {tuple(range(8)): 0}
         makers = [tuple(int(s) for s in after[:, symbol]) for symbol in range(SYMBOLS)]
         for f in makers:
@@ -85,25 +89,26 @@ class Scanner:
                 if (h := tuple(g[s] for s in f)) not in known:
                     known[h] = len(known)
                     queue.append(h)
-        self.size = len(known)
+        self.size = np.uint16(len(known))
         self.functions = np.array(list(known), np.uint8)
-        self.of_symbol = np.array([known[f] for f in makers], np.uint16)
-        self.composed = np.array([[known[tuple(g[s] for s in f)] for g in known] for f in known], np.uint16).ravel()
+        self.states = np.ascontiguousarray(self.functions[:, FRESH])
+        self.of_symbol = np.array([known[f] for f in makers], np.uint8)
+        self.composed = np.array([[known[tuple(g[s] for s in f)] for g in known] for f in known], np.uint8).ravel()
 
     def compose(self, first: np.ndarray, then: np.ndarray) -> np.ndarray:
-        return self.composed[first.astype(np.int32) * self.size + then]
+        return self.composed[first * self.size + then]
 
     def scan(self, functions: np.ndarray) -> np.ndarray:
         """The composition of all functions up to each place: inside blocks, over blocks, then together."""
         n = len(functions)
         rows = -(-n // BLOCK)
-        padded = np.zeros(rows * BLOCK, np.uint16)
+        padded = np.zeros(rows * BLOCK, np.uint8)
         padded[:n] = functions
         steps = np.ascontiguousarray(padded.reshape(rows, BLOCK).T)
         for i in range(1, BLOCK):
             steps[i] = self.compose(steps[i - 1], steps[i])
         if rows > 1:
-            before = np.concatenate([np.zeros(1, np.uint16), self.scan(steps[-1])[:-1]])
+            before = np.concatenate([np.zeros(1, np.uint8), self.scan(steps[-1])[:-1]])
             steps = self.compose(np.broadcast_to(before, steps.shape), steps)
         return np.ascontiguousarray(steps.T).ravel()[:n]
 
@@ -122,19 +127,25 @@ class Scanner:
                 found[marks[(one == ord(a)) & (two == ord(b))]] = TWO
         return found
 
-    def words(self, texts: list[str]) -> list[list[str]]:
-        """The words of every text."""
+    def words(self, texts: list[str]) -> list[list[bytes]]:
+        """The words of every text as UTF-8."""
         if not texts:
             return []
         joined = chr(BREAK).join(texts) + chr(BREAK)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
         symbols = self.symbols(points)
-        states = self.functions[self.scan(self.of_symbol[symbols]), FRESH]
+        states = self.states[self.scan(self.of_symbol[symbols])]
         before = np.concatenate([np.zeros(1, np.uint8), states[:-1]])
-        starts = np.flatnonzero(self.begins[before, symbols])
+        starts = np.flatnonzero(self.begins[before * np.uint8(SYMBOLS) + symbols])
         ends = np.flatnonzero(points[starts] == BREAK)  # a break is a slice of its own
-        places = starts.tolist()
-        slices = list(map(joined.__getitem__, map(slice, places, places[1:])))
+        packed = joined.encode("utf-8", "surrogatepass")
+        if len(packed) > len(points):  # from code points to bytes
+            sizes = np.ones(len(points), np.uint8)
+            for first in (0x80, 0x800, 0x10000):
+                sizes += points >= first
+            starts = (np.cumsum(sizes, dtype=np.int64) - sizes)[starts]
+        places = [*starts.tolist(), len(packed)]
+        slices = list(map(packed.__getitem__, map(slice, places, places[1:])))
         return [slices[a:b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
 
 
@@ -173,8 +184,55 @@ class ByteBpe:
         self.lengths = np.array([len(t or b"") for t in by_id], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(t or b"" for t in by_id), np.uint8)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pair_tables()
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def pair_tables(self) -> None:
+        """All pairs of ids that make a token: sorted keys with the token's id, and a table for single bytes."""
+        ranks, size = self.ranks, len(self.lengths) + 1
+        found = [(a * size + b, rank) for token, rank in ranks.items() for i in range(1, len(token)) if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None]
+        keys, made = (np.array(x, np.int64) for x in zip(*sorted(found), strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.keys, self.made = np.append(keys, np.int64(size) * size), np.append(made, NEVER).astype(np.int32)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)] + [size - 1], np.int32)  # the last: behind a word's end
+        codes = self.of_byte.astype(np.int64)
+        self.byte_pairs = self.joined(codes[:, None], codes[None, :])
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ids that pairs of ids make together; NEVER where they make none."""
+        wanted = left.astype(np.int64) * (len(self.lengths) + 1) + right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[at] == wanted, self.made[at], NEVER)
+
+    def merge_batch(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of short words, all merged together: every round joins each word's best pair."""
+        width = max(map(len, words)) + 1
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.full((len(words), width), 256, np.int16)
+        letters[np.arange(width) < sizes[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        ids, pairs = self.of_byte[letters], self.byte_pairs[letters[:, :-1], letters[:, 1:]]
+        live = np.arange(len(words))
+        while True:
+            at = pairs[live].argmin(axis=1)
+            best = pairs[live, at]
+            open_ = best < NEVER
+            live, at, best = live[open_], at[open_], best[open_]
+            if not len(live):
+                break
+            places = np.arange(width - 1)
+            ids[live[:, None], places] = np.take_along_axis(ids[live], places + (places > at[:, None]), axis=1)
+            ids[live, at] = best
+            ids[live, -1] = self.of_byte[256]
+            places = places[:-1]
+            pairs[live[:, None], places] = np.take_along_axis(pairs[live], places + (places > at[:, None]), axis=1)
+            pairs[live, -1] = NEVER
+            pairs[live, at] = self.joined(best, ids[live, at + 1])
+            inner = at > 0
+            live_in, at_in = live[inner], at[inner]
+            pairs[live_in, at_in - 1] = self.joined(ids[live_in, at_in - 1], best[inner])
+            sizes[live] -= 1
+        rows, step = ids.astype("<u4").tobytes(), 4 * width
+        return [rows[i * step : i * step + 4 * n] for i, n in enumerate(sizes.tolist())]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of a word: neighbours with the lowest rank, leftmost first, are merged until none is known."""
@@ -220,13 +278,25 @@ class ByteBpe:
             at = after[at]
         return out
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         """Merge words that are not in memory; words of the older generation come back when asked for."""
         if len(self.memo) + len(words) > MEMO_WORDS and self.memo:
             self.memo, self.older = {}, self.memo
+        groups: dict[int, list[bytes]] = {}
         for word in words.difference(self.memo):
-            known = self.older.get(word)
-            self.memo[word] = np.array(self.merge(word.encode()), "<u4").tobytes() if known is None else known
+            if (known := self.older.get(word)) is not None:
+                self.memo[word] = known
+            elif len(word) < LONG_WORD:
+                groups.setdefault(len(word) >> 2, []).append(word)
+            else:
+                self.memo[word] = np.array(self.merge(word), "<u4").tobytes()
+        for group in groups.values():
+            if len(group) < FEW_WORDS:
+                self.memo.update((w, np.array(self.merge(w), "<u4").tobytes()) for w in group)
+                continue
+            for i in range(0, len(group), BATCH_WORDS):
+                part = group[i : i + BATCH_WORDS]
+                self.memo.update(zip(part, self.merge_batch(part), strict=True))
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as little-endian unsigned 32-bit numbers."""

@@ -52,6 +52,7 @@ def test_heap_equals_plain_merging(monkeypatch):
     draw, held = random.Random(6), bb.vocabulary(PATH)
     words = [bytes(draw.choice(b"aeinst \xc3\xa9") for _ in range(draw.randint(2, 47))) for _ in range(2000)]
     assert [held.merge(w) for w in words] == [held.merge_long(w) for w in words]
+    assert [np.frombuffer(x, "<u4").tolist() for x in held.merge_batch(words)] == [held.merge(w) for w in words]
 
 
 def test_rows(spark):
