@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from nodalis.operators import boards, graphs, history, metrics, models, panels, places, projection, writes
+from nodalis.operators import boards, graphs, history, linkage, metrics, models, panels, places, projection, writes
 from nodalis.sources import files
 from nodalis.streaming import ingest
 
@@ -143,7 +143,7 @@ def test_heads_learn_the_planted_rule(spark):
                 net = draw.random()
                 rows.append((f"2026-01-{1 + d % 28:02d}", k, float(k == "A"), net if draw.random() > 0.05 else None, int(net > threshold), max(0.0, net - threshold) * 500))
     panel = spark.createDataFrame(rows, "day string, key string, is_a double, net double, y_bind int, y_mu double")
-    got = models.walk_forward(panel, [("2026-01-01", "2026-01-20", "2026-01-27")], ["is_a", "net"], iterations=5, depth=3).toPandas()
+    got = models.walk_forward(panel, [("2026-01-01", "2026-01-20", "2026-01-27")], ["is_a", "net"], rounds=6, rate=0.3, min_leaf=20).toPandas()
     assert set(got["key"]) == {"A"}  # B never bound in training
     known = got.dropna(subset=["net"])
     assert ((known.p_bind > 0.5) == (known.y_bind == 1)).mean() > 0.95
@@ -225,7 +225,7 @@ def test_linkage_against_brute_force():
                 if far > 0.5:
                     break
                 clusters[i] += clusters.pop(j)
-            assert models.complete_linkage(d, 0.5) == sorted(sorted(c) for c in clusters)
+            assert linkage.dense(d, 0.5) == sorted(sorted(c) for c in clusters)
 
 
 def test_as_of_over_stretches(spark):
