@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from nodalis.llm.common import table
 
 SAMPLE_PAGES = 200
-LAYOUT_PAGES = 400
+LAYOUT_PAGES = 700
 SEED = 42
 OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)|<!--|<[!?/]")
 QUOTED_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
@@ -257,9 +257,19 @@ def path_features(node: Node | None, signal: bool = True) -> list[str]:
     return [f for n in chain(node) for f in n.fresh] + last_features(node, signal)
 
 
+def kind_of(block: Block) -> str:
+    """What a block's text looks like: links, a few words, sentences or other words."""
+    if 2 * block.linked > len(block.text):
+        return "links"
+    return "short" if block.text.count(" ") < 4 else "prose" if block.text[-1] in ".!?…:”\"'" else "words"
+
+
 def text_features(block: Block, place: int, count: int) -> list[str]:
     text, words = block.text, block.text.count(" ") + 1
+    prose = kind_of(block)
     return [
+        f"holds:{block.node.outer if block.node else ''}:{prose}",
+        f"denied:{bool(block.node and block.node.denied)}:{prose}",
         f"words:{min(words.bit_length(), 8)}",
         f"links:{min(3, 4 * block.linked // max(1, len(text)))}",
         f"ends:{text[-1] in '.!?…:' and words > 3}",
@@ -282,11 +292,16 @@ def marked(node: Node | None) -> bool:
 SEMANTIC = {"article": "post content entry", "main": "main content", "nav": "nav menu", "aside": "sidebar widget", "footer": "footer", "header": "header masthead", "form": "form"}
 
 
-def hidden(node: Node | None, names: bool) -> Node | None:
-    """A path without semantic tags and names, or with the tags as names."""
+def hidden(node: Node | None, names: bool, tags: bool = False, paragraph: str = "p") -> Node | None:
+    """A path without semantic tags and names, or with the tags as names, or (``tags``) as it is; and with
+    another tag for paragraphs."""
     stack = Stack()
     for n in chain(node):
-        stack.push("div" if n.tag in SEMANTIC else n.tag, tuple(SEMANTIC.get(n.tag, "").split()) + n.names if names else ())
+        tag = paragraph if n.tag == "p" else n.tag
+        if tags:
+            stack.push(tag, n.names)
+        else:
+            stack.push("div" if n.tag in SEMANTIC else tag, tuple(SEMANTIC.get(n.tag, "").split()) + n.names if names else ())
     return stack.top()
 
 
@@ -306,51 +321,69 @@ def layout(draw: random.Random, prose: list[str]) -> list[tuple[str, bool]]:
         return "".join(f'<li><a href="#">{words(1, 3)}</a></li>' for _ in range(n))
 
     def holder(tag: str, names: str, inner: list[str], label: bool) -> list[tuple[str, bool]]:
-        plain = draw.random()
+        plain = draw.random() if tag != "div" or label else draw.uniform(0.35, 0.93)  # a bare div tells of no other part
         kind = draw.choice(["class", "id"])
         head = f"<{tag}>" if plain < 0.35 else f'<div {kind}="{draw.choice(names.split())}">' if plain < 0.8 else f'<{tag} {kind}="{names}">' if plain < 0.93 else "<div>"
         ends = "</div>" if head.startswith("<div") else f"</{tag}>"
         return [(head + inner[0], label), *((x, label) for x in inner[1:]), (ends, label)]
 
+    def said_in(style: str, text: str) -> str:
+        """A paragraph of a page whose paragraphs are elements of one kind, or are parted by breaks."""
+        plain = {"br": f"{text}<br>", "brbr": f"{text}<br/><br/>", "span": f"<div><span>{text}</span></div>", "named": f'<div class="{draw.choice(["text", "para", "block", "c1", "row"])}">{text}</div>', "nested": f"<div><div>{text}</div></div>"}
+        return plain.get(style) or f"<{style}>{text}</{style}>"
+
+    def bit(text: str) -> str:
+        """A line of another part, in any of the elements that articles use too."""
+        return said_in(draw.choice(["p", "p", "p", "div", "div", "br", "span", "nested", "section"]), text)
+
+    style = draw.choice(["p"] * 6 + ["div"] * 3 + ["br", "brbr", "span", "named", "nested", "section"])
+    mixed = draw.random() < 0.25
     body = [f"<h{draw.choice('112')}>{words(3, 9)}</h1>"] if draw.random() < 0.8 else []
     for _ in range(draw.randint(1, 12)):
-        body.append(draw.choice([f"<p>{sentences()}</p>"] * 6 + [f"<h2>{words(2, 6)}</h2>", f"<blockquote><p>{sentences()}</p></blockquote>", f"<ul><li>{sentences()}</li><li>{words(3, 9)}</li></ul>", f"<p>{words(1, 5)}</p>", f"<pre>{words(3, 9)}</pre>", f"<p>{words(4, 9)} <a href='#'>{words(1, 3)}</a> {sentences()}</p>"]))
-    comment = [f'<div class="{draw.choice(["comment", "comment-body", "reply", "d-flex", "item"])}"><p>{words(1, 2)}</p><p>{sentences()}</p></div>' for _ in range(draw.randint(1, 5))]
-    said = [f"<li><cite>{words(1, 2)}</cite><p>{sentences()}</p></li>" for _ in range(draw.randint(1, 5))]
+        of = draw.choice(["p", "div", "br", "named"]) if mixed else style
+        items = [sentences() if draw.random() < 0.5 else words(3, 9) for _ in range(draw.randint(2, 5))]
+        listed = draw.choice(["ul", "ol"])
+        body.append(draw.choice([said_in(of, sentences())] * 8 + [
+            f"<h2>{words(2, 6)}</h2>", f"<blockquote>{said_in(of, sentences())}</blockquote>", f"<{listed}>{''.join(f'<li>{x}</li>' for x in items)}</{listed}>",
+            f"<dl>{''.join(f'<dt>{words(1, 4)}</dt><dd>{x}</dd>' for x in items)}</dl>", f"<table>{''.join(f'<tr><td>{words(1, 4)}</td><td>{x}</td></tr>' for x in items)}</table>",
+            said_in(of, words(1, 5)), f"<pre>{words(3, 9)}</pre>", said_in(of, f"{words(4, 9)} <a href='#'>{words(1, 3)}</a> {sentences()}")]))
+    comment = [f'<div class="{draw.choice(["comment", "comment-body", "reply", "d-flex", "item"])}">{bit(words(1, 2))}{bit(sentences())}</div>' for _ in range(draw.randint(1, 5))]
+    said = [f"<li><cite>{words(1, 2)}</cite>{bit(sentences())}</li>" for _ in range(draw.randint(1, 5))]
     before = [
-        holder("header", "header masthead top", [f"<div>{words(1, 3)}</div><p>{words(2, 6)}</p>"], False),
+        holder("header", "header masthead top", [f"<div>{words(1, 3)}</div>{bit(words(2, 6))}"], False),
         holder("nav", "nav menu navbar", [f"<ul>{links(draw.randint(3, 9))}</ul>"], False),
         holder("div", "breadcrumb crumbs", [f"<a href='#'>{words(1, 2)}</a> | <a href='#'>{words(1, 2)}</a>"], False),
-        holder("div", "cookie notice consent", [f"<p>{sentences()}</p><button>{words(1, 2)}</button>"], False),
+        holder("div", "cookie notice consent", [f"{bit(sentences())}<button>{words(1, 2)}</button>"], False),
         holder("div", "ad advert banner sponsored", [f"{sentences()}"], False),
     ]
     after = [
         holder("aside", "sidebar widget related", [f"<h3>{words(1, 3)}</h3><ul>{links(draw.randint(2, 7))}</ul>"], False),
-        holder("form", "newsletter form signup search", [f"<p>{words(3, 9)}</p><label>{words(1, 2)}</label><input><button>{words(1, 2)}</button>"], False),
+        holder("form", "newsletter form signup search", [f"{bit(words(3, 9))}<label>{words(1, 2)}</label><input><button>{words(1, 2)}</button>"], False),
         holder("ol", "commentlist comments thread discussion", said, False),
-        holder("div", "respond reply comment-respond", [f"<h3>{words(1, 3)}</h3><p>{words(3, 9)}</p>"], False),
+        holder("div", "respond reply comment-respond", [f"<h3>{words(1, 3)}</h3>{bit(words(3, 9))}"], False),
         holder("div", "adsbygoogle ad-slot adbox advertisement sponsored-content", [sentences()], False),
-        holder("footer", "colophon site-footer foot footer-bottom", [f"<p>&copy; 20{draw.randint(10, 25)} {words(1, 4)}</p><p>{words(2, 8)}</p>"], False),
+        holder("footer", "colophon site-footer foot footer-bottom", [f"<p>&copy; 20{draw.randint(10, 25)} {words(1, 4)}</p>{bit(words(2, 8))}"], False),
         [(f"<center>&copy; 20{draw.randint(10, 25)} {words(1, 4)} | {words(1, 3)}</center>", False)],
         [(f"<center><font size='1'><a href='#'>{words(1, 2)}</a> | <a href='#'>{words(1, 2)}</a> | {words(1, 3)}</font></center>", False)],
         holder("section", "comments comment-area discussion responses", comment, False),
-        holder("section", "comments comment responses replies", [f"<p>{sentences()}</p>"] if draw.random() < 0.3 else [f"<h3>{words(1, 3)}</h3>"] + [f'<div class="comment"><p>{words(1, 2)}</p><p>{sentences()}</p></div>' for _ in range(draw.randint(1, 5))], False),
-        holder("div", "ad advert promo", [f"<p>{sentences()}</p>"], False),
+        holder("section", "comments comment responses replies", [f"{bit(sentences())}"] if draw.random() < 0.3 else [f"<h3>{words(1, 3)}</h3>"] + [f'<div class="comment">{bit(words(1, 2))}{bit(sentences())}</div>' for _ in range(draw.randint(1, 5))], False),
+        holder("div", "ad advert promo", [f"{bit(sentences())}"], False),
         holder("div", "share social", [f"<a href='#'>{words(1, 1)}</a> <a href='#'>{words(1, 1)}</a>"], False),
         holder("footer", "footer bottom copyright", [f"<p>&copy; {words(1, 4)} &middot; {words(2, 8)}.</p>"], False),
     ]
-    page = [x for part in before if draw.random() < 0.6 for x in part] if draw.random() < 0.8 else []
-    middle = holder(draw.choice(["article", "article", "main"]), "article post content entry main story", body, True) if draw.random() < 0.85 else [(x, True) for x in body]
+    alone = draw.random() < 0.25  # a page of its article only
+    page = [x for part in before if draw.random() < 0.6 for x in part] if not alone and draw.random() < 0.8 else []
+    middle = holder(draw.choice(["article", "article", "main", "div", "section"]), "article post content entry main story", body, True) if draw.random() < 0.75 else [(x, True) for x in body]
     for _ in range(draw.choice([0, 0, 1, 2])):
         at = draw.randint(1, len(middle) - 1) if len(middle) > 1 else 0
         middle[at:at] = draw.choice([
-            holder("div", "ad advert sponsored notice promo", [f"<p>{sentences()}</p>" if draw.random() < 0.5 else sentences()], False),
-            holder("aside", "note pullout sidebar", [f"<p>{sentences()}</p>"], False),
+            holder("div", "ad advert sponsored notice promo", [bit(sentences()) if draw.random() < 0.5 else sentences()], False),
+            holder("aside", "note pullout sidebar", [bit(sentences())], False),
             holder("div", "adsbygoogle ad-unit advert", [sentences()], False),
             holder("aside", "related sidebar", [f"<h3>{words(1, 3)}</h3><ul>{links(draw.randint(1, 4))}</ul>"], False),
-            holder("form", "newsletter signup subscribe", [f"<p>{words(3, 9)}</p><button>{words(1, 2)}</button>"], False),
+            holder("form", "newsletter signup subscribe", [f"{bit(words(3, 9))}<button>{words(1, 2)}</button>"], False),
         ])
-    behind = [x for part in draw.sample(after, len(after)) if draw.random() < 0.35 for x in part] if draw.random() < 0.7 else []
+    behind = [x for part in draw.sample(after, len(after)) if draw.random() < 0.35 for x in part] if not alone and draw.random() < 0.7 else []
     if draw.random() < 0.2:  # columns of a table
         page, middle, behind = [("<table><tr><td>", False), *page, ("</td>", False), ("<td>", True)], [*middle, ("</td>", True)], [("<td>", False), *behind, ("</td></tr></table>", False)]
     elif draw.random() < 0.25:  # parts inside the element that holds the article
@@ -369,9 +402,11 @@ def labelled(pages: list[str], layouts: int = LAYOUT_PAGES, seed: int = SEED) ->
         if not page or not any(labels):
             continue
         out.append((features(page, draw.random() < 0.5), labels))
-        for names in (False, True):
-            unmarked = [Block(b.parts, hidden(b.node, names), b.linked, b.text) for b in page]
-            out.append((features(unmarked, draw.random() < 0.5), labels))
+        for view in ({"names": False}, {"names": False, "paragraph": "div"}, {"names": True}, {"names": True, "tags": True, "paragraph": "div"}, {"names": True, "paragraph": "div"}):
+            # without names nothing would tell an advert's or footer's sentence from the article's
+            told_apart = [(b, y) for b, y in zip(page, labels, strict=True) if view["names"] or y or not (b.node and b.node.denied) or kind_of(b) in ("links", "short")]
+            unmarked = [Block(b.parts, hidden(b.node, **view), b.linked, b.text) for b, _ in told_apart]
+            out.append((features(unmarked, draw.random() < 0.5), [y for _, y in told_apart]))
     for _ in range(layouts):
         parts = layout(draw, prose or ["some words that stand for the prose of a page, one after another"])
         html = "".join(f"{x}\x00{int(label)}\x01" for x, label in parts)

@@ -3,6 +3,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from nodalis.llm import html_text
@@ -15,6 +16,13 @@ def model():
     return html_text.Field.fit(html_text.labelled([], layouts=400))
 
 
+@pytest.fixture(scope="module")
+def sampled():
+    """As the query trains it, on given pages and laid-out ones."""
+    pages = [x for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist() if x]
+    return html_text.Field.fit(html_text.labelled(pages[: html_text.SAMPLE_PAGES]))
+
+
 def test_blocks():
     html = "<html><head><title>T</title><style>p{}</style></head><body><p class='Lead x'>a &amp; b<br>c<p>d &lt;e&gt; &am<!-- no --> f<script>var t='</p>';</script> g</p><ul><li>one<li><a href=\"#>\">two</a></ul> tail &quo"
     found = html_text.blocks(html)
@@ -136,6 +144,28 @@ def test_other_parts_are_left_out(model, other, inside):
     assert model.extract(f"<body><main>{page}</main>{'' if inside else other}</body>") == f"{A} {B} {C}"
 
 
+SHAPES = [
+    f"<article><div>{A}</div><div>{B}</div></article>", f"<main><div>{A}</div><div>{B}</div></main>", f"<div class='post'><div>{A}</div><div>{B}</div></div>", f"<div class='article-body'><div>{A}</div><div>{B}</div></div>",
+    f"<div>{A}</div><div>{B}</div>", f"<div class='story'>{A}<br>{B}</div>", f"<article><ol><li>{A}</li><li>{B}</li></ol></article>", f"<article><p>{A}</p><div>{B}</div></article>",
+    f"<article><dl><dt>Bridge</dt><dd>{A}</dd></dl>{B}</article>", f"<article><table><tr><td>{A}</td><td>{B}</td></tr></table></article>", f"<div id='main-content'><span>{A}</span><br/><br/><span>{B}</span></div>", f"<section><div><div>{A}</div></div><div><div>{B}</div></div></section>",
+]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("around", ["<body>{}</body>", "<html><body><nav><ul><li><a href='#'>Home</a></li><li><a href='#'>Latest</a></li></ul></nav>{}<footer><p>&copy; 2020 Town Media. All rights reserved.</p></footer></body></html>"])
+@pytest.mark.parametrize("sample", [False, True])
+def test_articles_in_other_elements_than_paragraphs(model, sampled, shape, around, sample):
+    got = (sampled if sample else model).extract(around.format(shape))
+    assert A in got and B in got
+    assert "Latest" not in got and "Town Media" not in got
+
+
+def test_sample_pages_equal_their_markup(sampled):
+    pages = [x for x in pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist() if x]
+    for html in pages:
+        assert sampled.extract(html) == " ".join(b.text for b in html_text.blocks(html) if html_text.marked(b.node))
+
+
 def test_hostile_pages_are_linear(model):
     big = 1 << 19
     for unit in ("<a ", "<div>x", "<span><h1>x</h1>", "<p><span>y", "</p>x", "<a \">", "<a '>' ", "</script ", "<script></script", "<svg><b>x", "<!--", "<x-y z='", "<li>x<span>", "<table><tr><td>x", "<div class='a b comment'>x"):
