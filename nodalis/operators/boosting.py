@@ -27,6 +27,7 @@ from nodalis.operators.graphs import cut
 
 HOLE, WIDTH = 255, 256  # the bin of holes, bins of a feature
 BLOCK_ROWS = 1 << 16
+PARTITION_ROWS = 1 << 18  # rows up to which the blocks are one partition
 CUT_EVERY = 16
 LEAST_HESSIAN = 1e-3
 _SPLITS = "leaf int, feature int, bin int, left boolean, gain double, gl double, hl double, nl double, gr double, hr double, nr double"
@@ -169,15 +170,13 @@ def _scored(blocks: DataFrame, tree: tuple[np.ndarray, ...], n_features: int) ->
     return blocks.mapInArrow(add, blocks.schema)
 
 
-def _best_splits(blocks: DataFrame, tree: tuple[np.ndarray, ...], wanted: list[int], n_features: int, settings: Settings) -> dict[int, Split]:
-    """The best split of each wanted leaf, in one pass over the blocks."""
+def _best_splits(blocks: DataFrame, tree: tuple[np.ndarray, ...], wanted: list[int], n_features: int, settings: Settings, single: bool) -> dict[int, Split]:
+    """The best split of each wanted leaf, in one pass over the blocks; ``single``: they lie in one partition."""
     slot = np.full(len(tree[0]), -1)
     slot[wanted] = np.arange(len(wanted))
     shape = (len(wanted), n_features, 3, WIDTH)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
         sums = None
         for bins, y, score in _opened(batches, n_features):
             sums = np.zeros(shape) if sums is None else sums
@@ -188,26 +187,41 @@ def _best_splits(blocks: DataFrame, tree: tuple[np.ndarray, ...], wanted: list[i
                 place, size = at[mine] * WIDTH + bins[f, mine], len(wanted) * WIDTH
                 for i, weights in enumerate((g, h, None)):
                     sums[:, f, i] += np.bincount(place, weights, size).reshape(-1, WIDTH)
-        if sums is not None:
+        return sums
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        if (sums := sums_of(batches)) is not None:
             leaf, feature = np.divmod(np.arange(len(wanted) * n_features), n_features)
             arrays = [leaf.astype(np.int32), feature.astype(np.int32), np.full(len(leaf), TaskContext.get().partitionId(), np.int32)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array([sums[i, f].tobytes() for i, f in zip(leaf, feature, strict=True)], pa.binary())], ["leaf", "feature", "part", "sums"])
 
+    def rows_of(found: list[tuple[int, int, tuple]]) -> pa.RecordBatch:
+        rows = [(leaf, feature, *x[:3], *map(float, x[3]), *map(float, x[4])) for leaf, feature, x in found]
+        names = ["leaf", "feature", "bin", "left", "gain", "gl", "hl", "nl", "gr", "hr", "nr"]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), *[pa.float64()] * 7]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
     def split(key: tuple, parts: pa.Table) -> pa.Table:
         order = np.argsort(parts.column("part").to_numpy())
         packed = parts.column("sums").to_pylist()
         total = np.zeros((3, WIDTH))
         for i in order:  # in one order, so that runs agree
             total += np.frombuffer(packed[i]).reshape(3, WIDTH)
-        found = best_split(total, settings)
-        rows = [] if found is None else [(key[0].as_py(), key[1].as_py(), *found[:3], *map(float, found[3]), *map(float, found[4]))]
-        names = ["leaf", "feature", "bin", "left", "gain", "gl", "hl", "nl", "gr", "hr", "nr"]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), *[pa.float64()] * 7]
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+        best = best_split(total, settings)
+        return pa.Table.from_batches([rows_of([(key[0].as_py(), key[1].as_py(), best)] if best else [])])
+
+    def at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (sums := sums_of(batches)) is not None:
+            yield rows_of([(i, f, best) for i in range(len(wanted)) for f in range(n_features) if (best := best_split(sums[i, f], settings))])
 
-    found = blocks.mapInArrow(summed, "leaf int, feature int, part int, sums binary").groupBy("leaf", "feature").applyInArrow(split, _SPLITS).collect()
+    if single:
+        found = blocks.mapInArrow(at_once, _SPLITS).collect()
+    else:
+        found = blocks.mapInArrow(summed, "leaf int, feature int, part int, sums binary").groupBy("leaf", "feature").applyInArrow(split, _SPLITS).collect()
     best: dict[int, Split] = {}
-    for r in sorted(found, key=lambda r: (-r.gain, r.feature)):  # a row for each wanted leaf and feature at most
+    for r in sorted(found, key=lambda r: (-r.gain, r.feature)):  # a row for each wanted leaf and feature
         value = lambda g, h: -settings.rate * g / (h + settings.l2)
         best.setdefault(wanted[r.leaf], Split(r.feature, r.bin, r.left, r.gain, value(r.gl, r.hl), value(r.gr, r.hr)))
     return best
@@ -268,25 +282,31 @@ class Model:
 def fit(rows: DataFrame, features: list[str], label: str, settings: Settings) -> Model:
     """A model of ``label``. No rows give a score of 0, rows of one label its own (clipped) score."""
     rows = rows.where(F.col(label).isNotNull())
-    mean = rows.agg(F.avg(F.col(label).cast("double")).alias("mean")).head()["mean"]
+    mean, n = rows.agg(F.avg(F.col(label).cast("double")), F.count(F.lit(1))).head()
     if mean is None:
         return Model(features, [np.zeros(0)] * len(features), 0.0, [], settings.loss)
     clipped = min(max(mean, 1e-12), 1 - 1e-12)
     start = float(np.log(clipped / (1 - clipped))) if settings.loss == "log" else mean
     edges = edges_of(rows, features)
-    blocks, trees = cut(blocks_of(rows, features, label, edges, start)), []
-    held = None
+    single = n <= PARTITION_ROWS
+    blocks = blocks_of(rows, features, label, edges, start)
+    blocks = cut(blocks.coalesce(1) if single else blocks)
+    trees: list[tuple[np.ndarray, ...]] = []
+    kept: list[DataFrame] = []  # persisted blocks, the newest last
     for i in range(settings.rounds):
-        tree = grow(lambda trial, leaves: _best_splits(blocks, trial.arrays(), leaves, len(features), settings), settings)
+        tree = grow(lambda trial, leaves: _best_splits(blocks, trial.arrays(), leaves, len(features), settings, single), settings)
+        for old in kept[:-1]:  # what they led to has been read by now
+            old.unpersist()
+        kept = kept[-1:]
         if len(tree.feature) == 1:
             break  # no split gains anything, nor will one later
         trees.append(tree.arrays())
-        scored = _scored(blocks, trees[-1], len(features))
-        scored = cut(scored) if (i + 1) % CUT_EVERY == 0 else scored.persist()
-        if held is not None:
-            scored.count()
-            held.unpersist()
-        blocks, held = scored, None if (i + 1) % CUT_EVERY == 0 else scored
-    if held is not None:
-        held.unpersist()
+        blocks = _scored(blocks, trees[-1], len(features))
+        if (i + 1) % CUT_EVERY == 0:
+            blocks = cut(blocks)
+        else:
+            blocks = blocks.persist()
+            kept.append(blocks)
+    for old in kept:
+        old.unpersist()
     return Model(features, edges, start, trees, settings.loss)

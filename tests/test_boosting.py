@@ -77,7 +77,9 @@ def plain_fit(x, y, edges, s):
 
 
 @pytest.mark.parametrize(("loss", "parts"), [("log", 1), ("log", 3), ("squares", 3)])
-def test_equals_a_plain_booster(spark, loss, parts):
+def test_equals_a_plain_booster(spark, loss, parts, monkeypatch):
+    if parts > 1:
+        monkeypatch.setattr(boosting, "PARTITION_ROWS", 1)
     x, y = table()
     y = y if loss == "log" else y * 3 + np.nan_to_num(x[0])
     s = boosting.Settings(loss, rounds=4, rate=0.3, leaves=6, min_leaf=40)
@@ -141,7 +143,7 @@ def test_best_first_equals_one_split_at_a_time():
 def test_planted_rule_with_holes_and_scores(spark):
     x, y = table(2500, 7)
     rows = frame(spark, x, y).withColumn("y_bind", F.col("y").cast("int")).withColumn("y_mu", F.when(F.col("y") > 0, F.exp(3 + F.coalesce(F.nanvl("a", F.lit(None)), F.lit(2.0)))))
-    scored = models.mu_head(rows, models.bind_head(rows, rows, FEATURES, rounds=15, rate=0.2), FEATURES, rounds=15, rate=0.3)
+    scored = models.mu_head(rows, models.bind_head(rows, rows, FEATURES, rounds=12, rate=0.25), FEATURES, rounds=12, rate=0.3)
     means = {r.rule: r for r in scored.groupBy(F.when(F.col("a").isNull() | F.isnan("a"), "hole").when(F.col("a") > 0.3, "high").otherwise("low").alias("rule")).agg(F.avg("p_bind").alias("p"), F.avg("y").alias("y"), F.expr("percentile(mu_gbm, 0.5)").alias("mu")).collect()}
     for r in means.values():
         assert abs(r.p - r.y) < 0.05
