@@ -5,10 +5,9 @@ end to index; the intersection of the two key sets, sorted, cuts both id lists i
 slice is expanded into its links. A link is a pair of token occurrences of one group; a pair of ids
 counts as many documents as hold it linked.
 
-A space after a character that is not white space begins a word in both tokenizers, so texts of plain
-characters are aligned unit by unit between such spaces, and records of units are kept; any other text,
-and any other kind of tokenizer, is aligned whole. A group is expanded by its distinct ids and how
-often they occur, so one long group never costs the product of its lengths.
+The texts of a portion are aligned as one, so that they share one pair of dictionaries; where a text's
+joined bytes differ from its own, it takes no part. A group is expanded by its distinct ids and how often
+they occur once it has many links, so one long group never costs the product of its lengths.
 
 Counting needs every document twice, before and after the counts are known. Tasks cut their documents
 into chunks of bounded size and write, beside each document's links as places in its chunk's list of
@@ -23,32 +22,43 @@ their names, are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import cache
+from itertools import chain, count
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
+import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nodalis.llm import sentencepieces
-from nodalis.llm.byte_bpe import portions
+from nodalis.llm.byte_bpe import PATTERN, portions
 from nodalis.llm.common import staged, table, text_or_empty
+from nodalis.llm.sentencepieces import SPACE
 from nodalis.llm.token_counts import SETTLED, TokenCounter
 
-POINTS = 1 << 20  # bytes of texts whose new units are encoded together
-MEMO_UNITS = 60_000  # units in each of the memory's two generations
-LONG_UNIT = 64  # characters from which a unit is not kept
+POINTS = 1 << 20  # bytes of texts that are aligned together, unless one is longer
 FEW_LINKS = 64  # links up to which a group is written out by occurrences
 CHUNK_ENTRIES, CHUNK_DOCS = 1 << 20, 1 << 14
-#: A stretch from one space that follows other text to the next.
-UNIT = regex.compile(r" \s*+(?:\S++(?:[^\S ]\s*+)?)*+")
-MARKED = regex.compile(f"{sentencepieces.SPACE}*[^{sentencepieces.SPACE}]+|{sentencepieces.SPACE}+")
-Record = tuple[str, bytes, int, int, tuple]  # groups, codes of links, tokens of A and of B, (codes, times) of long groups
+
+
+@dataclass(frozen=True)
+class Record:
+    """A text's groups as written, codes of its links, numbers of tokens and groups, (codes, times) of long groups."""
+
+    groups: str
+    codes: np.ndarray
+    n_a: int
+    n_b: int
+    n_groups: int
+    long: list | tuple
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -59,90 +69,99 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def cut(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The groups of two id lists whose tokens have the given sizes in bytes."""
-    sides = []
-    for sizes in (a_sizes, b_sizes):
-        at, index = 0, {}
-        for i, size in enumerate(sizes, 1):
-            at += size
-            index[at] = i
-        sides.append(index)
-    a_index, b_index = sides
-    groups, i, j = [], 0, 0
-    for end in sorted(a_index.keys() & b_index.keys()):
-        k, m = a_index[end], b_index[end]
-        groups.append((a_ids[i:k], b_ids[j:m]))
-        i, j = k, m
-    return groups
+def same_merges(path: str, symbols: dict[str, int]) -> dict[bytes, int] | None:
+    """The ranks of a byte-level BPE file whose ids are in the order of its merges; else None."""
+    model = json.loads(Path(path).read_text())["model"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", [])]
+    ids = [model["vocab"].get(t, -1) for t in merged]
+    known = [t for t in model["vocab"] if all(c in symbols for c in t)]
+    if ids != sorted(set(ids)) or ids[:1] < [0] or len(ids) + len(symbols) != len(known) or model.get("ignore_merges"):
+        return None
+    return {bytes(map(symbols.__getitem__, t)): model["vocab"][t] for t in known}
 
 
 class Aligner:
-    """Two tokenizers, their tokens' bytes, and records of units."""
+    """Two tokenizers and their tokens' bytes."""
 
     def __init__(self, json_path: str, model_path: str):
         counter = TokenCounter(json_path)
         self.first = counter.tokenizer
         self.first.encode_special_tokens = True
-        self.second = sentencepieces.PieceModel(model_path)
+        self.second = sentencepiece.SentencePieceProcessor(model_file=model_path)
         symbols = byte_of_symbol()
-        self.a_bytes = {i: bytes(map(symbols.__getitem__, t)) if all(c in symbols for c in t) else t.encode() for t, i in self.first.get_vocab(with_added_tokens=True).items()}
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if kind == sentencepieces.BYTE else p.replace(sentencepieces.SPACE, " ").encode() for p, _, kind in self.second.pieces]
-        self.by_unit = counter.by_word and self.second.whole_words and self.second.prefix and not self.second.squeeze
-        self.memo: dict[str, Record | None] = {}
-        self.older: dict[str, Record | None] = {}
-
-    def record(self, spaced: str, a_ids: list[int], b_ids: list[int]) -> Record | None:
-        """The alignment of one stretch; None if its bytes are not those of either side's tokens."""
-        a, b, whole = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids], spaced.encode()
-        if b"".join(a) != whole or b"".join(b) != whole:
-            return None
-        groups = cut(a_ids, b_ids, list(map(len, a)), list(map(len, b)))
-        codes, long = [], []
-        for left, right in groups:
-            if len(left) * len(right) <= FEW_LINKS:
-                codes += [x << 32 | y for x in left for y in right]
-            else:
-                (x, n), (y, m) = ((np.array(list(c)), np.array(list(c.values()))) for c in (Counter(left), Counter(right)))
-                long.append(((x[:, None] << 32 | y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()))
-        text = ";".join(f"{','.join(map(str, left))}|{','.join(map(str, right))}" for left, right in groups)
-        return text, np.array(codes, "<i8").tobytes(), len(a_ids), len(b_ids), tuple(long)
-
-    def learn(self, units: set[str]) -> dict[str, Record | None]:
-        """Records of units; short ones are kept, and those of the older generation come back when asked for."""
-        if len(self.memo) + len(units) > MEMO_UNITS and self.memo:
-            self.memo, self.older = {}, self.memo
-        passing, new = {}, []
-        for unit in units.difference(self.memo):
-            if (known := self.older.get(unit, 0)) != 0:
-                self.memo[unit] = known
-            else:
-                new.append(unit)
-        words = [MARKED.findall(unit.replace(" ", sentencepieces.SPACE)) for unit in new]
-        self.second.learn(set().union(*words))
-        for unit, mine, encoded in zip(new, words, self.first.encode_batch(new, add_special_tokens=False), strict=True):
-            b_ids = np.frombuffer(b"".join(map(self.second.memo.__getitem__, mine)), "<i4").tolist()
-            (self.memo if len(unit) <= LONG_UNIT else passing)[unit] = self.record(unit, encoded.ids, b_ids)
-        return passing
-
-    def align(self, texts: list[str]) -> Iterator[Record | None]:
+        ranks = same_merges(json_path, symbols) if counter.by_word else None
+        # The same vocabulary in a faster library, for texts of characters that both split alike.
+        self.fast = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        a_bytes = {i: bytes(map(symbols.__getitem__, t)) if all(c in symbols for c in t) else t.encode() for t, i in self.first.get_vocab(with_added_tokens=True).items()}
+        self.a_bytes = [a_bytes.get(i, b"") for i in range(max(a_bytes) + 1)]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(SPACE, " ").encode() for i in range(self.second.get_piece_size()) for p in [self.second.id_to_piece(i)]]
+        self.set_tables()
+
+    def set_tables(self) -> None:
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        #: Ids with what follows them: a comma, or the end of their side of a group.
+        self.printed = [f"{i}{mark}" for x, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for mark in marks for i in range(len(x))]
+        a_count = len(self.a_bytes)
+        self.places = 0, a_count, 2 * a_count, 2 * a_count + len(self.b_bytes)
+
+    def encode_first(self, text: str) -> list[int]:
+        if self.fast and SETTLED.fullmatch(text):
+            return self.fast.encode_ordinary(" " + text)
+        return self.first.encode(" " + text, add_special_tokens=False).ids
+
+    @staticmethod
+    def long_group(left: Iterable[int], right: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of a group's pairs of distinct ids, and how many links each stands for."""
+        (x, n), (y, m) = ((np.array(list(c)), np.array(list(c.values()))) for c in (Counter(left), Counter(right)))
+        return (x[:, None] << 32 | y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()
+
+    def records(self, a_lists: list[list[int]], b_lists: list[list[int]]) -> list[Record]:
+        """The records of texts whose tokens have the same bytes on both sides."""
+        if not a_lists:
+            return []
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_lists, b_lists))
+        a_stops, b_stops = (np.cumsum(np.fromiter(map(len, x), np.int64, len(x))) for x in (a_lists, b_lists))
+        a_ends = np.cumsum(self.a_sizes[a])
+        a_index, b_index = dict(zip(a_ends.tolist(), count(1))), dict(zip(np.cumsum(self.b_sizes[b]).tolist(), count(1)))  # noqa: B905
+        common = sorted(a_index.keys() & b_index.keys())
+        a_to, b_to = (np.fromiter(map(x.__getitem__, common), np.int64, len(common)) for x in (a_index, b_index))
+        a_from, b_from = np.concatenate([[0], a_to[:-1]]), np.concatenate([[0], b_to[:-1]])
+        n, m = a_to - a_from, b_to - b_from
+        # Both sides' ids in the order of the groups' text, each with the mark that follows it.
+        of_a, of_b = np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)
+        order = np.empty(len(a) + len(b), np.int64)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[a_to - 1] = last_b[b_to - 1] = True
+        order[np.arange(len(a)) + b_from[of_a]] = a + np.where(last_a, self.places[1], self.places[0])
+        order[np.arange(len(b)) + a_to[of_b]] = b + np.where(last_b, self.places[3], self.places[2])
+        pieces = list(map(self.printed.__getitem__, order.tolist()))
+        # Links of all groups but the long ones.
+        links = np.where(n * m <= FEW_LINKS, n * m, 0)
+        ends = np.cumsum(links)
+        of = np.repeat(np.arange(len(links)), links)
+        within = np.arange(len(of)) - (ends - links)[of]
+        codes = a[a_from[of] + within // m[of]] << 32 | b[b_from[of] + within % m[of]]
+        last = np.searchsorted(np.array(common), a_ends[a_stops - 1])  # each text's last group
+        long: dict[int, list] = {}
+        for g in np.flatnonzero(links == 0).tolist():
+            found = self.long_group(a[a_from[g] : a_to[g]].tolist(), b[b_from[g] : b_to[g]].tolist())
+            long.setdefault(int(np.searchsorted(last, g)), []).append(found)
+        out, i, j, g = [], 0, 0, 0
+        for k, (text_end, code_end, group_end) in enumerate(zip((a_stops + b_stops).tolist(), ends[last].tolist(), (last + 1).tolist(), strict=True)):
+            out.append(Record("".join(pieces[i:text_end])[:-1], codes[j:code_end], len(a_lists[k]), len(b_lists[k]), group_end - g, long.get(k, ())))
+            i, j, g = text_end, code_end, group_end
+        return out
+
+    def align(self, texts: list[str]) -> list[Record | None]:
         """The record of every text; None where it has no tokens."""
-        units = [UNIT.findall(" " + t) if t and self.by_unit and SETTLED.fullmatch(t) else None for t in texts]
-        passing = self.learn(set().union(*(u for u in units if u)))
-        find = self.memo.__getitem__ if not passing else lambda u: self.memo[u] if u in self.memo else passing[u]
-        for text, mine in zip(texts, units, strict=True):
-            if not text:
-                yield None
-            elif mine is None:
-                spaced = " " + text
-                yield self.record(spaced, self.first.encode(spaced, add_special_tokens=False).ids, self.second.encode([text])[0])
-            else:
-                records = list(map(find, mine))
-                if None in records:
-                    yield None
-                else:
-                    groups, codes, n_a, n_b, long = zip(*records, strict=True)
-                    yield ";".join(groups), b"".join(codes), sum(n_a), sum(n_b), tuple(x for y in long for x in y)
+        a_lists = [self.encode_first(t) if t else [] for t in texts]
+        b_lists = self.second.encode([t or "" for t in texts], num_threads=1)
+        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        held = [i for i, t in enumerate(texts) if t and b"".join(map(a_bytes, a_lists[i])) == (whole := b" " + t.encode()) and b"".join(map(b_bytes, b_lists[i])) == whole]
+        found: list[Record | None] = [None] * len(texts)
+        for i, record in zip(held, self.records([a_lists[i] for i in held], [b_lists[i] for i in held]), strict=True):
+            found[i] = record
+        return found
 
 
 @cache
@@ -153,10 +172,10 @@ def aligner(json_path: str, model_path: str) -> Aligner:
 
 def distinct_links(record: Record) -> tuple[np.ndarray, np.ndarray]:
     """The codes of a record's links in order, and how often each occurs."""
-    codes, times = np.unique(np.frombuffer(record[1], "<i8"), return_counts=True)
-    if not record[4]:
+    codes, times = np.unique(record.codes, return_counts=True)
+    if not record.long:
         return codes, times
-    codes, times = (np.concatenate(x) for x in zip((codes, times), *record[4], strict=True))
+    codes, times = (np.concatenate(x) for x in zip((codes, times), *record.long, strict=True))
     codes, back = np.unique(codes, return_inverse=True)
     summed = np.zeros(len(codes), np.int64)
     np.add.at(summed, back, times)
@@ -191,7 +210,7 @@ class _Chunk:
             self.rows.append((key, 0, 0, 0, 0, ""))
         else:
             links = distinct_links(record)
-            self.rows.append((key, record[2], record[3], record[0].count(";") + 1, int(links[1].sum()), record[0]))
+            self.rows.append((key, record.n_a, record.n_b, record.n_groups, int(links[1].sum()), record.groups))
         self.links.append(links)
         self.entries += len(links[0])
 

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,26 +68,36 @@ def rows_of(found):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(PARTS), max_size=25).map("".join))
 def test_groups_equal_a_walk(text):
-    record, want = next(al.aligner(A, B).align([text])), plain(text)
+    record, want = al.aligner(A, B).align(["ab", text, "a b"])[1], plain(text)
     assert (record is None) == (not want)
     if record:
-        assert record[0] == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in want)
+        assert record.groups == ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in want)
         codes, times = al.distinct_links(record)
         assert dict(zip(codes.tolist(), times.tolist(), strict=True)) == Counter(x << 32 | y for left, right in want for x in left for y in right)
 
 
 def test_long_groups_by_distinct_ids(monkeypatch):
     model = al.Aligner(A, B)
-    assert model.record("xy", [0], [0]) is None
-    model.a_bytes, model.b_bytes = {1: b"a" * 11, 2: b"a" * 11}, [b"a" * 13, b"a" * 13]
-    given = "a" * 143, [1, 2, 2] * 4 + [1], [0, 1] * 5 + [0]
-    record = model.record(*given)
-    assert record[4] and not record[1] and record[2:4] == (13, 11)
+    model.a_bytes, model.b_bytes = [b"", b"a" * 11, b"a" * 11], [b"a" * 13, b"a" * 13]
+    model.set_tables()
+    given = [[1, 2, 2] * 4 + [1]] * 2, [[0, 1] * 5 + [0]] * 2
+    records = model.records(*given)
+    assert all(r.long and not len(r.codes) and (r.n_a, r.n_b, r.n_groups) == (13, 11, 1) for r in records)
     monkeypatch.setattr(al, "FEW_LINKS", 10**9)
-    plainly = model.record(*given)
-    assert not plainly[4]
-    for x, y in zip(al.distinct_links(record), al.distinct_links(plainly), strict=True):
-        assert x.tolist() == y.tolist()
+    for record, plainly in zip(records, model.records(*given), strict=True):
+        assert not plainly.long and plainly.groups == record.groups
+        for x, y in zip(al.distinct_links(record), al.distinct_links(plainly), strict=True):
+            assert x.tolist() == y.tolist()
+
+
+def test_both_libraries_of_the_first_tokenizer_agree():
+    """On every distinct word of the table, with what stands around it."""
+    model = al.aligner(A, B)
+    assert model.fast
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist() if t and al.SETTLED.fullmatch(t)]
+    words = sorted({f" {w}" for t in texts for w in t.split()})
+    assert len(words) > 20_000
+    assert [e.ids for e in FIRST.encode_batch(words, add_special_tokens=False)] == model.fast.encode_ordinary_batch(words, num_threads=1)
 
 
 def test_narrow():
