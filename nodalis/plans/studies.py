@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nodalis.operators import prefixes, residuals
+from nodalis.operators import facets, prefixes, residuals
 from nodalis.plans.registry import day_text, query, r6, stamp
 from nodalis.sources import market
 from nodalis.sources.market import with_sql
@@ -51,3 +51,18 @@ def residual_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = residuals.draws(predictions, market.shift_factors(spark, sf_dir), ranks, 20)
     bands = points.groupBy("ts", "sp").agg(F.percentile("point", [0.1, 0.5, 0.9]).alias("p"))
     return bands.select(stamp("ts").alias("ts"), "sp", r6(F.col("p")[0]).alias("p10"), r6(F.col("p")[1]).alias("p50"), r6(F.col("p")[2]).alias("p90"))
+
+
+@query(with_sql("mu", """
+, i AS (SELECT key, split_part(key, '|', 2) AS ctype, CASE WHEN vec_id % 7 < 6 THEN 'Z' || CAST(vec_id % 7 AS VARCHAR) END AS zone, CASE WHEN sum(mu) >= 2000 THEN 'large' WHEN sum(mu) >= 500 THEN 'middle' ELSE 'small' END AS size FROM mu GROUP BY key, vec_id),
+ s AS (SELECT * FROM i WHERE lower(key || ' ' || ctype) LIKE '%1%')
+SELECT 'ctype' AS facet, ctype AS value, count(*) AS n, ctype = 'N1' AS chosen FROM s WHERE zone IN ('Z1', 'Z2', 'Z4') GROUP BY ctype
+UNION ALL SELECT 'zone', zone, count(*), zone IN ('Z1', 'Z2', 'Z4') FROM s WHERE ctype = 'N1' AND zone IS NOT NULL GROUP BY zone
+UNION ALL SELECT 'size', size, count(*), FALSE FROM s WHERE ctype = 'N1' AND zone IN ('Z1', 'Z2', 'Z4') GROUP BY size"""))
+def matrix_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the facets of constraints offer under a choice of type and zones and a search."""
+    mu, zone = market.shadow_prices(spark, sf_dir), F.col("vec_id") % 7
+    total = F.sum("mu")
+    items = mu.groupBy("key", "vec_id").agg(F.when(total >= 2000, "large").when(total >= 500, "middle").otherwise("small").alias("size"))
+    items = items.select("key", F.substring_index("key", "|", -1).alias("ctype"), F.when(zone < 6, F.concat(F.lit("Z"), zone.cast("string"))).alias("zone"), "size")
+    return facets.counts(items, ["ctype", "zone", "size"], {"ctype": ["N1"], "zone": ["Z1", "Z2", "Z4"]}, " 1", ["key", "ctype"])
