@@ -17,10 +17,15 @@ all responses when that id is the group's largest; payloads and urls of any leng
 and read back, line breaks and unprintable characters of a url as %XX; columns other than id, payload and
 url are ignored, whatever their names; an empty table gives no archives and no records;
 a member whose body fails its checksum raises.
+
+Archives of others are read too: digests in hex or base 32 of any kind in DIGESTS, HTTP messages, whose
+payload is their body, and folded header lines. A member that begins as a WARC record but has a malformed
+header, or none that says its length, raises; ``incomplete`` compares what was read with the manifest.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -38,6 +43,8 @@ BLOCK = 1 << 20
 HEADER_LIMIT = 1 << 16
 MIN_DEDUP_BYTES = 1000
 SPLIT_BYTES = 16 << 20
+#: Digests that are compared with payloads.
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 
 _MANIFEST = "path string, bytes long, records long"
 _RECORDS = "warc_type string, record_id string, target_uri string, refers_to_id string, payload_digest string, payload_bytes long, payload binary, archive string, offset long"
@@ -174,13 +181,36 @@ class _Range:
         return -1
 
 
-def _headers(decoded: bytes) -> dict[str, str] | None:
+def _headers(decoded: bytes, start: int) -> dict[str, str] | None:
+    """The header fields of a record, folded lines put together; None if no WARC record begins here."""
     if not decoded.startswith(b"WARC/1."):
         return None
-    lines = decoded.decode("utf-8", "replace").split("\r\n")[1:]
-    if any(":" not in line for line in lines):
-        return None
-    return {k.strip().lower(): v.strip() for k, v in (line.split(":", 1) for line in lines)}
+    fields: list[str] = []
+    for line in decoded.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1] += " " + line.strip()
+        elif ":" in line:
+            fields.append(line)
+        else:
+            raise ValueError(f"malformed header of the WARC record at {start}: {line[:80]!r}")
+    found = {k.strip().lower(): v.strip() for k, v in (f.split(":", 1) for f in fields)}
+    if not found.get("content-length", "").isdigit():
+        raise ValueError(f"the WARC record at {start} has no Content-Length")
+    return found
+
+
+def _named_digest(value: str) -> tuple[str, str]:
+    """(algorithm, lower-case hex) of a digest in hex or base 32; ("", value) if it is in neither."""
+    name, _, text = value.rstrip("=").rpartition(":")
+    name = name.lower().replace("-", "") or "sha1"
+    if name not in DIGESTS:
+        return "", text
+    size = hashlib.new(name).digest_size
+    try:
+        found = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return "", text
+    return (name, found.hex()) if len(found) == size else ("", text)
 
 
 def _begins_warc(data: bytes) -> bool:
@@ -195,7 +225,9 @@ def _record(source: _Range, start: int, with_payload: bool) -> tuple[dict, int]
     """The record of the member at ``start`` and the offset behind it; None if no WARC member is there."""
     inflate = zlib.decompressobj(31)
     head, offset, headers = b"", start, None
-    digest, length, kept, tail = hashlib.sha1(), 0, [], b""
+    digest, stated, length, kept, tail = hashlib.sha1(), None, 0, [], b""
+    lead: bytes | None = None  # what has been read of an HTTP header, while it has not ended
+    coded = False
     while not inflate.eof:
         data = inflate.unconsumed_tail
         if not data:
@@ -218,14 +250,26 @@ def _record(source: _Range, start: int, with_payload: bool) -> tuple[dict, int]
                 if not head.startswith(b"WARC/1."[: len(head)]):
                     return None
                 continue
-            headers = _headers(head[:end])
-            if headers is None or not headers.get("content-length", "").isdigit():
+            headers = _headers(head[:end], start)
+            if headers is None:
                 return None
             left, out = int(headers["content-length"]), head[end + 4 :]
+            lead = b"" if headers.get("content-type", "").lower().startswith("application/http") else None
+            algorithm, named = _named_digest(headers.get("warc-payload-digest", ""))
+            stated = hashlib.new(algorithm) if algorithm not in ("", "sha1") else digest
         body = out[:left]
         left -= len(body)
         tail += out[len(body) :]
+        if lead is not None:  # the payload of an HTTP message is its body
+            lead += body
+            ended = lead.find(b"\r\n\r\n", max(0, len(lead) - len(body) - 3))
+            if ended < 0:
+                continue
+            coded = b"transfer-encoding:" in lead[:ended].lower()
+            body, lead = lead[ended + 4 :], None
         digest.update(body)
+        if stated is not digest:
+            stated.update(body)
         length += len(body)
         if with_payload:
             kept.append(body)
@@ -234,8 +278,8 @@ def _record(source: _Range, start: int, with_payload: bool) -> tuple[dict, int]
     if left or tail.strip(b"\r\n"):
         raise ValueError(f"WARC record at {start} does not match its Content-Length")
     revisit = headers.get("warc-type") == "revisit"
-    named = headers.get("warc-payload-digest", "").removeprefix("sha1:")
-    if not revisit and named and named != digest.hexdigest():
+    # Payloads in a transfer encoding may be digested decoded; digests of unknown kinds are not compared.
+    if not revisit and algorithm and not coded and named != stated.hexdigest():
         raise ValueError(f"payload digest of the WARC record at {start} does not match")
     record = {
         "warc_type": headers.get("warc-type"),
@@ -264,6 +308,22 @@ def records_in_range(uri: str, size: int, start: int, end: int, with_payload: bo
         at = behind
 
 
+def manifest_of(spark: SparkSession, uris: list[str]) -> DataFrame:
+    """A manifest of archives from elsewhere; how many records they hold is not known."""
+    rows = []
+    for uri in uris:
+        store, path = pafs.FileSystem.from_uri(uri)
+        rows.append((uri, store.get_file_info(path).size, None))
+    return spark.createDataFrame(rows, _MANIFEST)
+
+
+def incomplete(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """(path, records, found): the archives of which not as many records were read as the manifest says."""
+    found = records.groupBy(F.col("archive").alias("path")).agg(F.count(F.lit(1)).alias("found"))
+    both = manifest.select("path", "records").join(found, "path", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return both.where("records <> found")
+
+
 def _reader(with_payload: bool, rows: int = 256):
     schema = pa.schema([(n, pa.binary() if t == "binary" else pa.int64() if t == "long" else pa.string()) for n, t in (x.split() for x in _RECORDS.split(", "))])
 

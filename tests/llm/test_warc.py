@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import random
@@ -79,3 +80,61 @@ def test_very_long_urls(spark):
     manifest = warc.write_warc(warc.classify(pages, "page_id", "html"), fresh_path(spark, "long-urls"))
     got = warc.read_warc(manifest, split_bytes=500_000).select(warc.key_of("record_id").alias("id"), "target_uri", "payload").collect()
     assert sorted((r.id, r.target_uri, bytes(r.payload).decode()) for r in got) == [(i, u, f"page {i}") for i, u in enumerate(urls)]
+
+
+def foreign(name, head, block):
+    lines = [b"WARC/1.0", *head, b"Content-Length: %d" % len(block)] if head is not None else [b"WARC/1.0"]
+    return name, gzip.compress(b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+
+def digest(kind, data, base32=True):
+    found = hashlib.new(kind, data).digest()
+    return f"{kind}:{base64.b32encode(found).decode() if base32 else found.hex()}".encode()
+
+
+BODY = b"<p>" + bytes(range(256)) * 9
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: " + b"y" * 5000 + b"\r\n\r\n"
+FOREIGN = [
+    foreign("http", [b"WARC-Type: response", b"WARC-Record-ID: <http>", b"Content-Type: application/http; msgtype=response", b"WARC-Payload-Digest: " + digest("sha1", BODY)], HTTP + BODY),
+    foreign("sha256", [b"WARC-Type: resource", b"WARC-Record-ID: <sha256>", b"WARC-Payload-Digest: " + digest("sha256", BODY, False)], BODY),
+    foreign("base32", [b"WARC-Type: resource", b"WARC-Record-ID: <base32>", b"WARC-Payload-Digest: " + digest("sha256", BODY).rstrip(b"=")], BODY),
+    foreign("folded", [b"WARC-Type: metadata", b"WARC-Record-ID:", b"\t<folded>", b"WARC-Target-URI: http://a/", b" b"], b""),
+    foreign("unknown", [b"WARC-Type: resource", b"WARC-Record-ID: <unknown>", b"WARC-Payload-Digest: blake3:ABC"], b"x"),
+    foreign("chunked", [b"WARC-Type: response", b"WARC-Record-ID: <chunked>", b"Content-Type: application/http", b"WARC-Payload-Digest: " + digest("sha1", b"abc")], b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"),
+    foreign("bare", [b"WARC-Type: request", b"WARC-Record-ID: <bare>", b"Content-Type: application/http"], b"GET / HTTP/1.1"),
+    foreign("revisit", [b"WARC-Type: revisit", b"WARC-Record-ID: <revisit>", b"WARC-Payload-Digest: " + digest("sha1", BODY)], b""),
+]
+
+
+@pytest.mark.parametrize("split", [70, 1000, 1 << 24])
+def test_archives_of_others(spark, tmp_path, split, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 512)
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(data for _, data in FOREIGN))
+    manifest = warc.manifest_of(spark, [f"file://{path}"])
+    got = {r.record_id.strip("<>"): r for r in warc.read_warc(manifest, split).collect()}
+    assert got.keys() == {name for name, _ in FOREIGN}
+    assert all(bytes(got[n].payload) == BODY and got[n].payload_digest == hashlib.sha1(BODY).hexdigest() for n in ("http", "sha256", "base32"))
+    assert got["folded"].target_uri == "http://a/ b" and bytes(got["bare"].payload) == b""
+    assert got["revisit"].payload_digest == hashlib.sha1(BODY).hexdigest() and bytes(got["chunked"].payload).startswith(b"3\r\nabc")
+
+
+@pytest.mark.parametrize("bad", [
+    foreign("length", None, b"x")[1], foreign("line", [b"WARC-Type: resource", b"no colon"], b"x")[1],
+    foreign("digest", [b"WARC-Type: resource", b"WARC-Payload-Digest: " + digest("sha1", b"y")], b"x")[1],
+    foreign("http", [b"WARC-Type: response", b"Content-Type: application/http", b"WARC-Payload-Digest: " + digest("md5", HTTP + b"x")], HTTP + b"x")[1],
+])
+def test_unsound_records_of_others_raise(spark, tmp_path, bad):
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(FOREIGN[1][1] + bad + FOREIGN[3][1])
+    with pytest.raises(Exception, match="WARC record at"):
+        warc.read_warc(warc.manifest_of(spark, [f"file://{path}"]), 200).collect()
+
+
+def test_manifest_tells_of_missing_records(spark):
+    pages = spark.createDataFrame(rows(), SCHEMA)
+    manifest = warc.write_warc(warc.classify(pages, "page_id", "html"), fresh_path(spark, "warc-manifest"))
+    records = warc.read_warc(manifest, with_payload=False)
+    assert warc.incomplete(manifest, records).count() == 0
+    lost = warc.incomplete(manifest, records.where("record_id NOT LIKE '%200%'")).collect()
+    assert len(lost) == 1 and lost[0].found == lost[0].records - 1
