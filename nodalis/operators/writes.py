@@ -33,7 +33,9 @@ def replace_scope(df: DataFrame, path: str, scope: list[str], scopes: DataFrame
     """Overwrite the partitions that ``df`` has rows of; a rerun leaves the same rows.
 
     ``scopes`` lists all partitions (scope columns) that this load speaks for: those without a row in
-    ``df`` are deleted, so a rerun that finds nothing for a day takes the old day away."""
+    ``df`` are deleted, so a rerun that finds nothing for a day takes the old day away. The two steps are not
+    one: after a crash between them emptied scopes still hold old rows until the load is run again.
+    Readers that must never see that go through a pointer, as ``publish`` or a ``dayrun.Ledger`` writes it."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)
     if scopes is not None:
         empty = scopes.select(*scope).distinct().join(df.select(*scope).distinct(), scope, "left_anti")
