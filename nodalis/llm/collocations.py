@@ -2,8 +2,8 @@
 
 Counts grow one word a level. The phrases of a level that reach the least count become a double-array
 trie over word codes, with one root for each language, which is broadcast; in every task all positions
-of a block of text start at their language's root and advance together, level by level, by two
-look-ups. A position that ends in an accepting state, and whose next one does too, is an Apriori-safe
+of a block of text start at their language's root and advance together, level by level, by look-ups.
+A position that ends in an accepting state, and whose next one does too, is an Apriori-safe
 candidate: the phrase and one more word, both of whose parts are frequent. A candidate's state is its
 phrase's accepting state and that word; states are counted by ``bincount`` and the counts of all blocks
 summed by Spark. Candidates are so never stored before they are seen, and no pair of frequent words that
@@ -20,10 +20,12 @@ further columns, whatever their names, are ignored; an empty table gives no rows
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import count, repeat
+from itertools import batched, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,12 @@ from nodalis.llm.common import staged, table, text_or_empty
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 MOST_PHRASES = 1 << 18  # phrases of one trie
-BLOCK_BYTES = 8 << 20  # texts whose positions advance together, unless one text is longer
+BLOCK_BYTES = 4 << 20  # texts whose positions advance together, unless one text is longer
+BITS = 10  # of a word code's low digit
+LOW = (1 << BITS) - 1
 TRIES = 64  # gaps that a node's children are tried in before they go to the end of a double array
-MOST_WORDS = 1 << 18  # distinct words that a task counts before it passes them on
+ROWS = 1 << 15  # rows of counts that are passed on together
+MOST_WORDS = 1 << 17  # distinct words that a task counts before it passes them on
 #: What ends a piece, and a byte that stands for it once the others are gone; what separates words.
 STOPS, STOP, BLANKS = b".,;:!?\n\x0b\x0c\r", b".", b" \t"
 _TABLE = bytes(STOP[0] if b in STOPS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -51,61 +56,61 @@ def words_of(texts: Iterable[str]) -> list[bytes]:
 
 
 class Trie:
-    """A double array: the child of state s by word code c is base[s] + c, if check there is s."""
+    """A double array: the child of state s by symbol c is base[s] + c, if check there is s.
+
+    A path begins with its language; a word's code is two symbols, its high and its low digit, so that a
+    state's children lie close together and the array is hardly longer than it has states."""
 
     def __init__(self, phrases: list[tuple[str, bytes]]):
         self.langs = sorted({lang for lang, _ in phrases})
-        split = [(lang, phrase.split(b" ")) for lang, phrase in phrases]
-        self.codes = {w: i for i, w in enumerate(sorted({w for _, p in split for w in p}), 1)}
-        width = max(len(self.codes), len(self.langs)) + 1
-        children: list[dict[int, int]] = [{}]
-        accepts: dict[int, int] = {}
-        for i, (lang, phrase) in enumerate(split):
-            node = 0
-            for code in [self.langs.index(lang) + 1, *map(self.codes.__getitem__, phrase)]:
-                if code not in children[node]:
-                    children[node][code] = len(children)
-                    children.append({})
-                node = children[node][code]
-            accepts[node] = i
-        state = self.place(children, width)
-        self.roots = {lang: int(state[children[0][i]]) for i, lang in enumerate(self.langs, 1)} if phrases else {}
+        number = {lang: i for i, lang in enumerate(self.langs, 1)}
+        self.codes = {w: i for i, w in enumerate(sorted({w for _, p in phrases for w in p.split(b" ")}), 1)}
+        width = max((len(self.codes) >> BITS) + 1, 1 << BITS, len(self.langs)) + 1
+        edges: dict[int, int] = {}  # (node, symbol) as one number: the node it leads to
+        ends = np.zeros(len(phrases), np.int64)
+        for i, (lang, phrase) in enumerate(phrases):
+            node = edges.setdefault(number[lang], len(edges) + 1)
+            for code in map(self.codes.__getitem__, phrase.split(b" ")):
+                node = edges.setdefault(node * width + (code >> BITS) + 1, len(edges) + 1)
+                node = edges.setdefault(node * width + (code & LOW) + 1, len(edges) + 1)
+            ends[i] = node
+        state = self.place(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges)), width)
+        self.roots = {lang: int(state[edges[number[lang]]]) for lang in self.langs}
         self.accept = np.full(len(self.check), -1, np.int32)
-        for node, i in accepts.items():
-            self.accept[state[node]] = i
-
-    def place(self, children: list[dict[int, int]], width: int) -> np.ndarray:
-        """Give every node a state, nodes with many children first. State 0 leads nowhere, 1 is the root."""
-        size = 2 * width + 2 * len(children)
-        free, check, state, base_of = np.ones(size, bool), np.full(size, -1, np.int32), np.zeros(len(children), np.int64), np.zeros(len(children), np.int64)
+        self.accept[state[ends]] = np.arange(len(phrases))
+
+    def place(self, edges: np.ndarray, to: np.ndarray, width: int) -> np.ndarray:
+        """Give every node a state, those of nodes with many children first. State 0 leads nowhere, 1 is the root."""
+        order = np.argsort(edges)
+        parents, symbols, to = edges[order] // width, edges[order] % width, to[order]
+        nodes, begins, sizes = np.unique(parents, return_index=True, return_counts=True)
+        size = 2 * width + 2 * len(edges)
+        free, state, base_of = np.ones(size, bool), np.zeros(len(edges) + 1, np.int64), np.zeros(len(edges) + 1, np.int64)
         free[:2] = False
-        lowest, beyond, wanted = width, width, np.array([len(c) for c in children])
-        for node in np.argsort(-wanted, kind="stable")[: int((wanted > 0).sum())].tolist():
-            codes = np.sort(np.fromiter(children[node], np.int64))
+        state[0] = 1
+        lowest = beyond = width
+        for i in np.argsort(-sizes, kind="stable").tolist():
+            held = slice(begins[i], begins[i] + sizes[i])
+            own = symbols[held]
+            first, last = int(own[0]), int(own[-1])
             while not free[lowest]:
                 lowest += 1
             at, tries = lowest, 0
             while True:
-                base = at - int(codes[0])
-                if base + int(codes[-1]) + 1 >= len(free):
-                    more = width + len(free) // 2
-                    free, check = np.concatenate([free, np.ones(more, bool)]), np.concatenate([check, np.full(more, -1, np.int32)])
-                if free[base + codes].all():
+                base = at - first
+                if base + last + 1 >= len(free):
+                    free = np.concatenate([free, np.ones(width + len(free) // 2, bool)])
+                if free[base + own].all():
                     break
                 tries += 1
                 at = at + 1 + int(np.argmax(free[at + 1 :])) if tries < TRIES else max(at + 1, beyond)
-            free[base + codes] = False
-            beyond = max(beyond, base + int(codes[-1]) + 1)
-            base_of[node] = base
-            for code, child in children[node].items():
-                state[child] = base + code
-        state[0] = 1
-        self.base = np.zeros(len(free), np.int32)
+            free[base + own] = False
+            beyond = max(beyond, base + last + 1)
+            base_of[nodes[i]] = base
+            state[to[held]] = base + own
+        self.base, self.check = np.zeros(beyond + width, np.int32), np.full(beyond + width, -1, np.int32)
         self.base[state] = base_of
-        for node, held in enumerate(children):
-            check[[state[child] for child in held.values()]] = state[node]
-        self.check = np.concatenate([check, np.full(width, -1, np.int32)])
-        self.base = np.concatenate([self.base, np.zeros(width, np.int32)])
+        self.check[state[to]] = state[parents]
         return state
 
     def advance(self, states: np.ndarray, codes: np.ndarray, depth: int) -> np.ndarray:
@@ -115,14 +120,22 @@ class Trie:
         for level in range(depth):
             inside = alive + level < len(codes)
             alive, now = alive[inside], now[inside]
-            to = self.base[now] + codes[alive + level]
-            held = self.check[to] == now
-            alive, now = alive[held], to[held]
+            for digit in (lambda c: c >> BITS, lambda c: c & LOW):
+                to = self.base[now] + digit(codes[alive + level]) + 1
+                held = self.check[to] == now
+                alive, now = alive[held], to[held]
         out = np.zeros(len(states), np.int32)
         out[alive] = now
         return out
 
 
+def _packed_trie(rows: pa.Table) -> pa.Table:
+    """The trie of a shard's phrases, and the phrases in its order, as bytes."""
+    phrases = sorted(zip(rows.column("lang").to_pylist(), rows.column("phrase").to_pylist(), strict=True))
+    packed = zlib.compress(pickle.dumps((Trie(phrases), phrases)), 1)
+    return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "trie": pa.array([packed], pa.binary())})
+
+
 def _languages(batch: pa.RecordBatch) -> dict[str, list[str]]:
     """The texts of a batch by language."""
     found: dict[str, list[str]] = defaultdict(list)
@@ -131,9 +144,10 @@ def _languages(batch: pa.RecordBatch) -> dict[str, list[str]]:
     return found
 
 
-def _rows(counts: list[tuple[str, bytes, int]]) -> Iterator[pa.RecordBatch]:
-    if counts:
-        langs, phrases, times = zip(*counts, strict=True)
+def _rows(counts: Iterable[tuple[str, bytes, int]]) -> Iterator[pa.RecordBatch]:
+    """Counts as batches of ``ROWS`` rows."""
+    for part in batched(counts, ROWS):
+        langs, phrases, times = zip(*part, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()), pa.array(times, pa.int64())], ["lang", "phrase", "f"])
 
 
@@ -144,28 +158,28 @@ def _word_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             counts[lang].update(words_of(texts))
             del counts[lang][STOP]
         if sum(map(len, counts.values())) > MOST_WORDS:
-            yield from _rows([(lang, w, n) for lang, c in counts.items() for w, n in c.items()])
+            yield from _rows((lang, w, n) for lang, c in counts.items() for w, n in c.items())
             counts.clear()
-    yield from _rows([(lang, w, n) for lang, c in counts.items() for w, n in c.items()])
+    yield from _rows((lang, w, n) for lang, c in counts.items() for w, n in c.items())
 
 
 def _candidate_counter(trie, whole: bool, depth: int):
     """Counts of the candidates of ``depth`` + 1 words. ``whole``: the trie holds all phrases."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, phrases = trie.value
+        held, phrases = pickle.loads(zlib.decompress(trie.value))
         for batch in (part for every in batches for part in portions(every, "text", BLOCK_BYTES)):
-            parts, roots = [], []
+            number, parts, roots = defaultdict(count().__next__), [], []
+            number[STOP]
             for lang, texts in _languages(batch).items():
                 if root := held.roots.get(lang, 0):
-                    parts.append([STOP, *words_of(texts)])
+                    words = [STOP, *words_of(texts)]
+                    parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
                     roots.append(root)
+                    del words
             if not parts:
                 continue
-            number = defaultdict(count().__next__)
-            number[STOP]
-            words = [w for part in parts for w in part]
-            local = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+            local = np.concatenate(parts)
             codes = np.fromiter(map(held.codes.get, number, repeat(0)), np.int32, len(number))[local]
             states = held.advance(np.repeat(np.array(roots, np.int32), list(map(len, parts))), codes, depth)
             reached = held.accept[states] >= 0
@@ -173,13 +187,14 @@ def _candidate_counter(trie, whole: bool, depth: int):
             at = np.flatnonzero(reached[:-1])
             at = at[at + depth < len(local)]
             at = at[reached[at + 1]] if whole else at[local[at + depth] > 0]
-            if not len(at):
-                continue
             # A candidate's accepting state: its phrase's and the next word, numbered in order of the pair.
             keys, state = np.unique(held.accept[states[at]] * np.int64(len(number)) + local[at + depth], return_inverse=True)
             times = np.bincount(state, minlength=len(keys))
-            names, first, last = list(number), keys // len(number), keys % len(number)
-            yield from _rows([(phrases[i][0], phrases[i][1] + b" " + names[j], n) for i, j, n in zip(first.tolist(), last.tolist(), times.tolist(), strict=True)])
+            names = list(number)
+            del parts, local, codes, states, reached, at, state
+            for i in range(0, len(keys), ROWS):
+                first, last = np.divmod(keys[i : i + ROWS], len(names))
+                yield from _rows((phrases[p][0], phrases[p][1] + b" " + names[w], n) for p, w, n in zip(first.tolist(), last.tolist(), times[i : i + ROWS].tolist(), strict=True))
 
     return counted
 
@@ -197,12 +212,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         shards = -(-level.count() // most)
         if not shards:
             break
-        dealt = level.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)))
+        dealt = level.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(shards)).cast("int"))
+        tries = staged(dealt.groupBy("shard").applyInArrow(_packed_trie, "shard int, trie binary"), "tries")
         parts = []
         for shard in range(shards):
-            phrases = sorted((r.lang, bytes(r.phrase)) for r in dealt.where(F.col("shard") == shard).collect())  # about ``most``
-            if phrases:
-                sent = spark.sparkContext.broadcast((Trie(phrases), phrases))
+            for row in tries.where(F.col("shard") == shard).collect():  # one packed trie of about ``most`` phrases
+                sent = spark.sparkContext.broadcast(bytes(row.trie))
                 parts.append(texts.mapInArrow(_candidate_counter(sent, shards == 1, k - 1), _COUNTS))
         found = reduce(DataFrame.unionByName, parts).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         if shards > 1:
