@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +60,41 @@ def source_scores(truth: DataFrame, sources: dict[str, DataFrame], sf: DataFrame
 def identical(rows: DataFrame, by: list[str], value: str, tolerance: float = 1e-9) -> DataFrame:
     """Groups whose values differ by more than the tolerance; baselines must have none."""
     return rows.groupBy(*by).agg((F.max(value) - F.min(value)).alias("gap")).where(F.col("gap") > tolerance)
+
+
+def grams(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """(by, a, b, v): products of two maps' rows (by, key, sp, sf), summed over nodes."""
+    a, b = left.select(by, "sp", F.col("key").alias("a"), F.col("sf").alias("x")), right.select(by, "sp", F.col("key").alias("b"), F.col("sf").alias("y"))
+    return a.join(b, [by, "sp"]).groupBy(by, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+
+
+def angles_of(own: np.ndarray, other: np.ndarray, cross: np.ndarray, rank: int) -> list[float]:
+    """Principal angles in degrees between the leading ``rank`` directions of two sets of rows, from their grams."""
+
+    def half(gram: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(gram)
+        lead = [i for i in np.argsort(-values)[:rank] if values[i] > 1e-10 * max(values.max(), 1e-300)]
+        return vectors[:, lead] / np.sqrt(values[lead])
+
+    cosines = np.linalg.svd(half(own).T @ cross @ half(other), compute_uv=False)
+    return np.degrees(np.arccos(np.clip(cosines, 0.0, 1.0))).tolist()
+
+
+def rotation(windows: DataFrame, lag_days: int, rank: int = 3) -> DataFrame:
+    """(window_start, angles, largest): how far a map (window_start, key, sp, sf) has turned against the one
+    ``lag_days`` later, as principal angles between their leading directions over the nodes.
+
+    Products are summed in Spark; a window's task sees square matrices over its keys only."""
+    later = windows.withColumn("window_start", F.date_sub("window_start", lag_days))
+    both = windows.select("window_start").distinct().join(later.select("window_start").distinct(), "window_start")
+    now, then = windows.join(both, "window_start"), later.join(both, "window_start")
+    parts = [grams(x, y, "window_start").withColumn("kind", F.lit(kind)) for kind, x, y in (("own", now, now), ("other", then, then), ("cross", now, then))]
+
+    def turned(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        kinds = {k: g.pivot(index="a", columns="b", values="v").fillna(0.0) for k, g in rows.groupby("kind")}
+        own, other = (kinds[k] for k in ("own", "other"))
+        cross = kinds["cross"].reindex(index=own.index, columns=other.index).fillna(0.0) if "cross" in kinds else pd.DataFrame(0.0, index=own.index, columns=other.index)
+        found = angles_of(own.reindex(columns=own.index).to_numpy(), other.reindex(columns=other.index).to_numpy(), cross.to_numpy(), rank)
+        return pd.DataFrame({"window_start": [key[0]], "angles": [found], "largest": [max(found, default=None)]})
+
+    return reduce(DataFrame.unionByName, parts).groupBy("window_start").applyInPandas(turned, "window_start date, angles array<double>, largest double")
