@@ -72,7 +72,7 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ROUNDS = 50  # of the default 200: every round is a handful of jobs
+ROUNDS = 20  # of the default 200: every round is a handful of jobs
 FEATURES = ["binds_1d", "binds_7d", "life_rate", "mean_mu_7d", "days_since", "dow"]
 
 
