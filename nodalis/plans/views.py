@@ -21,7 +21,8 @@ def _day(df: DataFrame) -> DataFrame:
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return market.shadow_prices(spark, sf_dir).groupBy("key", F.to_date("ts").alias("day")).agg(F.sum("mu").alias("v"))
+    """(key, day, v): daily totals, summed as decimals, so that equal days are equal and ranks do not depend on the order of rows."""
+    return market.shadow_prices(spark, sf_dir).groupBy("key", F.to_date("ts").alias("day")).agg(F.sum(F.col("mu").cast(market.CENTS)).cast("double").alias("v"))
 
 
 @query(with_sql("mu", """
