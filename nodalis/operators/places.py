@@ -12,14 +12,21 @@ from nodalis.operators.graphs import cut
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies in a ring (array of structs x, y; closed by itself), by counting crossings."""
+    """Whether a point lies inside a ring (array of structs x, y; closed by itself), by counting crossings.
+    Points on an edge lie on neither side."""
 
     def crosses(i: Column) -> Column:
         a, b = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
         at = (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]
         return ((a["y"] > y) != (b["y"] > y)) & (x < at)
 
-    return F.size(F.filter(F.sequence(F.lit(0), F.size(ring) - 1), crosses)) % 2 == 1
+    def touches(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
+        along = (b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"])
+        return along & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    edges = F.sequence(F.lit(0), F.size(ring) - 1)
+    return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, touches)
 
 
 def _cells(low: Column, high: Column, size: float) -> Column:
@@ -76,8 +83,12 @@ def radius_match(left: DataFrame, right: DataFrame, key: str, km: float, conditi
 
     Both sides are cut into bands of latitude wider than the radius, and each band into cells that are
     as wide on the ground at its end nearer to a pole; cells close around the globe. A right row is sent
-    to its own band and the two beside it, and there to its own cell and the two beside that."""
+    to its own band and the two beside it, and there to its own cell and the two beside that. Rows that
+    differ in nothing but ``key`` or ``id`` are one row each while pairs are formed: what meets are places."""
     size = degrees or 2 * km / 111.0
+    asked = [c for c in left.columns if c != key]
+    rows, left = left, left.select(*asked).where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    right = right.groupBy(*(c for c in right.columns if c != "id")).agg(F.min("id").alias("id"))
 
     def cells(band: Column) -> Column:
         """How many cells a band has: they hold for rows of the bands beside it too."""

@@ -109,7 +109,7 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_ = F.col("s_suppkey")
     points = market.table(spark, sf_dir, "supplier").select(id_.alias("id"), ((id_ * 37 % 1000).cast("double") / 100).alias("x"), ((id_ * 91 % 1000).cast("double") / 100).alias("y"))
     r = F.col("r_regionkey")
-    x0, x1, y0, y1 = r * F.lit(1.9) + F.lit(0.1), r * F.lit(1.9) + F.lit(1.85), F.lit(2.05), F.lit(7.95)
+    x0, x1, y0, y1 = (r * 190 + 10) / F.lit(100.0), (r * 190 + 185) / F.lit(100.0), F.lit(2.05), F.lit(7.95)
     corners = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
     zones = market.table(spark, sf_dir, "region").select(F.concat(F.lit("Z"), r.cast("string")).alias("zone"), corners.alias("ring"))
     return places.assign_zone(points, zones, "id")
