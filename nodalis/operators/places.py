@@ -101,12 +101,13 @@ def radius_match(left: DataFrame, right: DataFrame, key: str, km: float, conditi
     band, band_r = F.floor(F.col("lat") / size), F.floor(F.col("lat_r") / size)
     near = F.array_distinct(F.array(*(F.struct((band_r + i).alias("i"), F.pmod(cell(F.col("lon_r"), band_r + i) + j, cells(band_r + i)).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     sent = right.withColumn("cell", F.explode(near))
-    pairs = left.withColumn("_i", band).withColumn("_j", cell(F.col("lon"), band)).join(sent, (F.col("_i") == F.col("cell.i")) & (F.col("_j") == F.col("cell.j")))
+    meet = (F.col("_i") == F.col("cell.i")) & (F.col("_j") == F.col("cell.j"))
+    pairs = left.withColumn("_i", band).withColumn("_j", cell(F.col("lon"), band)).join(sent, meet if condition is None else meet & condition)
     away = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_r"), F.col("lon_r"))
-    kept = pairs.withColumn("km", away).where(F.col("km") <= km)
-    if condition is not None:
-        kept = kept.where(condition)
-    return kept.groupBy(key).agg(F.min(F.struct("km", "id")).alias("m")).select(key, F.col("m.id").alias("id"), F.col("m.km").alias("km"))
+    nearest = pairs.withColumn("km", away).where(F.col("km") <= km).groupBy(*asked).agg(F.min(F.struct("km", "id")).alias("m"))
+    found = nearest.select(*(F.col(c).alias(f"_{c}") for c in asked), "m")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asked))
+    return rows.join(found, same).groupBy(key).agg(F.min("m").alias("m")).select(key, F.col("m.id").alias("id"), F.col("m.km").alias("km"))
 
 
 def tokens(text: Column, stop: tuple[str, ...] = ()) -> Column:
