@@ -38,10 +38,11 @@ def decay(maps: DataFrame, lags: list[int]) -> DataFrame:
 
 
 def sweep(mu: DataFrame, cong: DataFrame, windows: DataFrame, grid: list[dict], fit_days: int, score_days: int) -> DataFrame:
-    """Mean out-of-sample fit and coverage of every setting of the ridge; all settings share the windows' sums."""
-    parts, sums = [], cut(models.window_sums(mu, cong, windows))
+    """Mean out-of-sample fit and coverage of every setting of the ridge; all settings share the windows' sums,
+    unless there are more keys than hours."""
+    parts, sums = [], None if models.many_keys(mu, windows) else cut(models.window_sums(mu, cong, windows))
     for setting in grid:
-        maps = models.solve_windows(sums, **setting)
+        maps = models.rolling_ridge(mu, cong, windows, **setting) if sums is None else models.solve_windows(sums, **setting)
         scored = score_windows(maps, mu, cong, fit_days, score_days).agg(F.avg("r2").alias("r2"), F.avg("coverage").alias("coverage"))
         parts.append(scored.withColumn("setting", F.lit(", ".join(f"{k}={v}" for k, v in sorted(setting.items())))))
     return reduce(DataFrame.unionByName, parts)
