@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,10 +117,35 @@ def novelty(mu: DataFrame, cut: str, warm_days: int) -> DataFrame:
     return after.join(before, "key", "left").groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("keys"), F.sum("mass").alias("mass"))
 
 
-def exposure(sf: DataFrame, outages: DataFrame) -> DataFrame:
-    """(day, key, exposure): the sum over a day's outages of abs(sf) at their node times megawatts."""
-    per_node = outages.groupBy("day", "sp").agg(F.sum("mw").alias("mw"))
-    return per_node.join(sf.select("key", "sp", "sf"), "sp").groupBy("day", "key").agg(F.sum(F.abs("sf") * F.col("mw")).alias("exposure"))
+def exposure(sf: DataFrame, outages: DataFrame, block: int = 256, calendar: int = 4) -> DataFrame:
+    """(day, key, exposure): the sum over a day's outages of abs(sf) at their node times megawatts.
+
+    Blocks of days meet blocks of keys, each couple in one task that multiplies them: terms by node do not
+    travel, only nodes' megawatts and shift factors, once for each block of the other side."""
+    blocks = 1 + sf.agg(F.approx_count_distinct("key")).first()[0] // block
+    per_node = outages.groupBy("day", "sp").agg(F.sum("mw").cast("double").alias("mw"))
+    days = per_node.select(F.pmod(F.xxhash64("day"), F.lit(calendar)).cast("int").alias("d"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("k"), "day", "sp", "mw")
+    keys = sf.select(F.explode(F.sequence(F.lit(0), F.lit(calendar - 1))).alias("d"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("k"), "key", "sp", F.abs("sf").cast("double").alias("sf"))
+
+    def multiply(at: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.intersect1d(left["sp"].to_numpy(str), right["sp"].to_numpy(str))
+        if not len(nodes):
+            return pd.DataFrame(columns=["day", "key", "exposure"])
+        sides = []
+        for rows, name, value in ((left, "day", "mw"), (right, "key", "sf")):
+            rows = rows[rows["sp"].isin(nodes)]
+            i, names = pd.factorize(rows[name])
+            x, there = np.zeros((len(names), len(nodes))), np.zeros((len(names), len(nodes)), np.float32)
+            j = np.searchsorted(nodes, rows["sp"].to_numpy(str))
+            np.add.at(x, (i, j), rows[value].to_numpy(float))
+            there[i, j] = 1
+            sides.append((names, x, there))
+        (a, x, p), (b, y, q) = sides
+        i, j = np.nonzero(p @ q.T)
+        return pd.DataFrame({"day": np.asarray(a)[i], "key": np.asarray(b)[j], "exposure": (x @ y.T)[i, j]})
+
+    known, listed = days.where("day IS NOT NULL AND sp IS NOT NULL AND mw IS NOT NULL"), keys.where("key IS NOT NULL AND sp IS NOT NULL AND sf IS NOT NULL")
+    return known.groupBy("d", "k").cogroup(listed.groupBy("d", "k")).applyInPandas(multiply, f"day {outages.schema['day'].dataType.simpleString()}, key string, exposure double")
 
 
 def regime(percentile: Column) -> Column:
