@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nodalis.operators.graphs import cut
+from nodalis.operators.graphs import cut, laid
 
 HOLE, WIDTH = 255, 256  # the bin of holes, bins of a feature
 BLOCK_ROWS = 1 << 16
@@ -281,7 +281,7 @@ class Model:
 
 def fit(rows: DataFrame, features: list[str], label: str, settings: Settings) -> Model:
     """A model of ``label``. No rows give a score of 0, rows of one label its own (clipped) score."""
-    rows = rows.where(F.col(label).isNotNull())
+    rows = laid(rows.where(F.col(label).isNotNull()).select(*dict.fromkeys([*features, label])))  # read three times
     mean, n = rows.agg(F.avg(F.col(label).cast("double")), F.count(F.lit(1))).head()
     if mean is None:
         return Model(features, [np.zeros(0)] * len(features), 0.0, [], settings.loss)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nodalis.operators import history, models, places, projection
+from nodalis.operators.graphs import laid
 from nodalis.plans.registry import query, r6, stamp
 from nodalis.sources import market
 from nodalis.sources.market import with_sql
@@ -63,13 +64,14 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features and labels by key and day, computed once for training and scoring."""
     mu = market.shadow_prices(spark, sf_dir).withColumn("day", F.to_date("ts"))
     past = history.binding_history(mu, 20.0, (1, 7))
     today = history.daily(mu, 20.0)
-    return past.join(today, ["key", "day"], "left").select(
+    return laid(past.join(today, ["key", "day"], "left").select(
         "key", "day", "binds_1d", "binds_7d", "life_rate", "mean_mu_7d", F.col("days_since").cast("double").alias("days_since"), F.dayofweek("day").alias("dow"),
         (F.coalesce("binds", F.lit(0)) > 2).cast("int").alias("y_bind"), F.coalesce("total", F.lit(0.0)).alias("y_mu"),
-    )
+    ))
 
 
 ROUNDS = 20  # of the default 200: every round is a handful of jobs

@@ -151,6 +151,21 @@ def test_planted_rule_with_holes_and_scores(spark):
     assert {"id", "y_mu", "p_bind", "mu_gbm"} <= set(scored.columns)
 
 
+def test_inputs_are_computed_once(spark):
+    """Mean, edges and blocks each computed the rows anew, and with them the panel below."""
+    x, y = table(500)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = frame(spark, x, y)
+    boosting.fit(rows.mapInArrow(counted, rows.schema), FEATURES, "y", boosting.Settings(rounds=1, leaves=3))
+    assert seen.value == 500
+
+
 def test_empty_and_constant(spark):
     x, y = table(60)
     rows = frame(spark, x, y)
