@@ -59,10 +59,17 @@ def trailing_percentile(value: Column, prior: Column) -> Column:
     return 100 * F.size(F.filter(known, lambda x: x <= value)) / F.nullif(F.size(known), F.lit(0))
 
 
-def elevated(today: DataFrame, history: DataFrame, ratio: float = 1.5, least: int = 10, k: int = 20) -> DataFrame:
-    """Keys whose value is at least ``ratio`` times the median of their own nonzero history."""
-    own = percentiles(history, ["key"], "v", (0.5,), nonzero=True, least=least)
-    joined = today.join(own, "key").where(F.col("p50") > 0).withColumn("ratio", F.col("v") / F.col("p50"))
+def times(value: str, base: str) -> Column:
+    """``value`` over ``base`` as IEEE doubles: over zero infinite, or NaN, which is above any number."""
+    v, b = F.col(value), F.col(base)
+    return F.when(b != 0, v / b).when(b == 0, F.when(v > 0, float("inf")).when(v < 0, float("-inf")).when(v == 0, float("nan")))
+
+
+def elevated(today: DataFrame, history: DataFrame, ratio: float = 1.5, least: int = 10, k: int = 20, nonzero: bool = True) -> DataFrame:
+    """Keys whose value is at least ``ratio`` times the median of their own nonzero history. Without ``nonzero``
+    days of 0 are history too, and a median of 0 is passed by any value but a negative one."""
+    own = percentiles(history, ["key"], "v", (0.5,), nonzero=nonzero, least=least)
+    joined = today.join(own, "key").where((F.col("p50") > 0) | F.lit(not nonzero)).withColumn("ratio", times("v", "p50"))
     return joined.where(F.col("ratio") >= ratio).orderBy(F.desc("ratio"), "key").limit(k)
 
 
@@ -72,10 +79,12 @@ def chronic_under_called(today: DataFrame, history: DataFrame, days: int, below:
     return own.join(today, "key", "left").withColumn("v", F.coalesce("v", F.lit(0.0))).where(F.col("v") <= below * F.col("median"))
 
 
-def surprises(today: DataFrame, history: DataFrame, ratio: float = 1.25, least: int = 10) -> DataFrame:
-    """Keys whose value is at least ``ratio`` times the 90th percentile of their nonzero history."""
-    own = percentiles(history, ["key"], "v", (0.9,), nonzero=True, least=least)
-    return today.join(own, "key").withColumn("ratio", F.abs("v") / F.nullif("p90", F.lit(0.0))).where(F.col("ratio") >= ratio)
+def surprises(today: DataFrame, history: DataFrame, ratio: float = 1.25, least: int = 10, nonzero: bool = True) -> DataFrame:
+    """Keys whose value is at least ``ratio`` times the 90th percentile of their nonzero history. Without
+    ``nonzero`` days of 0 are history too, and the sign of the value counts."""
+    own = percentiles(history, ["key"], "v", (0.9,), nonzero=nonzero, least=least)
+    size = F.abs("v") / F.nullif("p90", F.lit(0.0)) if nonzero else times("v", "p90")
+    return today.join(own, "key").withColumn("ratio", size).where(F.col("ratio") >= ratio)
 
 
 def climatology(mu: DataFrame, hours: DataFrame) -> DataFrame:

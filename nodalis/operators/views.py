@@ -61,10 +61,10 @@ def frame(terms: DataFrame, rows: int, columns: int, pins: tuple[str, ...] = (),
 
 
 def board(parts: dict[str, DataFrame], settled: DataFrame) -> DataFrame:
-    """Keys that any part names, with the parts as flags and the settled rank; unranked keys last."""
+    """Keys that any part names, with the parts as flags and the rank among all settled rows; unranked keys last."""
     labelled = reduce(DataFrame.unionByName, (p.select("key", F.lit(n).alias("part")) for n, p in parts.items()))
     flags = labelled.groupBy("key").agg(*(F.max(F.col("part") == n).alias(n) for n in parts))
-    ranked = settled.where("v > 0").withColumn("settled_rank", F.row_number().over(Window.orderBy(F.desc("v"), "key"))).select("key", "settled_rank")
+    ranked = settled.withColumn("settled_rank", F.row_number().over(Window.orderBy(F.desc("v"), F.asc_nulls_last("key")))).select("key", "settled_rank")
     joined = flags.join(ranked, "key", "left")
     return joined.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("settled_rank"), "key")))
 

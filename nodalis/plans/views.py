@@ -87,8 +87,8 @@ def standouts_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _daily(spark, sf_dir)
     past = d.where("day < '2024-01-29'")
     today = d.where("day = '2024-01-30'").drop("day")
-    elevated = history.elevated(d.where("day = '2024-01-29'").drop("day"), past)
-    return views.board({"elevated": elevated, "surprise": history.surprises(today, past)}, today)
+    elevated = history.elevated(d.where("day = '2024-01-29'").drop("day"), past, nonzero=False)
+    return views.board({"elevated": elevated, "surprise": history.surprises(today, past, nonzero=False)}, today)
 
 
 @query(with_sql("mu sf", f"""

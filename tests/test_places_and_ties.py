@@ -1,7 +1,9 @@
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from nodalis.operators import places
 from nodalis.plans import views
 
@@ -39,3 +41,18 @@ def test_daily_totals_do_not_depend_on_the_order_of_hours(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").repartition(4).write.parquet(str(tmp_path / "events.parquet"))
     totals = {r.v for r in views._daily(spark, str(tmp_path)).collect()}
     assert totals == {2.4}
+
+
+def test_board_counts_days_of_zero_as_its_sql_does(spark, tmp_path):
+    """Keys with zeros in their history, with a history of zeros only, with nothing today, and below zero."""
+    first, at = datetime(2024, 1, 15), f"{tmp_path}/events.parquet"
+    past = {1: [0.0] * 8 + [4.0] * 6, 2: [0.0] * 14, 3: [0.0] * 5 + [8.0] * 9, 4: [-4.0] * 14, 5: [2.0] * 9, 6: [2.0] * 14, 7: [0.0] * 14, 8: [3.0] * 14}
+    last = {1: (4.0, 2.0), 2: (1.0, 5.0), 3: (9.0, 0.0), 4: (-9.0, -9.0), 5: (7.0, 7.0), 6: (2.5, 0.0), 7: (0.0, 0.0), 8: (6.0, 6.0)}
+    rows = [(k, first + timedelta(days=i), v) for k, days in past.items() for i, v in enumerate([*days, *last[k]], 14 - len(days))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").coalesce(1).write.parquet(at)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{at}/*.parquet')")
+    want = db.sql(__spark_entry__.oracle_sql()["standouts_board"]).fetchall()
+    got = __spark_entry__.queries()["standouts_board"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {r[0]: r[1:3] for r in want} == {"1|N1": (True, False), "2|N1": (True, True), "4|N1": (True, True), "7|N1": (True, True), "8|N1": (True, True)}
