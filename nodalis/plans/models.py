@@ -74,21 +74,20 @@ def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-ROUNDS = 20  # of the default 200: every round is a handful of jobs
 FEATURES = ["binds_1d", "binds_7d", "life_rate", "mean_mu_7d", "days_since", "dow"]
 
 
 @query()
 def bind_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = _panel(spark, sf_dir)
-    scored = models.bind_head(panel.where("day < '2024-01-24'"), panel.where("day >= '2024-01-24'"), FEATURES, rounds=ROUNDS)
+    scored = models.bind_head(panel.where("day < '2024-01-24'"), panel.where("day >= '2024-01-24'"), FEATURES)
     return scored.select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), r6("p_bind").alias("p_bind"), "y_bind")
 
 
 @query()
 def mu_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = _panel(spark, sf_dir)
-    scored = models.mu_head(panel.where("day < '2024-01-24'"), panel.where("day >= '2024-01-24'"), FEATURES, rounds=ROUNDS)
+    scored = models.mu_head(panel.where("day < '2024-01-24'"), panel.where("day >= '2024-01-24'"), FEATURES)
     return scored.select("key", F.date_format("day", "yyyy-MM-dd").alias("day"), r6("mu_gbm").alias("mu_gbm"), "y_mu")
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from nodalis.operators import boosting, models
 
 FEATURES = ["a", "b", "c"]
@@ -172,3 +173,29 @@ def test_empty_and_constant(spark):
     assert boosting.fit(rows.limit(0), FEATURES, "y", boosting.Settings()).trees == []
     model = boosting.fit(rows.withColumn("y", F.lit(0.0)), FEATURES, "y", boosting.Settings(min_leaf=5, rounds=3))
     assert max(r.p for r in model.predict(rows, "p").collect()) < 1e-6
+
+
+def test_registered_heads_run_the_rounds_of_the_reference(spark, monkeypatch):
+    """They ran 20 of its 200 rounds."""
+    seen, fit = [], boosting.fit
+    monkeypatch.setattr(boosting, "fit", lambda rows, features, label, settings: seen.append(settings) or fit(rows, features, label, settings))
+    for name in ("bind_head", "mu_head"):
+        assert __spark_entry__.queries()[name](spark, __spark_entry__.SMOKE_DIR).count()
+    assert [(s.rounds, s.rate, s.leaves, s.min_leaf, s.l2) for s in seen] == [(200, 0.06, 31, 100, 1.0), (200, 0.06, 31, 50, 1.0)]
+
+
+def test_rows_of_equal_bins_are_one(spark):
+    """Copies of the rows make the same trees, and no more rows to pass over; the sums of labels are exact."""
+    x, y = table(700)
+    y = y * 3.1 + np.nan_to_num(x[0])
+    x[0], x[2] = np.round(x[0], 1), np.round(x[2], 1)
+    rows = frame(spark, x, y)
+    edges = boosting.edges_of(rows, FEATURES)
+    one, many = (boosting.merged(r, FEATURES, "y", edges, float(np.abs(y).max()), 700 * k) for r, k in ((rows, 1), (rows.withColumn("copy", F.explode(F.lit([0] * 8))).repartition(3), 8)))
+    one, many = ({bytes(r.bins): (r.n, r.y) for r in m.collect()} for m in (one, many))
+    assert one.keys() == many.keys() and len(one) < 700
+    assert all((8 * n, 8 * t) == pytest.approx(many[k], abs=1e-12) for k, (n, t) in one.items())
+    assert sum(t for _, t in one.values()) == pytest.approx(y.sum(), abs=1e-10)
+    s = boosting.Settings("squares", rounds=3, leaves=6, min_leaf=1)
+    again = [boosting.fit(rows.repartition(k), FEATURES, "y", s).trees for k in (1, 3)]
+    assert all(np.allclose(p, q, atol=1e-12) for t, u in zip(*again, strict=True) for p, q in zip(t, u, strict=True))
