@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from nodalis.operators import models, views
+from nodalis.sources import market
 
 
 def plan(df):
@@ -30,6 +32,45 @@ def test_correlations_in_blocks(spark):
     assert "Join" not in plan(models.correlations(df, 90, 10))  # pairs are not formed by a join on the hour
 
 
+def counted(spark, df):
+    """``df`` and the number of its rows that were computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(pass_on, df.schema), seen
+
+
+@pytest.mark.parametrize("block", [8192, 6])
+def test_copies_are_correlated_as_one_series(spark, monkeypatch, block):
+    """Copies of a key travelled as often as keys; prices were computed twice, and four times for groups."""
+    draw = random.Random(6)
+    series = [{h: draw.uniform(-5, 90) for h in range(60) if draw.random() < 0.6} for _ in range(5)]
+    rows = [(h, f"k{i}-{k}", v) for k, x in enumerate(series) for i in range(7) for h, v in x.items()]
+    met, pairs = [], models._pairs
+    monkeypatch.setattr(models, "_pairs", lambda alike, *others: met.append(alike.count()) or pairs(alike, *others))
+    df, seen = counted(spark, spark.createDataFrame(rows, "ts int, key string, mu double"))
+    got = models.correlations(df, 60, 10, block=block, digits=9).collect()
+    assert met == [5] and seen.value == len(rows)
+    x = np.array([[s.get(h, 0.0) for h in range(60)] for s in series])
+    r = np.corrcoef(x)
+    keys = sorted((f"k{i}-{k}", k) for k in range(5) for i in range(7))
+    want = {(a, b): r[k, m] for n, (a, k) in enumerate(keys) for b, m in keys[n + 1 :]}
+    assert len(got) == len(want) and {(p.a, p.b): p.r for p in got} == pytest.approx(want, abs=2e-9)
+    df, seen = counted(spark, df)
+    assert models.constraint_groups(df, 60, 0.9, 10).count() == 35 and seen.value == len(rows)
+
+
+def test_one_exchange_serves_hours_and_keys(spark, tmp_path):
+    spark.sql("SELECT id AS user_id, TIMESTAMP_NTZ '2024-01-01 00:30:00' AS ts, 1.5D AS value FROM range(9)").write.parquet(f"{tmp_path}/events.parquet")
+    mu = market.shadow_prices(spark, str(tmp_path), by_key=True)
+    assert plan(mu.groupBy("key").agg(F.collect_list("mu"))).count("Exchange") == 1
+    assert sorted(mu.collect()) == sorted(market.shadow_prices(spark, str(tmp_path)).collect()) and market.hours(spark, str(tmp_path)) == 1
+
+
 def test_exposure_in_blocks(spark):
     draw = random.Random(7)
     sf = [(f"k{k}", f"n{n}", draw.uniform(-1, 1)) for k in range(11) for n in range(9) if draw.random() < 0.5]
